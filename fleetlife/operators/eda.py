@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlife.contracts import HORIZONS, RISK_BIN_EDGES, RISK_BIN_NAMES
@@ -111,14 +111,19 @@ def rul_histogram(labels: DataFrame, max_days: int = 180, bins: int = 60) -> Dat
     """
     near = labels.where((F.col("event") == 1) & (F.col("rul_time_days") <= max_days))
     per_day = near.groupBy("rul_time_days").agg(F.count("*").alias("rows"))
-    ends = per_day.agg(F.min("rul_time_days").alias("lo"), F.max("rul_time_days").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    width = (hi - lo) / F.lit(float(bins))
-    place = F.when(hi == lo, F.lit(0)).otherwise(F.floor((F.col("rul_time_days") - lo) * bins / (hi - lo)))
+    everything = Window.partitionBy(F.lit(0))
+    lo, hi = F.min("rul_time_days").over(everything), F.max("rul_time_days").over(everything)
+    ends = per_day.select("rul_time_days", "rows", lo.alias("lo"), hi.alias("hi"))
+    reach = F.col("hi") - F.col("lo")
+    place = F.coalesce(F.floor((F.col("rul_time_days") - F.col("lo")) * bins / F.nullif(reach, F.lit(0))), F.lit(0))
     return (
-        per_day.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
-        .agg(F.sum("rows").alias("drive_days"))
-        .withColumn("left_edge", F.round(lo + F.col("bin") * width, 6))
+        ends.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin"))
+        .agg(F.sum("rows").alias("drive_days"), F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+        .select(
+            "bin",
+            "drive_days",
+            F.round(F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / float(bins), 6).alias("left_edge"),
+        )
     )
 
 
