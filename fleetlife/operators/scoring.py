@@ -23,7 +23,7 @@ def request_features(
     0 at the start; an empty history gives zeros.
     """
     filled = requests.withColumns(
-        {f"_{c}": fill_forward(F.transform("history", lambda day, c=c: day[c])) for c in columns}
+        {f"_{c}": fill_forward(F.col("history").getField(c)) for c in columns}
     )
 
     def last_values(c: str, w: int) -> Column:
