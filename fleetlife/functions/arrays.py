@@ -5,43 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Longest sorted array ``count_not_above`` can search (2**MAX_STEPS - 1 entries).
-MAX_STEPS = 24
 
+def count_not_above(sorted_values: Column, value: Column, longest: int) -> Column:
+    """How many of at most ``longest`` entries of an array are <= value; stays in generated code."""
+    hits = [F.when(F.get(sorted_values, i) <= value, 1).otherwise(0) for i in range(longest)]
+    total = F.lit(0)
+    for hit in hits:
+        total = total + hit
+    return total
 
-def count_not_above(sorted_values: Column, value: Column, max_steps: int = MAX_STEPS) -> Column:
-    """How many entries of a sorted array are <= value, by binary search (0 for a null array)."""
-    steps = F.array(*[F.lit(1 << s) for s in range(max_steps - 1, -1, -1)])
 
-    def advance(found: Column, step: Column) -> Column:
-        fits = (found + step <= F.size(sorted_values)) & (
-            F.get(sorted_values, found + step - 1) <= value
-        )
-        return F.when(fits, found + step).otherwise(found)
+def mean_and_spread(values: Column) -> Column:
+    """Struct(n, mean, m2) of an array of doubles in one pass; m2 = summed squared deviations."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
 
-    searched = F.aggregate(steps, F.lit(0), advance)
-    return F.when(sorted_values.isNull() | (F.size(sorted_values) < 1), F.lit(0)).otherwise(searched)
+    def add(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        m2 = acc["m2"] + (x - acc["mean"]) * (x - mean)
+        return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
 
+    return F.aggregate(values, start, add)
 
-def mean_of(values: Column) -> Column:
-    """Mean of an array of doubles, null when it is empty."""
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return F.when(F.size(values) > 0, total / F.size(values))
 
+def sample_std(stats: Column) -> Column:
+    """Standard deviation with n - 1 from ``mean_and_spread``; 0 for fewer than two entries."""
+    return F.when(stats["n"] > 1, F.sqrt(stats["m2"] / (stats["n"] - 1))).otherwise(F.lit(0.0))
 
-def sample_std_of(values: Column) -> Column:
-    """Standard deviation with n - 1, 0 for fewer than two entries."""
-    mean = mean_of(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1))).otherwise(F.lit(0.0))
 
+def last_filled(values: Column, keep: int) -> Column:
+    """The last ``keep`` entries, nulls replaced by the last value before them, or by 0.
 
-def fill_forward(values: Column) -> Column:
-    """Replace nulls by the last value before them, leading nulls by 0."""
-    empty = F.array().cast("array<double>")
+    Only the kept tail is rebuilt entry by entry, so a long array costs one pass.
+    """
+    size = F.size(values)
+    head = F.filter(F.slice(values, 1, F.greatest(size - keep, F.lit(0))), lambda x: x.isNotNull())
+    before = F.coalesce(F.get(head, F.size(head) - 1).cast("double"), F.lit(0.0))
+    tail = F.slice(values, F.greatest(size - keep + 1, F.lit(1)), keep)
 
     def extend(done: Column, x: Column) -> Column:
-        last = F.coalesce(F.get(done, F.size(done) - 1), F.lit(0.0))
-        return F.concat(done, F.array(F.coalesce(x.cast("double"), last)))
+        return F.concat(done, F.array(F.coalesce(x.cast("double"), F.get(done, F.size(done) - 1))))
 
-    return F.aggregate(values, empty, extend)
+    filled = F.aggregate(tail, F.array(before), extend)
+    return F.slice(filled, 2, keep)

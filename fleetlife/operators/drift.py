@@ -79,7 +79,12 @@ def numeric_drift(
         .agg(F.count_if("in_ref").alias("n_ref"), F.count_if("in_cur").alias("n_cur"))
     )
     totals = running_totals(
-        cells, "value", ["n_ref", "n_cur"], ["feature"], cells_per_bucket=cells_per_bucket
+        cells,
+        "value",
+        ["n_ref", "n_cur"],
+        ["feature"],
+        cells_per_bucket=cells_per_bucket,
+        group_count=len(features),
     ).where((F.col("n_ref_total") >= MIN_DRIFT_ROWS) & (F.col("n_cur_total") >= MIN_DRIFT_ROWS))
 
     probabilities = [i / bins for i in range(bins + 1)]
@@ -99,7 +104,7 @@ def numeric_drift(
     )
     per_bin = (
         totals.join(inner, "feature")
-        .withColumn("bin", count_not_above(F.col("inner"), F.col("value"), max_steps=5))
+        .withColumn("bin", count_not_above(F.col("inner"), F.col("value"), longest=bins - 1))
         .groupBy("feature", "bin")
         .agg(
             F.sum("n_ref").alias("n_ref"),

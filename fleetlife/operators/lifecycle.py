@@ -12,23 +12,45 @@ from fleetlife.contracts import HORIZONS, Span
 from fleetlife.functions.labels import horizon_label, rul_time_days
 
 
-def drive_summary(panel: DataFrame, as_of: date | None = None) -> DataFrame:
-    """One row per unit. ``as_of`` ignores later days, for back-tests without future knowledge.
+def unit_lives(panel: DataFrame, as_of: date | None = None) -> DataFrame:
+    """First day, last day and event per unit: all that labels need.
 
     The unit is failed when any of its days reports a failure; its life ends on its last day.
-    Model and capacity are those of the last day.
+    ``as_of`` ignores later days, for back-tests without future knowledge.
+    """
+    if as_of is not None:
+        panel = panel.where(F.col("date") <= F.lit(as_of))
+    return panel.groupBy("serial_number").agg(
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.max("failure").cast("tinyint").alias("event"),
+    )
+
+
+def drive_summary(panel: DataFrame, as_of: date | None = None) -> DataFrame:
+    """One row per unit: life, model and capacity of the last day, days seen, lifetime.
+
+    A first grouping by (unit, model, capacity) shrinks the panel to about a row per unit with
+    hash aggregation. Taking text by the latest date needs a sorted aggregation, which then only
+    sees that small result.
     """
     if as_of is not None:
         panel = panel.where(F.col("date") <= F.lit(as_of))
+    spells = panel.groupBy("serial_number", "model", "capacity_bytes").agg(
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.max("failure").alias("event"),
+        F.count("*").alias("n_days_observed"),
+    )
     return (
-        panel.groupBy("serial_number")
+        spells.groupBy("serial_number")
         .agg(
-            F.min("date").alias("first_date"),
-            F.max("date").alias("last_date"),
-            F.max("failure").cast("tinyint").alias("event"),
-            F.max_by("model", "date").alias("model"),
-            F.max_by("capacity_bytes", "date").alias("capacity_bytes"),
-            F.count("*").alias("n_days_observed"),
+            F.min("first_date").alias("first_date"),
+            F.max("last_date").alias("last_date"),
+            F.max("event").cast("tinyint").alias("event"),
+            F.max_by("model", "last_date").alias("model"),
+            F.max_by("capacity_bytes", "last_date").alias("capacity_bytes"),
+            F.sum("n_days_observed").alias("n_days_observed"),
         )
         .withColumn("lifetime_days", F.datediff("last_date", "first_date") + 1)
     )
@@ -51,7 +73,7 @@ def labels(
     summary: DataFrame | None = None,
 ) -> DataFrame:
     """Daily rows with remaining life and one nullable label per horizon."""
-    summary = drive_summary(panel) if summary is None else summary
+    summary = unit_lives(panel) if summary is None else summary
     days = panel.select("date", "serial_number", "model", "capacity_bytes", "failure")
     return (
         with_life(days, summary)

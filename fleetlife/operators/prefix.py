@@ -13,18 +13,46 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetlife.functions.arrays import count_not_above
 from fleetlife.session import stage
 
 #: Mean number of cells one task sorts. One cut point is kept per that many cells.
-CELLS_PER_BUCKET = 1_000_000
+CELLS_PER_BUCKET = 25_000
 
-_HASH_SPAN = 1 << 40
+#: With more cut points than this, every tenth is kept, and so on: the list stays small
+#: however many cells there are.
+MAX_CUT_POINTS = 20_000
 
+_HASH_SPAN = 10**12
 
-def _is_cut_point(order_by: str, cells_per_bucket: int) -> Column:
+
+def _is_cut_point(order_by: str, cells_per_cut: int) -> Column:
     slot = F.pmod(F.xxhash64(order_by), F.lit(_HASH_SPAN))
-    return slot < max(_HASH_SPAN // cells_per_bucket, 1)
+    return slot < max(_HASH_SPAN // cells_per_cut, 1)
+
+
+def _choose_cut_points(
+    cells: DataFrame, order_by: str, cells_per_bucket: int, groups: int
+) -> tuple[int, int]:
+    """Cells per cut point, and the number of cut points that gives."""
+    rates = [cells_per_bucket * 10**i for i in range(6)]
+    counts = cells.agg(*[F.count_if(_is_cut_point(order_by, r)) for r in rates]).first()
+    limit = MAX_CUT_POINTS * groups
+    return next(((r, n) for r, n in zip(rates, counts) if n <= limit), (rates[-1], counts[-1]))
+
+
+def _with_bucket(placed: DataFrame, order_by: str, cut_points: int) -> DataFrame:
+    """Number of entries of the sorted array ``_edges`` that are <= the value.
+
+    A binary search, one projection per step, which stays in generated code. Reading past the
+    end of the array gives null, which moves nothing.
+    """
+    placed = placed.withColumn("_bucket", F.lit(0))
+    for power in reversed(range(cut_points.bit_length())):
+        step = 1 << power
+        probe = F.get("_edges", F.col("_bucket") + (step - 1))
+        move = F.when(probe <= F.col(order_by), step).otherwise(0)
+        placed = placed.withColumn("_bucket", F.col("_bucket") + move)
+    return placed.drop("_edges")
 
 
 def running_totals(
@@ -34,35 +62,38 @@ def running_totals(
     groups: Sequence[str] = (),
     descending: bool = False,
     cells_per_bucket: int = CELLS_PER_BUCKET,
+    group_count: int = 1,
 ) -> DataFrame:
     """Add ``{s}_before``, ``{s}_upto`` and ``{s}_total`` for every summed column.
 
     ``cells`` has at most one row per (groups, order_by) and no nulls in those columns.
     ``before`` excludes the row itself, ``total`` is the sum over the whole group. The cells are
     written to the checkpoint folder once, because several branches of the plan read them.
+    ``group_count`` is about how many groups of similar size there are.
     """
     keys = list(groups)
     if not keys:
         keys, cells = ["_all"], cells.withColumn("_all", F.lit(0))
     cells = stage(cells.select(*keys, order_by, *sums))
-    edges = cells.where(_is_cut_point(order_by, cells_per_bucket)).select(*keys, order_by)
+    rate, cut_points = _choose_cut_points(cells, order_by, cells_per_bucket, group_count)
     order = F.col(order_by).desc() if descending else F.col(order_by).asc()
     first, current = Window.unboundedPreceding, Window.currentRow
+    whole = Window.partitionBy(*keys)
 
-    if edges.isEmpty():
-        # No cut point means few cells: every group fits a task.
-        whole = Window.partitionBy(*keys)
+    if cut_points == 0:
+        # Few cells: every group fits a task.
+        placed = cells
         inside = whole.orderBy(order).rowsBetween(first, current)
         upto = {s: F.sum(s).over(inside) for s in sums}
         total = {s: F.sum(s).over(whole) for s in sums}
-        placed = cells
     else:
-        edge_lists = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(order_by)).alias("_edges"))
-        bucket = count_not_above(F.col("_edges"), F.col(order_by))
-        placed = cells.join(edge_lists, keys, "left").withColumn("_bucket", bucket).drop("_edges")
-        # One row per bucket from here: about (number of cells / cells_per_bucket) rows.
+        edges = cells.where(_is_cut_point(order_by, rate)).groupBy(*keys)
+        edge_lists = edges.agg(F.sort_array(F.collect_list(order_by)).alias("_edges"))
+        # At most MAX_CUT_POINTS values per group of ``group_count``: small enough to broadcast.
+        edged = cells.join(F.broadcast(edge_lists), keys, "left")
+        placed = _with_bucket(edged, order_by, cut_points)
+        # One row per bucket from here.
         per_bucket = placed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
-        whole = Window.partitionBy(*keys)
         bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()
         earlier = whole.orderBy(bucket_order).rowsBetween(first, -1)
         offsets = per_bucket.select(

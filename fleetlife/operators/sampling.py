@@ -83,17 +83,24 @@ def smallest_hashes(
         .select(*within, F.col("_slot").alias("_cut"), (F.col("n") - F.col("_before")).alias("_room"))
     )
     has_limit = limits.select(*within, F.col("n").alias("_n"))
-    placed = hashed.join(has_limit, within).where("_n > 0").join(cut, within, "left")
-    # A group that never reaches its limit has no cut and is kept whole.
-    below = placed.where(F.col("_cut").isNull() | (F.col("_slot") < F.col("_cut")))
-    at_cut = Window.partitionBy(*within).orderBy(*keys)
-    edge = (
-        placed.where(F.col("_slot") == F.col("_cut"))
-        .withColumn("_place", F.row_number().over(at_cut))
-        .where(F.col("_place") <= F.col("_room"))
-        .drop("_place")
+    near = (
+        hashed.join(has_limit, within)
+        .where("_n > 0")
+        .join(cut, within, "left")
+        # A group that never reaches its limit has no cut and is kept whole.
+        .where(F.col("_cut").isNull() | (F.col("_slot") <= F.col("_cut")))
+    )
+    # What is left is about the sample itself; a slot is a millionth of its group.
+    at_cut = Window.partitionBy(*within, "_slot").orderBy(*keys)
+    return (
+        near.withColumn("_place", F.row_number().over(at_cut))
+        .where(
+            F.col("_cut").isNull()
+            | (F.col("_slot") < F.col("_cut"))
+            | (F.col("_place") <= F.col("_room"))
+        )
+        .drop("_slot", "_cut", "_room", "_n", "_place")
     )
-    return below.unionByName(edge).drop("_slot", "_cut", "_room", "_n")
 
 
 def sample_n(frame: DataFrame, n: int, keys: Sequence[str] = UNIT_DAY) -> DataFrame:

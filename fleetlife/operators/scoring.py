@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlife.contracts import SMART_BIG5, WINDOWS
-from fleetlife.functions.arrays import fill_forward, mean_of, sample_std_of
+from fleetlife.functions.arrays import last_filled, mean_and_spread, sample_std
 from fleetlife.functions.labels import alert_level, capacity_gb, coherence
 
 
@@ -22,26 +22,29 @@ def request_features(
     Windows are the last readings, not calendar days. Missing readings take the value before, or
     0 at the start; an empty history gives zeros.
     """
+    widest = max(windows)
     filled = requests.withColumns(
-        {f"_{c}": fill_forward(F.col("history").getField(c)) for c in columns}
+        {f"_{c}": last_filled(F.col("history").getField(c), widest) for c in columns}
     )
 
     def last_values(c: str, w: int) -> Column:
         values = F.col(f"_{c}")
         return F.slice(values, F.greatest(F.size(values) - w + 1, F.lit(1)), w)
 
-    zero = F.lit(0.0)
-    now = {c: F.coalesce(F.get(f"_{c}", F.size(f"_{c}") - 1), zero) for c in columns}
-    mean = {(c, w): F.coalesce(mean_of(last_values(c, w)), zero) for c in columns for w in windows}
-    widest = max(windows)
+    measured = filled.withColumns(
+        {f"_{c}_{w}": mean_and_spread(last_values(c, w)) for c in columns for w in windows}
+    )
+    now = {c: F.coalesce(F.get(f"_{c}", F.size(f"_{c}") - 1), F.lit(0.0)) for c in columns}
+    stats = {(c, w): F.col(f"_{c}_{w}") for c in columns for w in windows}
     features = {
         "capacity_gb": capacity_gb(),
         **now,
-        **{f"{c}_rmean_{w}": mean[c, w] for c in columns for w in windows},
-        **{f"{c}_rstd_{w}": sample_std_of(last_values(c, w)) for c in columns for w in windows},
-        **{f"{c}_dev{widest}": now[c] - mean[c, widest] for c in columns},
+        **{f"{c}_rmean_{w}": stats[c, w]["mean"] for c in columns for w in windows},
+        **{f"{c}_rstd_{w}": sample_std(stats[c, w]) for c in columns for w in windows},
+        **{f"{c}_dev{widest}": now[c] - stats[c, widest]["mean"] for c in columns},
     }
-    return filled.withColumns(features).drop(*[f"_{c}" for c in columns])
+    helpers = [*(f"_{c}" for c in columns), *(f"_{c}_{w}" for c in columns for w in windows)]
+    return measured.withColumns(features).drop(*helpers)
 
 
 def with_alerts(

@@ -77,13 +77,19 @@ def with_slope(
 
 
 def latest_snapshot(frame: DataFrame) -> DataFrame:
-    """The newest row of each unit; shares the sort of the other windows."""
-    return (
-        with_day_number(frame)
-        .withColumn("_next", F.lead(DAY_NUMBER).over(_by_unit()))
-        .where(F.col("_next").isNull())
-        .drop("_next")
-    )
+    """The newest row of each unit.
+
+    Spark applies the limit of one row per unit before the shuffle as well as after it, so only
+    about one row per unit and task moves.
+    """
+    newest = Window.partitionBy("serial_number").orderBy(F.col("date").desc())
+    return frame.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place")
+
+
+def _newest_of_windowed(frame: DataFrame) -> DataFrame:
+    """The newest row of each unit of a frame with windows, on the sort it already has."""
+    following = F.lead(DAY_NUMBER).over(_by_unit())
+    return frame.withColumn("_next", following).where(F.col("_next").isNull()).drop("_next")
 
 
 def rolling_span(
@@ -102,5 +108,5 @@ def rolling_span(
     picked = wide.select("serial_number", "date", "model", "capacity_bytes", *columns)
     features = with_rolling(forward_fill(picked, columns), columns, windows)
     if latest_only:
-        features = latest_snapshot(features)
+        features = _newest_of_windowed(features)
     return in_span(features, span).drop(DAY_NUMBER)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fleetlife.contracts import Settings
 from fleetlife.models.publish import Artifacts, publish, score_rows
 from fleetlife.operators.drift import drift_report, drift_summary, retrain_decision
-from fleetlife.operators.lifecycle import drive_summary
+from fleetlife.operators.lifecycle import unit_lives
 from fleetlife.operators.rankmetrics import average_precision, rank_curve
 from fleetlife.plans.datasets import training_frame
 from fleetlife.session import stage
@@ -45,7 +45,7 @@ def monitor(
 
 def current_quality(panel: DataFrame, settings: Settings, artifacts: Artifacts) -> float | None:
     """Average precision of published models on the labelled days of the test span."""
-    rows = training_frame(panel, drive_summary(panel), settings.splits["test"], settings.horizon)
+    rows = training_frame(panel, unit_lives(panel), settings.splits["test"], settings.horizon)
     scored = score_rows(rows.where(F.col("y").isNotNull()), artifacts)
     curve = rank_curve(scored, score="raw_score")
     return curve.agg(average_precision().alias("ap")).first().ap
@@ -73,5 +73,5 @@ def mlops_loop(
     row = decision.first()
     artifacts = None
     if row.retrain and retrain_if_needed:
-        artifacts = train(panel, drive_summary(panel), settings, **train_options)
+        artifacts = train(panel, unit_lives(panel), settings, **train_options)
     return LoopResult(report, row, artifacts)

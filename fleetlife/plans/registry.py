@@ -47,8 +47,8 @@ def _labels(spark: SparkSession, sf: str) -> DataFrame:
     return lifecycle.labels(events_panel(spark, sf), S.horizons)
 
 
-def _summary(spark: SparkSession, sf: str) -> DataFrame:
-    return lifecycle.drive_summary(events_panel(spark, sf))
+def _lives(spark: SparkSession, sf: str) -> DataFrame:
+    return lifecycle.unit_lives(events_panel(spark, sf))
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -113,7 +113,7 @@ def rul_histogram(spark, sf):
 
 @query
 def active_units(spark, sf):
-    return lifecycle.active_units(_summary(spark, sf), S.splits["val"]).select(
+    return lifecycle.active_units(_lives(spark, sf), S.splits["val"]).select(
         "serial_number", "first_date", "last_date", F.col("event").cast("int").alias("event")
     )
 
@@ -152,7 +152,7 @@ def _rolling_features(name: str) -> Query:
     def run(spark, sf):
         panel = events_panel(spark, sf)
         ratio = S.negatives_per_positive if name == "train" else None
-        summary = lifecycle.drive_summary(panel)
+        summary = lifecycle.unit_lives(panel)
         split = datasets.rolling_split(panel, summary, S.splits[name], S.horizon, ratio)
         numbers = ["capacity_gb", *SMART_BIG5, *rolling_columns()]
         return rounded(split, 6, numbers).withColumn("y", F.col("y").cast("int"))
@@ -178,7 +178,7 @@ def latest_snapshot(spark, sf):
 def pit_features(spark, sf):
     panel = events_panel(spark, sf)
     split = datasets.point_in_time_split(
-        panel, lifecycle.drive_summary(panel), S.splits["train"], S.horizon, "big5", S.negatives_per_positive
+        panel, lifecycle.unit_lives(panel), S.splits["train"], S.horizon, "big5", S.negatives_per_positive
     )
     return split.withColumn("y", F.col("y").cast("int"))
 
@@ -186,7 +186,7 @@ def pit_features(spark, sf):
 @query
 def split_counts(spark, sf):
     panel = events_panel(spark, sf)
-    summary = lifecycle.drive_summary(panel)
+    summary = lifecycle.unit_lives(panel)
     parts = [
         datasets.label_counts(panel, summary, span, S.horizon).select(F.lit(name).alias("split"), "pos", "neg")
         for name, span in S.splits.items()
@@ -197,7 +197,7 @@ def split_counts(spark, sf):
 @query
 def survival_table(spark, sf):
     panel = events_panel(spark, sf)
-    summary = lifecycle.drive_summary(panel)
+    summary = lifecycle.unit_lives(panel)
     split = datasets.survival_split(panel, summary, S.splits["val"], S.survival_ratios["val"])
     numbers = ["capacity_gb", *SMART_BIG5, *rolling_columns()]
     return rounded(split, 6, numbers).withColumn("event", F.col("event").cast("int"))
@@ -246,7 +246,7 @@ def sample_n(spark, sf):
 
 @query
 def unit_sample(spark, sf):
-    return sampling.unit_sample(_summary(spark, sf), S.splits["test"], healthy=60).select(
+    return sampling.unit_sample(_lives(spark, sf), S.splits["test"], healthy=60).select(
         "serial_number", F.col("event").cast("int").alias("event")
     )
 
@@ -254,7 +254,7 @@ def unit_sample(spark, sf):
 @query
 def unit_prune(spark, sf):
     panel = events_panel(spark, sf)
-    units = sampling.unit_sample(lifecycle.drive_summary(panel), S.splits["test"], healthy=60)
+    units = sampling.unit_sample(lifecycle.unit_lives(panel), S.splits["test"], healthy=60)
     return sampling.prune_to_units(panel, units).select("serial_number", "date", "model")
 
 
@@ -425,7 +425,7 @@ def risk_sets(spark, sf):
 @query
 def sequence_anchors(spark, sf):
     panel = events_panel(spark, sf)
-    life = lifecycle.with_life(panel, lifecycle.drive_summary(panel))
+    life = lifecycle.with_life(panel, lifecycle.unit_lives(panel))
     placed = sequences.with_anchor_place(windows.with_day_number(life), S.splits["val"], 3, 2)
     return placed.where("is_anchor").select(
         "serial_number", "date", F.col("event").cast("int").alias("event")
@@ -437,7 +437,7 @@ def sequence_windows(spark, sf):
     """Windows of all units, flattened: one line per anchor and step of its 30 steps."""
     panel = events_panel(spark, sf)
     table = sequences.sequence_dataset(
-        panel, lifecycle.drive_summary(panel), S.splits["test"],
+        panel, lifecycle.unit_lives(panel), S.splits["test"],
         event_units=None, censored_units=None, max_anchors=None,
     )
     steps = table.select("serial_number", "date", "event", "dur", F.posexplode("window").alias("step", "reading"))
@@ -453,7 +453,7 @@ def sequence_windows(spark, sf):
 
 def _card(spark, sf):
     """Formula scores of the newest day of each unit, in the shape of a scorecard."""
-    newest = windows.latest_snapshot(_scores(spark, sf)).drop(windows.DAY_NUMBER)
+    newest = windows.latest_snapshot(_scores(spark, sf))
     days = (F.round(F.col("score") * 1_000_000).cast("long") % 120 + 1).cast("double")
     shown = newest.select(
         "serial_number", "model", F.col("score").alias("raw_score"),
@@ -536,7 +536,7 @@ def top_reasons(spark, sf):
 
 def _splits(spark, sf):
     panel = events_panel(spark, sf)
-    summary = lifecycle.drive_summary(panel)
+    summary = lifecycle.unit_lives(panel)
     return {
         name: datasets.rolling_split(
             panel, summary, span, S.horizon, S.negatives_per_positive if name == "train" else None
@@ -547,7 +547,7 @@ def _splits(spark, sf):
 
 def _survival(spark, sf):
     panel = events_panel(spark, sf)
-    summary = lifecycle.drive_summary(panel)
+    summary = lifecycle.unit_lives(panel)
     return {
         name: datasets.survival_split(panel, summary, S.splits[name], S.survival_ratios[name])
         for name in ("train", "test")
@@ -556,7 +556,7 @@ def _survival(spark, sf):
 
 def _published(spark, sf):
     panel = events_panel(spark, sf)
-    return publish.publish(panel, lifecycle.drive_summary(panel), S, params=SMALL_BOOST)
+    return publish.publish(panel, lifecycle.unit_lives(panel), S, params=SMALL_BOOST)
 
 
 @query
@@ -647,7 +647,7 @@ def production_training(spark, sf):
 @query
 def fleet_scorecard(spark, sf):
     panel = events_panel(spark, sf)
-    return publish.fleet_scorecard(panel, lifecycle.drive_summary(panel), S.splits["test"], _published(spark, sf))
+    return publish.fleet_scorecard(panel, lifecycle.unit_lives(panel), S.splits["test"], _published(spark, sf))
 
 
 @query

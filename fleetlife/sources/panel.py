@@ -133,13 +133,13 @@ def one_row_per_day(panel: DataFrame) -> DataFrame:
 
 
 def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Parquet with zstd, one folder per quarter, units kept together inside a quarter.
+    """Parquet with zstd, one folder per quarter, one row per unit and day.
 
     Rows are spread by (quarter, unit), so a quarter is written by many tasks, and sorted so that
     row groups cover few units.
     """
     (
-        with_quarter(panel)
+        with_quarter(one_row_per_day(panel))
         .repartition("quarter", "serial_number")
         .sortWithinPartitions("quarter", "serial_number", "date")
         .write.mode(mode)
@@ -149,9 +149,14 @@ def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
-def read_panel(spark: SparkSession, path: str) -> DataFrame:
-    """The stored panel. Filter on ``quarter`` as well as ``date`` to skip folders."""
-    return spark.read.parquet(path)
+def read_panel(spark: SparkSession, path: str, may_repeat: bool = False) -> DataFrame:
+    """The stored panel. Filter on ``quarter`` as well as ``date`` to skip folders.
+
+    ``may_repeat`` is for a panel that the stream appends to, where a day file may have arrived
+    twice under different names.
+    """
+    panel = spark.read.parquet(path)
+    return one_row_per_day(panel) if may_repeat else panel
 
 
 def in_quarters(panel: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -151,6 +151,29 @@ def test_windows_share_one_shuffle(panel):
     assert "SinglePartition" not in plan
 
 
+def test_labels_reuse_the_window_shuffle(spark, panel):
+    """Without broadcasts, the panel is still shuffled once: the lives are joined on its key."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = rolling_split(panel, lifecycle.unit_lives(panel), S.splits["val"], S.horizon)
+        plan = split._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange hashpartitioning(serial_number") == 2
+    assert "SortMergeJoin" in plan and "SinglePartition" not in plan
+
+
+def test_summary_does_not_sort_the_panel(panel):
+    plan = lifecycle.drive_summary(panel)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("SortAggregate") < plan.index("HashAggregate") < plan.index("Scan")
+    assert "Sort [" not in plan[plan.index("HashAggregate"):]
+
+
+def test_newest_rows_are_limited_before_the_shuffle(panel):
+    plan = windows.latest_snapshot(panel)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan[plan.index("Exchange"):]
+
+
 def test_latest_snapshot(panel):
     latest = {r.serial_number: r.date for r in windows.latest_snapshot(panel).collect()}
     expected = {r.serial_number: r.d for r in panel.groupBy("serial_number").agg(F.max("date").alias("d")).collect()}
