@@ -294,32 +294,23 @@ def fit_hazard_forest(frame: DataFrame, categories: int, trees: int = 30, depth:
     ).fit(person_periods(frame))
 
 
-def predict_hazard_forest(
-    model: PipelineModel, frame: DataFrame, keys: Sequence[str] = ("serial_number", "date")
-) -> DataFrame:
-    """Survival curve from the period hazards; the area under it is the expected life."""
-    starts = [0, *PERIOD_ENDS[:-1]]
-    widths = [b - a for a, b in zip(starts, PERIOD_ENDS)]
-    every = F.explode(F.array(*[F.lit(float(i)) for i in range(len(PERIOD_ENDS))]))
-    keep = [c for c in frame.columns if c not in (*INPUTS,)]
-    hazards = (
-        model.transform(frame.withColumn("period", every))
-        .withColumn("hazard", F.get(vector_to_array(F.col("probability")), 1))
-        .groupBy(*keep)
-        .agg(F.sort_array(F.collect_list(F.struct("period", "hazard"))).alias("curve"))
-    )
-    wide = F.array(*[F.lit(float(w)) for w in widths])
-    start = F.struct(F.lit(1.0).alias("alive"), F.lit(0.0).alias("area"))
+def predict_hazard_forest(model: PipelineModel, frame: DataFrame) -> DataFrame:
+    """Survival curve from the period hazards; the area under it is the expected life.
 
-    def live(acc, step):
-        after = acc["alive"] * (1.0 - step["hazard"])
-        width = F.get(wide, step["period"].cast("int"))
+    The periods are scored side by side as columns of the same row, so nothing is shuffled.
+    """
+    keep = [c for c in frame.columns if c not in INPUTS]
+    scored = frame
+    for i in range(len(PERIOD_ENDS)):
+        hazard = F.get(vector_to_array(F.col("probability")), 1).alias(f"_h{i}")
+        before = scored.columns
+        scored = model.transform(scored.withColumn("period", F.lit(float(i)))).select(*before, hazard)
+    alive, area = F.lit(1.0), F.lit(0.0)
+    for i, (start, end) in enumerate(zip([0, *PERIOD_ENDS[:-1]], PERIOD_ENDS)):
+        scored = scored.withColumn(f"_alive{i}", alive * (1.0 - F.col(f"_h{i}")))
         # Deaths are spread evenly over their period.
-        return F.struct(
-            after.alias("alive"), (acc["area"] + width * (acc["alive"] + after) / 2.0).alias("area")
-        )
-
-    area = F.aggregate("curve", start, live, lambda acc: acc["area"])
-    return hazards.withColumn("pred_time", clean_rul(area)).select(
+        area = area + float(end - start) * (alive + F.col(f"_alive{i}")) / 2.0
+        alive = F.col(f"_alive{i}")
+    return scored.withColumn("pred_time", clean_rul(area)).select(
         *keep, "pred_time", (-F.col("pred_time")).alias("risk")
     )

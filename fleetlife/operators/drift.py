@@ -25,6 +25,7 @@ from fleetlife.contracts import (
 from fleetlife.functions.arrays import count_not_above
 from fleetlife.functions.labels import capacity_gb
 from fleetlife.operators.prefix import CELLS_PER_BUCKET, quantile_columns, running_totals
+from fleetlife.session import stage
 
 COLUMNS = [
     "feature",
@@ -78,6 +79,7 @@ def numeric_drift(
         .groupBy("feature", "value")
         .agg(F.count_if("in_ref").alias("n_ref"), F.count_if("in_cur").alias("n_cur"))
     )
+    enough = (F.col("n_ref_total") >= MIN_DRIFT_ROWS) & (F.col("n_cur_total") >= MIN_DRIFT_ROWS)
     totals = running_totals(
         cells,
         "value",
@@ -85,7 +87,9 @@ def numeric_drift(
         ["feature"],
         cells_per_bucket=cells_per_bucket,
         group_count=len(features),
-    ).where((F.col("n_ref_total") >= MIN_DRIFT_ROWS) & (F.col("n_cur_total") >= MIN_DRIFT_ROWS))
+    ).where(enough)
+    # Read for the edges and again for the bins.
+    totals = stage(totals.drop("n_ref_before", "n_cur_before"))
 
     probabilities = [i / bins for i in range(bins + 1)]
     edges = totals.groupBy("feature").agg(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlife.contracts import SEQUENCE_LENGTH, SMART_BIG5, Span
 from fleetlife.functions.hashing import hash_slot
+from fleetlife.operators.eda import feature_stats
 from fleetlife.operators.lifecycle import in_span
 from fleetlife.operators.sampling import balanced_cap, prune_to_units, unit_sample
 from fleetlife.operators.windows import DAY_NUMBER, forward_fill, with_day_number
@@ -75,3 +76,10 @@ def sequence_dataset(
     remaining = F.greatest(F.datediff("last_date", "date"), F.lit(1)).cast("float")
     anchors = windows.select("serial_number", "date", "window", "event", remaining.alias("dur"))
     return anchors if max_anchors is None else balanced_cap(anchors, max_anchors)
+
+
+def reading_stats(table: DataFrame, columns: Sequence[str] = tuple(SMART_BIG5)) -> DataFrame:
+    """Mean and population deviation (+ 1e-6) of each reading over all rows and steps."""
+    steps = table.select(F.explode("window").alias("reading"))
+    values = [F.get("reading", i).cast("double").alias(c) for i, c in enumerate(columns)]
+    return feature_stats(steps.select(*values), columns)

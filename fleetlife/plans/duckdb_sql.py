@@ -333,6 +333,18 @@ def oracle_sql() -> dict[str, str]:
   QUALIFY row_number() OVER (PARTITION BY serial_number ORDER BY {order}, date)
     <= CASE WHEN event = 1 THEN {per_event} ELSE {per_censored} END)"""
 
+    windows = f"""{E_LIFE}, {anchor_rows(TEST, 30, 4)},
+wide AS (SELECT * FROM panel WHERE {_span(TEST.with_lookback(30))}), {_fill('wide')},
+numbered AS (SELECT *, row_number() OVER (PARTITION BY serial_number ORDER BY date) AS place FROM filled),
+steps AS (SELECT a.serial_number, a.date, a.event, greatest(a.rul_time_days, 1) AS dur, n.place, s.step
+  FROM anchors a JOIN numbered n USING (serial_number, date), (SELECT unnest(range(30)) AS step) s),
+windows AS (SELECT s.serial_number, s.date, s.event, s.dur, CAST(s.step AS INTEGER) AS step, {_STEP_VALUES}
+  FROM steps s LEFT JOIN numbered f ON f.serial_number = s.serial_number AND f.place = s.place - 29 + s.step)"""
+    step_stats = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_pop({c}) + 1e-6, 4) AS std FROM windows"
+        for c in SMART_BIG5
+    )
+
     return {
         "ingest_audit": f"""WITH {LINEITEM}
 SELECT concat(year(date), '-Q', quarter(date)) AS quarter, count(DISTINCT date) AS days, count(*) AS rows,
@@ -485,13 +497,8 @@ days AS (SELECT time AS duration, count(*) AS n, count(*) FILTER (event = 1) AS
 SELECT duration, deaths, CAST(sum(n) OVER (ORDER BY duration DESC) AS BIGINT) AS at_risk,
   round(sum(weight) OVER (ORDER BY duration DESC), 6) AS risk_weight FROM days""",
         "sequence_anchors": f"WITH {E_LIFE}, {anchor_rows(VAL, 3, 2)} SELECT serial_number, date, event FROM anchors",
-        "sequence_windows": f"""WITH {E_LIFE}, {anchor_rows(TEST, 30, 4)},
-wide AS (SELECT * FROM panel WHERE {_span(TEST.with_lookback(30))}), {_fill('wide')},
-numbered AS (SELECT *, row_number() OVER (PARTITION BY serial_number ORDER BY date) AS place FROM filled),
-steps AS (SELECT a.serial_number, a.date, a.event, greatest(a.rul_time_days, 1) AS dur, n.place, s.step
-  FROM anchors a JOIN numbered n USING (serial_number, date), (SELECT unnest(range(30)) AS step) s)
-SELECT s.serial_number, s.date, s.event, s.dur, CAST(s.step AS INTEGER) AS step, {_STEP_VALUES}
-FROM steps s LEFT JOIN numbered f ON f.serial_number = s.serial_number AND f.place = s.place - 29 + s.step""",
+        "sequence_windows": f"WITH {windows} SELECT * FROM windows",
+        "sequence_stats": f"WITH {windows} {step_stats}",
         "fleet_alerts": f"""WITH {CARD} SELECT serial_number, model, raw_score, failure_probability, rul_days, alert_level,
   models_agree, CASE WHEN models_agree THEN 'high' ELSE 'low' END AS confidence FROM card""",
         "fleet_alert_counts": f"WITH {CARD} SELECT alert_level, count(*) AS drives FROM card GROUP BY 1",

@@ -448,6 +448,17 @@ def sequence_windows(spark, sf):
     )
 
 
+@query
+def sequence_stats(spark, sf):
+    """Standardisation constants of the sequence inputs."""
+    panel = events_panel(spark, sf)
+    table = sequences.sequence_dataset(
+        panel, lifecycle.unit_lives(panel), S.splits["test"],
+        event_units=None, censored_units=None, max_anchors=None,
+    )
+    return rounded(sequences.reading_stats(table), 4, ["mean", "std"])
+
+
 # --- scoring -----------------------------------------------------------------------------
 
 
