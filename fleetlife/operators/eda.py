@@ -11,24 +11,13 @@ from fleetlife.contracts import HORIZONS, RISK_BIN_EDGES, RISK_BIN_NAMES
 
 
 def ingest_audit(panel: DataFrame) -> DataFrame:
-    """Days, rows, failures and repeated unit-days per quarter.
-
-    Counting first per unit-day and per day keeps every group small before the final roll-up.
-    """
+    """Days, rows and failures per quarter; a partial count per day leaves each task."""
     quarter = F.concat(F.year("date").cast("string"), F.lit("-Q"), F.quarter("date").cast("string"))
-    unit_days = panel.groupBy("serial_number", "date").agg(
-        F.count("*").alias("rows"), F.sum("failure").alias("failures")
-    )
-    days = unit_days.groupBy("date").agg(
-        F.sum("rows").alias("rows"),
-        F.sum("failures").alias("failures"),
-        F.count_if(F.col("rows") > 1).alias("repeated"),
-    )
+    days = panel.groupBy("date").agg(F.count("*").alias("rows"), F.sum("failure").alias("failures"))
     return days.groupBy(quarter.alias("quarter")).agg(
         F.count("*").alias("days"),
         F.sum("rows").alias("rows"),
         F.sum("failures").cast("long").alias("failures"),
-        F.sum("repeated").alias("repeated_unit_days"),
     )
 
 

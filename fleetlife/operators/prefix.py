@@ -15,28 +15,31 @@ from pyspark.sql import functions as F
 
 from fleetlife.session import stage
 
-#: Mean number of cells one task sorts. One cut point is kept per that many cells.
+#: Mean number of cells in a bucket.
 CELLS_PER_BUCKET = 25_000
 
-#: With more cut points than this, every tenth is kept, and so on: the list stays small
-#: however many cells there are.
-MAX_CUT_POINTS = 20_000
+#: Cells drawn per bucket; every eighth of them, in order, becomes a cut point. Cutting at each
+#: drawn cell would make some buckets many times larger than others.
+DRAWN_PER_BUCKET = 8
+
+#: With more drawn cells than this, a tenth is drawn, and so on: the list stays small however
+#: many cells there are.
+MAX_DRAWN = 40_000
 
 _HASH_SPAN = 10**12
 
 
-def _is_cut_point(order_by: str, cells_per_cut: int) -> Column:
+def _is_drawn(order_by: str, cells_per_draw: int) -> Column:
     slot = F.pmod(F.xxhash64(order_by), F.lit(_HASH_SPAN))
-    return slot < max(_HASH_SPAN // cells_per_cut, 1)
+    return slot < max(_HASH_SPAN // cells_per_draw, 1)
 
 
-def _choose_cut_points(
-    cells: DataFrame, order_by: str, cells_per_bucket: int, groups: int
-) -> tuple[int, int]:
-    """Cells per cut point, and the number of cut points that gives."""
-    rates = [cells_per_bucket * 10**i for i in range(6)]
-    counts = cells.agg(*[F.count_if(_is_cut_point(order_by, r)) for r in rates]).first()
-    limit = MAX_CUT_POINTS * groups
+def _choose_rate(cells: DataFrame, order_by: str, cells_per_bucket: int, groups: int) -> tuple[int, int]:
+    """Cells per drawn cell, and how many that draws."""
+    finest = max(cells_per_bucket // DRAWN_PER_BUCKET, 1)
+    rates = [finest * 10**i for i in range(6)]
+    counts = cells.agg(*[F.count_if(_is_drawn(order_by, r)) for r in rates]).first()
+    limit = MAX_DRAWN * groups
     return next(((r, n) for r, n in zip(rates, counts) if n <= limit), (rates[-1], counts[-1]))
 
 
@@ -75,23 +78,25 @@ def running_totals(
     if not keys:
         keys, cells = ["_all"], cells.withColumn("_all", F.lit(0))
     cells = stage(cells.select(*keys, order_by, *sums))
-    rate, cut_points = _choose_cut_points(cells, order_by, cells_per_bucket, group_count)
+    rate, drawn = _choose_rate(cells, order_by, cells_per_bucket, group_count)
     order = F.col(order_by).desc() if descending else F.col(order_by).asc()
     first, current = Window.unboundedPreceding, Window.currentRow
     whole = Window.partitionBy(*keys)
 
-    if cut_points == 0:
+    if drawn < DRAWN_PER_BUCKET:
         # Few cells: every group fits a task.
         placed = cells
         inside = whole.orderBy(order).rowsBetween(first, current)
         upto = {s: F.sum(s).over(inside) for s in sums}
         total = {s: F.sum(s).over(whole) for s in sums}
     else:
-        edges = cells.where(_is_cut_point(order_by, rate)).groupBy(*keys)
-        edge_lists = edges.agg(F.sort_array(F.collect_list(order_by)).alias("_edges"))
-        # At most MAX_CUT_POINTS values per group of ``group_count``: small enough to broadcast.
+        # At most MAX_DRAWN values per group of ``group_count``: small enough to broadcast.
+        ordered = F.sort_array(F.collect_list(order_by))
+        last = F.lit(DRAWN_PER_BUCKET - 1)
+        cuts = F.filter(ordered, lambda _, i: i % DRAWN_PER_BUCKET == last).alias("_edges")
+        edge_lists = cells.where(_is_drawn(order_by, rate)).groupBy(*keys).agg(cuts)
         edged = cells.join(F.broadcast(edge_lists), keys, "left")
-        placed = _with_bucket(edged, order_by, cut_points)
+        placed = _with_bucket(edged, order_by, drawn // DRAWN_PER_BUCKET)
         # One row per bucket from here.
         per_bucket = placed.groupBy(*keys, "_bucket").agg(*[F.sum(s).alias(s) for s in sums])
         bucket_order = F.col("_bucket").desc() if descending else F.col("_bucket").asc()

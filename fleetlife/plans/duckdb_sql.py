@@ -348,8 +348,7 @@ windows AS (SELECT s.serial_number, s.date, s.event, s.dur, CAST(s.step AS INTEG
     return {
         "ingest_audit": f"""WITH {LINEITEM}
 SELECT concat(year(date), '-Q', quarter(date)) AS quarter, count(DISTINCT date) AS days, count(*) AS rows,
-  CAST(sum(failure) AS BIGINT) AS failures, count(*) - count(DISTINCT (serial_number, date)) AS repeated_unit_days
-FROM panel GROUP BY 1""",
+  CAST(sum(failure) AS BIGINT) AS failures FROM panel GROUP BY 1""",
         "drive_summary": f"WITH {LINEITEM},{SUMMARY} SELECT {life_columns} FROM summary",
         "drive_summary_as_of": f"""WITH {EVENTS},{_summary(where=f"date <= DATE '{TRAIN.last}'")}
 SELECT {life_columns} FROM summary""",

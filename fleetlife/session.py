@@ -1,8 +1,12 @@
-"""Session helpers: settings the jobs rely on, and where intermediate tables are kept."""
+"""Session helpers: settings the jobs rely on, and where intermediate tables are kept.
+
+Staged tables stay in the checkpoint folder of the application until that folder is emptied.
+"""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,29 +36,29 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder of the session.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder of the session.
 
     Only a local session without one gets a temporary folder; a cluster must name a folder that
     all executors see in ``spark.checkpoint.dir``.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fleetlife-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    if sc.getCheckpointDir() is None:
+        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fleetlife-checkpoint-"))
+    return sc.getCheckpointDir()
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
+    """Write ``df`` as a Parquet table below the shared checkpoint folder and read it back.
 
-    Used where one intermediate result feeds several branches of a plan, so that the branches
-    neither recompute it nor depend on executors that may be lost.
+    Used where one intermediate result feeds several branches of a plan or several fits. The
+    branches neither recompute it nor depend on executors that may be lost, they read only the
+    columns they need, and the planner knows the size of the table.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
