@@ -149,6 +149,26 @@ def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     )
 
 
+def write_bucketed_panel(panel: DataFrame, table: str, path: str, buckets: int) -> None:
+    """The panel as a catalog table that is partitioned by quarter and bucketed by unit.
+
+    Windows, summaries and joins by unit then read it without any shuffle. ``buckets`` should
+    make a bucket of one quarter a few hundred megabytes.
+    """
+    (
+        with_quarter(one_row_per_day(panel))
+        .repartition(buckets, "serial_number")
+        .write.mode("overwrite")
+        .format("parquet")
+        .option("path", path)
+        .option("compression", "zstd")
+        .partitionBy("quarter")
+        .bucketBy(buckets, "serial_number")
+        .sortBy("serial_number", "date")
+        .saveAsTable(table)
+    )
+
+
 def read_panel(spark: SparkSession, path: str, may_repeat: bool = False) -> DataFrame:
     """The stored panel. Filter on ``quarter`` as well as ``date`` to skip folders.
 

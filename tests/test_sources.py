@@ -15,6 +15,7 @@ from fleetlife.sources.panel import (
     read_header,
     read_panel,
     read_zipped_quarters,
+    write_bucketed_panel,
     write_panel,
     write_report,
 )
@@ -108,6 +109,34 @@ def test_repeated_unit_days(spark, panel):
     assert once.select(panel.columns).exceptAll(panel).isEmpty()
 
 
+def test_bucketed_panel_needs_no_shuffle(spark, panel, tmp_path):
+    from fleetlife.operators.lifecycle import unit_lives
+    from fleetlife.plans.datasets import rolling_split
+    from fleetlife.sources.testdata import EVENT_SETTINGS
+
+    write_bucketed_panel(panel, "bucketed_panel", str(tmp_path / "bucketed"), 4)
+    table = spark.table("bucketed_panel")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        split = rolling_split(table, unit_lives(table), EVENT_SETTINGS.splits["val"], 7)
+        plan = split._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan
+        expected = rolling_split(panel, unit_lives(panel), EVENT_SETTINGS.splits["val"], 7)
+        assert split.count() == expected.count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE bucketed_panel")
+
+
+def test_hot_placeholder_unit(spark, panel, tmp_path):
+    """A unit that repeats one day many times is one row per day before anything is sorted."""
+    copies = F.explode(F.sequence(F.lit(1), F.lit(5000))).alias("copy")
+    hot = panel.limit(1).select("*", copies).drop("copy")
+    path = str(tmp_path / "hot")
+    write_panel(panel.unionByName(hot), path)
+    assert read_panel(spark, path).count() == panel.count()
+
+
 def test_report_sink(spark, tmp_path):
     write_report(spark.range(3), str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 3
