@@ -32,7 +32,7 @@ SURVIVAL_BOARD = (
 
 def prepared_splits(splits: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], int]:
     """Encode all splits with the categories of train and write them once."""
-    book = stage(codebook(splits["train"]))
+    book = codebook(splits["train"])
     categories = book.count()
     return {name: stage(prepare(df, book, categories)) for name, df in splits.items()}, categories
 

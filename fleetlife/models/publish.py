@@ -91,7 +91,7 @@ def publish(
 ) -> Artifacts:
     """Train on the train span; calibrate and set alert thresholds on the validation span."""
     frame = stage(training_frame(panel, summary, settings.splits["train"], settings.horizon, healthy))
-    book = stage(codebook(frame))
+    book = codebook(frame)
     categories = book.count()
     train = stage(prepare(frame, book, categories))
     known = train.where(F.col("y").isNotNull())

@@ -106,8 +106,9 @@ def numeric_drift(
     distance = F.abs(
         F.col("n_ref_upto") / F.col("n_ref_total") - F.col("n_cur_upto") / F.col("n_cur_total")
     )
+    # One row per feature: broadcast, because a join on the feature would gather all its values.
     per_bin = (
-        totals.join(inner, "feature")
+        totals.join(F.broadcast(inner), "feature")
         .withColumn("bin", count_not_above(F.col("inner"), F.col("value"), longest=bins - 1))
         .groupBy("feature", "bin")
         .agg(
@@ -161,7 +162,7 @@ def categorical_drift(both: DataFrame, features: Sequence[str]) -> DataFrame:
     totals = cells.groupBy("feature").agg(F.sum("n_ref").alias("ref"), F.sum("n_cur").alias("cur"))
     is_new = (F.col("n_ref") == 0) & (F.col("n_cur") > 0)
     stats = (
-        cells.join(totals, "feature")
+        cells.join(F.broadcast(totals), "feature")
         .groupBy("feature")
         .agg(
             F.sum(

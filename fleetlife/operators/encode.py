@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlife.operators.prefix import running_totals
+from fleetlife.session import stage
 
 
 def codebook(train: DataFrame, column: str = "model") -> DataFrame:
-    """Distinct non-null categories with their code."""
+    """Distinct non-null categories with their code, as a written table of known size."""
     distinct = train.where(F.col(column).isNotNull()).select(column).distinct()
     ranked = running_totals(distinct.withColumn("n", F.lit(1).cast("long")), column, ["n"])
-    return ranked.select(column, F.col("n_before").cast("int").alias("code"))
+    return stage(ranked.select(column, F.col("n_before").cast("int").alias("code")))
 
 
 def encode(frame: DataFrame, book: DataFrame, column: str = "model", code: str = "model_code") -> DataFrame:

@@ -72,21 +72,23 @@ def smallest_hashes(
     reached is looked up, and only the rows of that one slot are ranked.
     """
     within = list(within)
+    # One row per group, given by the caller: always broadcast, so that no join moves the rows of
+    # a large group to one task.
+    limits = limits.select(*within, "n")
     hashed = frame.withColumn("_slot", hash_slot(*keys))
     per_slot = hashed.groupBy(*within, "_slot").agg(F.count("*").alias("_rows"))
     order = Window.partitionBy(*within).orderBy("_slot")
     before = F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cut = (
         per_slot.withColumn("_before", before)
-        .join(limits.select(*within, "n"), within)
+        .join(F.broadcast(limits), within)
         .where((F.col("_before") < F.col("n")) & (F.col("_before") + F.col("_rows") >= F.col("n")))
         .select(*within, F.col("_slot").alias("_cut"), (F.col("n") - F.col("_before")).alias("_room"))
     )
-    has_limit = limits.select(*within, F.col("n").alias("_n"))
+    has_limit = limits.where("n > 0").select(*within)
     near = (
-        hashed.join(has_limit, within)
-        .where("_n > 0")
-        .join(cut, within, "left")
+        hashed.join(F.broadcast(has_limit), within)
+        .join(F.broadcast(cut), within, "left")
         # A group that never reaches its limit has no cut and is kept whole.
         .where(F.col("_cut").isNull() | (F.col("_slot") <= F.col("_cut")))
     )
@@ -99,7 +101,7 @@ def smallest_hashes(
             | (F.col("_slot") < F.col("_cut"))
             | (F.col("_place") <= F.col("_room"))
         )
-        .drop("_slot", "_cut", "_room", "_n", "_place")
+        .drop("_slot", "_cut", "_room", "_place")
     )
 
 

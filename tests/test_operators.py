@@ -324,6 +324,16 @@ def test_smallest_hashes_with_one_hot_slot(spark):
     assert kept.count() == 17 and kept.select("id").distinct().count() == 17
 
 
+def test_sample_plan_moves_no_group_to_one_task(scores):
+    """The joins on the group are broadcasts; rows are only shuffled by (group, hash slot)."""
+    limits = scores.sparkSession.createDataFrame([(0, 50), (1, 20)], "event tinyint, n bigint")
+    kept = sampling.smallest_hashes(scores, limits, ["serial_number", "date"], ["event"])
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(event" in line]
+    assert sum("_slot" not in line for line in moved) == 1  # the counts per slot, not the rows
+
+
 def test_balanced_cap(scores):
     counts = scores.agg(F.count_if(F.col("event") == 1), F.count_if(F.col("event") == 0)).first()
     got = sampling.balanced_cap(scores, 60).agg(F.count_if(F.col("event") == 1), F.count_if(F.col("event") == 0)).first()
