@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlife.llm import decontaminate, mixing, qualityrules, sharding
+from fleetlife.llm import decontaminate, licenses, mixing, pii, qualityrules, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -62,3 +62,35 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    found = pii.find_pii(table(spark, sf_dir, "documents", "doc_id", "text"))
+    counts = {f"n_{k.name}": F.size(pii.of_kind(k.name)).cast("long") for k in pii.KINDS if k.base}
+    return found.withColumns(counts).select(
+        "doc_id",
+        *counts,
+        F.sha2(pii.span_list(F.filter("pii", lambda s: s["base"])), 256).alias("base_sha256"),
+        pii.span_list(F.col("pii")).alias("spans"),
+    )
+
+
+@query
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document. Score: the largest containment of a notice, or 1 for a phrase."""
+    scanned = licenses.scan_licenses(table(spark, sf_dir, "documents", "doc_id", "text"))
+    base, more = F.transform("places", lambda p: p["label"]), F.transform("blocks", lambda b: b["label"])
+    at = F.transform("places", lambda p: p["word"])
+    best = F.array_max(F.transform("blocks", lambda b: b["containment"]))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, more))), ",").alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
