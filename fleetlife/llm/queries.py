@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlife.llm import decontaminate, htmltext, licenses, mixing, pii, qualityrules, sharding, toxicity
+from fleetlife.llm import decontaminate, htmltext, jaccardjoin, licenses, mixing, pii, qualityrules, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -117,3 +117,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("toxicity").alias("score"),
         (F.col("toxicity") >= toxicity.REJECT).cast("int").alias("predicted"),
     )
+
+
+@query
+def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose four-word shingles are 85 % the same."""
+    return jaccardjoin.link_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
