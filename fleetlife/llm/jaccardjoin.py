@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlife.llm.components import components
-from fleetlife.llm.sharedkeys import shared
+from fleetlife.llm.sharedkeys import shared, slice_bits
 from fleetlife.llm.textparts import Texts, splitmix, with_results
 from fleetlife.session import stage
 
@@ -230,7 +230,8 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         return signatures(own, values, len(part), percent)
 
     texts = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
-    found = shared(texts, keys_of, total, "_id", "_text", leaders=True)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = shared(texts, keys_of, slice_bits(total, tasks), "_id", "_text", leaders=True)
     near = found.select(F.col("doc_id").alias("a"), F.explode("found").alias("b")).where("a != b").distinct()
     # Of equal sets only the first takes part from here.
     for end in ("a", "b"):

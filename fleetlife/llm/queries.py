@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlife.llm import decontaminate, htmltext, jaccardjoin, licenses, mixing, pii, qualityrules, sharding, toxicity
+from fleetlife.llm import (
+    decontaminate,
+    htmltext,
+    jaccardjoin,
+    licenses,
+    mixing,
+    pii,
+    qualityrules,
+    sharding,
+    substringdedup,
+    toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -123,3 +134,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_partenum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose four-word shingles are 85 % the same."""
     return jaccardjoin.link_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that repeat 50 bytes of an earlier one."""
+    cut = substringdedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        n_removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

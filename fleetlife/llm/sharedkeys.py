@@ -33,7 +33,13 @@ KeysOf = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
 
 def slice_bits(total_bytes: int, least: int) -> int:
     """Bits of the slice number: enough slices for the text, and for all tasks to have some."""
-    return max(int(total_bytes // SLICE_TEXT), 4 * least).bit_length()
+    return max(int(total_bytes // SLICE_TEXT), 2 * least).bit_length()
+
+
+def key_bits(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys cut to the bits that are compared."""
+    low = np.uint64(64 - bits - 48)
+    return keys >> low << low
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], doc: str, text: str, keys_of: KeysOf):
@@ -87,23 +93,21 @@ def _lists(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
 
 
 def shared(
-    docs: DataFrame, keys_of: KeysOf, total_bytes: int, doc: str = "doc_id", text: str = "text", leaders: bool = False
+    docs: DataFrame, keys_of: KeysOf, bits: int, doc: str = "doc_id", text: str = "text", leaders: bool = False
 ) -> DataFrame:
     """(doc_id, found) rows: the keys that a document shares with others, or with ``leaders`` documents.
 
-    ``found`` holds keys as signed longs (the bits of slice and 48 more; the others are 0). With
+    The key space is cut into ``2**bits`` slices. ``found`` holds keys (see ``key_bits``) as signed longs. With
     ``leaders`` it holds the smallest document of the chunk or of all chunks that has a common key, so
     that the pairs (doc_id, found) connect all documents with a common key. A document can have several
     rows. ``doc`` holds longs without nulls.
     """
-    spark = docs.sparkSession
-    bits = slice_bits(total_bytes, int(spark.conf.get("spark.sql.shuffle.partitions")))
     low = np.uint64(64 - bits - 48)
     cut = np.uint64(64 - bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, keys in _chunks(batches, doc, text, keys_of):
-            own, keys = _sorted_pairs(own, keys >> low << low)
+            own, keys = _sorted_pairs(own, key_bits(keys, bits))
             begin, sizes = _groups(keys)
             rows: list[tuple] = []
             many = np.repeat(sizes > 1, sizes)
