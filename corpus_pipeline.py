@@ -47,7 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "copies")
     own = Window.partitionBy("_id").orderBy("_size", F.desc("copies"))
     mixed = mixed.withColumn("_nth", F.row_number().over(own))
-    names, moved = set_aside(docs, ["copies", "_nth", "_id", "_size"])
+    names, moved = set_aside(docs, ["copies", "_nth", "_id", "_size", "_words", "_n", "_copy"])
     same = Window.partitionBy("doc_id").orderBy("_words")
     numbered = names.withColumn("_words", mixing.word_count("text")).withColumn("_n", F.row_number().over(same))
     taken = numbered.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_nth")))
