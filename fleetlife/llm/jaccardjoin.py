@@ -5,9 +5,10 @@ threshold differ in at most k elements, k following from the band's largest size
 partitioned by hash, and signatures are made such that sets which differ in at most k elements share one:
 
 * small bands (k <= 3): k + 2 partitions, a signature for each subset of two of them;
-* others: k + 1 + t partitions, a signature for each. Sets within k share t + 1 of them at least. A set that
-  has at most t weak partitions (with one element or none, as many unlike sets have) leaves these out; one
-  with more keeps them, so no pair loses its last common signature.
+* others: groups of three partitions, a signature for each subset of two of a group. With g groups, g - k // 2
+  have one different partition at most, so sets within k share a signature in t + 1 groups at least, for
+  g = k // 2 + 1 + t. A weak signature (one element or none, as many unlike sets have) is left out by a set
+  that has some in at most t groups; a set with more keeps them, so no pair loses its last common signature.
 
 A set also gets the signatures of the next band if a partner can be that large. Sets with a common signature
 are connected into candidate groups (not pairs), and each group is verified: exactly, in blocks of bounded
@@ -31,13 +32,16 @@ from fleetlife.llm.sharedkeys import shared, slice_bits
 from fleetlife.llm.textparts import Texts, splitmix, with_results
 from fleetlife.session import stage
 
-#: Share of partitions that agree beyond the last one.
-SLACK = 0.2
+#: Groups that agree beyond the last one (t above), as a share of the others.
+SLACK = 0.1
 
 #: Documents and set elements of a block. A task holds two blocks.
 BLOCK_DOCS = 512
 BLOCK_ELEMENTS = 1_000_000
 
+#: Rows of (id, group, blocks) that are broadcast at most: 24 bytes each.
+BROADCAST_ROWS = 1_000_000
+
 
 def shingle_sets(part: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Rows and hashes of the distinct runs of ``n`` words of each row, in order.
@@ -78,10 +82,14 @@ def band_edges(percent: int) -> np.ndarray:
     return np.array(edges, np.int64)
 
 
-def _band_plan(band: int, percent: int) -> tuple[int, int]:
-    """k and the number of partitions of a band."""
-    k = int(most_apart(*([int(band_edges(percent)[band + 1]) - 1] * 2), percent))
-    return k, k + 2 if k <= 3 else k + 1 + int(SLACK * (k + 1)) + 1
+def _band_plan(band: int, percent: int) -> tuple[int, int, int]:
+    """k, the number of partitions, and t of a band."""
+    largest = int(band_edges(percent)[band + 1]) - 1
+    k = int(most_apart(largest, largest, percent))
+    if k <= 3:
+        return k, k + 2, 0
+    spare = 2 + int(SLACK * (k // 2 + 1))
+    return k, 3 * (k // 2 + 1 + spare), spare
 
 
 def signatures(rows: np.ndarray, values: np.ndarray, count: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,7 +105,7 @@ def signatures(rows: np.ndarray, values: np.ndarray, count: int, percent: int) -
         using = sizes > 0 if not shift else (sizes > 0) & (reach >= edges[np.minimum(bands + 1, len(edges) - 1)])
         for band in np.unique(bands[using] + shift).tolist():
             own = np.flatnonzero(using & (bands + shift == band))
-            k, parts = _band_plan(band, percent)
+            k, parts, spare = _band_plan(band, percent)
             places = _ranges(first[own], sizes[own])
             local = np.repeat(np.arange(len(own)), sizes[own])
             cell = local * parts + (mixed[places] % np.uint64(parts)).astype(np.int64)
@@ -112,13 +120,15 @@ def signatures(rows: np.ndarray, values: np.ndarray, count: int, percent: int) -
                     out_rows.append(own)
                     out.append(splitmix(splitmix(sums[:, a] + tag) ^ sums[:, b]))
             else:
-                spare = parts - k - 1
-                weak = held <= 1
-                keep = ~weak | (weak.sum(1) > spare)[:, None]
-                r, p = np.nonzero(keep)
-                tag = (np.uint64(band) << np.uint64(40)) + p.astype(np.uint64)
-                out_rows.append(own[r])
-                out.append(splitmix(sums[r, p] + splitmix(tag)))
+                sums, held = (x.reshape(len(own), -1, 3) for x in (sums, held))
+                pairs = ((0, 1), (0, 2), (1, 2))
+                weak = np.stack([held[:, :, a] + held[:, :, b] <= 1 for a, b in pairs], 2)
+                keep = ~weak | (weak.any(2).sum(1) > spare)[:, None, None]
+                for i, (a, b) in enumerate(pairs):
+                    r, g = np.nonzero(keep[:, :, i])
+                    tag = splitmix((np.uint64(band) << np.uint64(40)) + g.astype(np.uint64) * np.uint64(4) + np.uint64(i))
+                    out_rows.append(own[r])
+                    out.append(splitmix(splitmix(sums[r, g, a] + tag) ^ sums[r, g, b]))
     if not out:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     return np.concatenate(out_rows), np.concatenate(out)
@@ -237,14 +247,14 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     for end in ("a", "b"):
         near = near.join(copies, F.col(end) == F.col("_id")).drop(end, "_id").withColumnRenamed("_first", end)
     groups = stage(components(near))
-    links = _verified(rows, groups, n, percent)
+    links = _verified(rows, sets, groups, n, percent)
     edges = links.union(copies.select("_id", "_first"))
     reached = components(edges)
     joined = sets.select("_id", "n_shingles").join(reached, F.col("_id") == F.col("node"), "left")
     return joined.select(F.col("_id").alias(key), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
 
 
-def _verified(rows: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
+def _verified(rows: DataFrame, sets: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
     """Edges (a, b) that connect the same documents as all links within the candidate groups."""
 
     def packed(part: Texts) -> list[pa.Array]:
@@ -252,13 +262,18 @@ def _verified(rows: DataFrame, groups: DataFrame, n: int, percent: int) -> DataF
         ends = np.searchsorted(own, np.arange(len(part) + 1))
         return [pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())]
 
-    members = rows.join(groups, F.col("_id") == F.col("node")).select("_id", "_text", F.col("component").alias("_group"))
-    members = with_results(members, "_text", [T.StructField("_set", T.BinaryType())], packed)
-    members = stage(members.where(F.length("_set") > 0).select("_id", "_group", "_set"))
-    elements = F.sum(F.length("_set")) / 8
-    sizes = members.groupBy("_group").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, elements / BLOCK_ELEMENTS)).alias("_blocks"))
-    placed = members.join(sizes.withColumnRenamed("_group", "_g"), F.col("_group") == F.col("_g")).drop("_g")
-    placed = placed.withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
+    sizes = sets.groupBy("_id").agg(F.sum("n_shingles").alias("_n")).join(groups, F.col("_id") == F.col("node"))
+    sizes = sizes.select("node", "component", "_n")
+    need = F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("_n") / BLOCK_ELEMENTS)
+    blocks = sizes.groupBy("component").agg(F.ceil(need).alias("_blocks"))
+    members = stage(sizes.join(blocks, "component").select("node", F.col("component").alias("_group"), "_blocks"))
+    # Few documents have a partner at all: up to a checked number of rows, their ids go to the texts;
+    # beyond it, the texts are shuffled.
+    if members.count() <= BROADCAST_ROWS:
+        members = F.broadcast(members)
+    placed = rows.join(members, F.col("_id") == F.col("node")).drop("node")
+    placed = with_results(placed, "_text", [T.StructField("_set", T.BinaryType())], packed).drop("_text")
+    placed = placed.where(F.length("_set") > 0).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
     # Each block meets itself and every other block once.
     meets = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1),

@@ -25,7 +25,7 @@ CHUNK_BYTES = 24 << 20
 #: Text whose keys make up one slice of the key space.
 SLICE_TEXT = 16 << 20
 
-_PACKED = "slice int, first long, keys binary, more binary, docs binary, known boolean"
+_PACKED = "slice int, first long, keys binary, docs binary, known boolean"
 FOUND = "doc_id long, found array<long>"
 
 KeysOf = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
@@ -73,14 +73,26 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return begin, np.diff(np.append(begin, len(keys)))
 
 
-def _narrow(values: np.ndarray) -> bytes:
-    """Numbers from 0 in four bytes each if they fit, else in eight, after a byte that says which."""
-    wide = len(values) and int(values.max()) >> 32
-    return bytes([8 if wide else 4]) + values.astype(np.uint64 if wide else np.uint32).tobytes()
+def pack(values: np.ndarray) -> bytes:
+    """Numbers from 0, each in as few bytes as the largest needs: first the width, then a plane per byte."""
+    values = np.ascontiguousarray(values.astype(np.uint64))
+    width = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return bytes([width, 0]) + len(values).to_bytes(6, "little") + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
-def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64 if data[0] == 8 else np.uint32, offset=1).astype(np.int64)
+def unpack(data: bytes) -> np.ndarray:
+    width, count = data[0], int.from_bytes(data[2:8], "little")
+    out = np.zeros((count, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, offset=8).reshape(width, count).T
+    return out.view(np.uint64).reshape(-1)
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
 
 
 def _lists(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
@@ -118,27 +130,18 @@ def shared(
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, known.schema) as writer:
                     writer.write_batch(known)
-                rows.append((spread, 0, sink.getvalue().to_pybytes(), b"", b"", True))
+                rows.append((spread, 0, sink.getvalue().to_pybytes(), b"", True))
             asker, key = own[begin], keys[begin]
             slot = (key >> cut).astype(np.int64)
             rest = (key & ((np.uint64(1) << cut) - np.uint64(1))) >> low
             first = int(asker.min()) if len(asker) else 0
             at, sizes = _groups(slot)
             for a, n in zip(at.tolist(), sizes.tolist()):
-                part = rest[a : a + n]
-                rows.append(
-                    (
-                        int(slot[a]),
-                        first,
-                        (part >> np.uint64(16)).astype(np.uint32).tobytes(),
-                        (part & np.uint64(0xFFFF)).astype(np.uint16).tobytes(),
-                        _narrow(asker[a : a + n] - first),
-                        False,
-                    )
-                )
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.bool_()]
+                own_docs = pack(asker[a : a + n] - first)
+                rows.append((int(slot[a]), first, pack_sorted(rest[a : a + n]), own_docs, False))
+            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
             columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(columns, ["slice", "first", "keys", "more", "docs", "known"])
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "first", "keys", "docs", "known"])
 
     def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, own, keys = np.uint64(key[0].as_py()), [], []
@@ -147,9 +150,8 @@ def shared(
                 if row["known"]:
                     yield from pa.ipc.open_stream(row["keys"])
                     continue
-                high, tail = np.frombuffer(row["keys"], np.uint32), np.frombuffer(row["more"], np.uint16)
-                keys.append(high.astype(np.uint64) << np.uint64(16) | tail)
-                own.append(_wide(row["docs"]) + row["first"])
+                keys.append(unpack_sorted(row["keys"]))
+                own.append(unpack(row["docs"]).astype(np.int64) + row["first"])
         if not keys:
             return
         own, keys = _sorted_pairs(np.concatenate(own), np.concatenate(keys))

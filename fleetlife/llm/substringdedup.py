@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlife.llm.sharedkeys import CHUNK_BYTES, _groups, key_bits, shared, slice_bits
+from fleetlife.llm.sharedkeys import CHUNK_BYTES, _groups, key_bits, pack, pack_sorted, shared, slice_bits, unpack, unpack_sorted
 from fleetlife.llm.suffixsort import equal_prefixes, sort_suffixes
 from fleetlife.llm.textparts import _EXACT_VALUE, PIECE_BYTES, Texts, as_lists, powers, slices, span_hashes, splitmix, with_results
 from fleetlife.session import stage
@@ -42,7 +42,8 @@ HOT_DOCUMENTS = 20_000
 #: A place in a text has so many bits.
 _PLACE_BITS = 40
 
-_BOUND = "slice int, docs binary, starts binary, windows binary, keys binary, text binary, known boolean"
+_BOUND = "slice int, first long, docs binary, starts binary, windows binary, keys binary, size long, text binary, known boolean"
+_CODEC = "zstd"
 _COVERED = "doc_id long, starts array<long>, ends array<long>"
 
 
@@ -111,7 +112,10 @@ class Pieces:
         return self.starts + self.windows + LENGTH - 1
 
     def without_copies(self) -> tuple[Pieces, np.ndarray, np.ndarray, np.ndarray]:
-        """One piece of each text, by bucket; and what that settles: documents, starts and ends."""
+        """The smallest document's pieces of each text, by bucket; and what that settles: documents, starts, ends.
+
+        A document can have the same piece at several places, and keeps all of them.
+        """
         hashes = self.hashes()
         order = np.lexsort((self.starts, self.docs, hashes, self.windows, self.keys))
         k, h, w = self.keys[order], hashes[order], self.windows[order]
@@ -119,10 +123,10 @@ class Pieces:
         new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1]) | (w[1:] != w[:-1])
         leader = np.repeat(self.docs[order[new]], np.diff(np.append(np.flatnonzero(new), len(order))))
         gone = order[self.docs[order] > leader]
-        return self.take(order[new]), self.docs[gone], self.starts[gone], self.ends()[gone]
+        return self.take(order[self.docs[order] == leader]), self.docs[gone], self.starts[gone], self.ends()[gone]
 
 
-def _pieces_of(data: np.ndarray, doc: int, wanted: np.ndarray, hot: np.ndarray, bits: int) -> Iterator[tuple]:
+def _pieces_of(data: np.ndarray, doc: int, wanted: np.ndarray, hot: np.ndarray, bits: int, mark: int) -> Iterator[tuple]:
     """The runs of windows of one text whose bucket is wanted: the columns of Pieces."""
     keys = key_bits(window_keys(data), bits)
     begin, sizes = _groups(keys)
@@ -139,7 +143,7 @@ def _pieces_of(data: np.ndarray, doc: int, wanted: np.ndarray, hot: np.ndarray,
             key = keys[starts]
         span = windows + LENGTH - 1
         places = np.arange(int(span.sum())) + np.repeat(starts - (np.cumsum(span) - span), span)
-        yield np.full(len(starts), doc), starts + _mark(data), windows, key, data[places]
+        yield np.full(len(starts), doc), starts + mark, windows, key, data[places]
 
 
 def _flush(parts: list[tuple], bits: int) -> pa.RecordBatch:
@@ -150,17 +154,19 @@ def _flush(parts: list[tuple], bits: int) -> pa.RecordBatch:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, known.schema) as writer:
             writer.write_batch(known)
-        rows.append((int(settled[0][0]) & ((1 << bits) - 1), sink.getvalue().to_pybytes(), b"", b"", b"", b"", True))
+        spread = int(settled[0][0]) & ((1 << bits) - 1)
+        rows.append((spread, 0, sink.getvalue().to_pybytes(), b"", b"", b"", 0, b"", True))
     slot = (pieces.keys >> np.uint64(64 - bits)).astype(np.int64)
+    first = int(pieces.docs.min())
     begin, sizes = _groups(slot)
     for a, n in zip(begin.tolist(), sizes.tolist()):
-        numbers = (x[a : a + n] for x in (pieces.docs, pieces.starts, pieces.windows))
+        numbers = (pack(x[a : a + n]) for x in (pieces.docs - first, pieces.starts, pieces.windows))
         text = pieces.text[pieces.at[a] : pieces.at[a + n]].tobytes()
-        rows.append((int(slot[a]), *(x.astype(np.int64).tobytes() for x in numbers), pieces.keys[a : a + n].tobytes(), text, False))
-    kinds = [pa.int32(), *[pa.binary()] * 5, pa.bool_()]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slice", "docs", "starts", "windows", "keys", "text", "known"]
-    )
+        packed = pa.compress(text, _CODEC, asbytes=True)
+        rows.append((int(slot[a]), first, *numbers, pack_sorted(pieces.keys[a : a + n]), len(text), packed, False))
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 4, pa.int64(), pa.binary(), pa.bool_()]
+    names = ["slice", "first", "docs", "starts", "windows", "keys", "size", "text", "known"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def _covered(docs: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
@@ -202,17 +208,19 @@ def _sort_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             if row["known"]:
                 yield from pa.ipc.open_stream(row["docs"])
                 continue
-            numbers = (np.frombuffer(row[c], np.int64) for c in ("docs", "starts", "windows"))
-            parts.append((*numbers, np.frombuffer(row["keys"], np.uint64), np.frombuffer(row["text"], np.uint8)))
+            docs, starts, windows = (unpack(row[c]).astype(np.int64) for c in ("docs", "starts", "windows"))
+            text = np.frombuffer(pa.decompress(row["text"], row["size"], _CODEC), np.uint8)
+            parts.append((docs + row["first"], starts, windows, unpack_sorted(row["keys"]), text))
     if not parts:
         return
     pieces, *settled = Pieces(*(np.concatenate(c) for c in zip(*parts))).without_copies()
     parts.clear()
     if len(settled[0]):
         yield _covered(*settled)
-    # Buckets with one text have nothing to compare. The others, a block of text at a time.
+    # Buckets with one document have nothing to compare. The others, a block of text at a time.
     begin, sizes = _groups(pieces.keys)
-    begin, sizes = begin[sizes > 1], sizes[sizes > 1]
+    several = np.maximum.reduceat(pieces.docs, begin) > np.minimum.reduceat(pieces.docs, begin)
+    begin, sizes = begin[several], sizes[several]
     weight = np.cumsum(pieces.at[begin + sizes] - pieces.at[begin])
     k = 0
     while k < len(begin):
@@ -240,9 +248,9 @@ def _merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts[cut], ends[np.append(np.flatnonzero(cut)[1:], len(starts)) - 1]
 
 
-def _mark(data: np.ndarray) -> int:
-    """Bits above all places in a text that tell texts with the same id apart."""
-    return (zlib.crc32(data) & 0x3FFFFF) << _PLACE_BITS
+def _mark(data: np.ndarray, again: bool | None) -> int:
+    """Bits above all places in a text that tell texts with the same id apart, if there are any."""
+    return (zlib.crc32(data) & 0x3FFFFF) << _PLACE_BITS if again else 0
 
 
 def _is_copy(data: np.ndarray, copies: list[str] | None) -> bool:
@@ -251,13 +259,14 @@ def _is_copy(data: np.ndarray, copies: list[str] | None) -> bool:
 
 def _cut(part: Texts) -> list:
     runs, counts, kept = [], [], []
-    columns = (part.column(c).to_pylist() for c in ("_copies", "_starts", "_ends"))
-    for d, (copies, starts, ends) in enumerate(zip(*columns)):
+    columns = (part.column(c).to_pylist() for c in ("_again", "_copies", "_starts", "_ends"))
+    for d, (again, copies, starts, ends) in enumerate(zip(*columns)):
         data = part.data[part.offsets[d] : part.offsets[d + 1]]
+        mark = _mark(data, again)
         if _is_copy(data, copies):
-            starts, ends = [_mark(data)], [_mark(data) + len(data)]
+            starts, ends = [mark], [mark + len(data)]
         if starts:
-            a, b, mark = np.array(starts, np.int64), np.array(ends, np.int64), _mark(data)
+            a, b = np.array(starts, np.int64), np.array(ends, np.int64)
             own = a >> _PLACE_BITS == mark >> _PLACE_BITS
             a, b = _merged(a[own] - mark, b[own] - mark) if own.any() else (a[:0], b[:0])
             at = np.append(0, b)
@@ -288,28 +297,40 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     first = sums.groupBy("_md5").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_c")).where("_c > 1")
     copies = sums.join(first, "_md5").where("_id > _first").select("_id", "_md5").distinct()
     found = stage(shared(named, _bucket_keys, bits, "_id", "_text"))
-    each = found.select(F.col("doc_id").alias("_id"), F.explode("found").alias("_key")).distinct()
+    each = found.select(F.explode("found").alias("_key"))
     busy = stage(each.groupBy("_key").agg(F.count(F.lit(1)).alias("_docs")).where(F.col("_docs") > HOT_DOCUMENTS).select("_key"))
     hot = np.array([r[0] for r in busy.toLocalIterator()], np.int64).view(np.uint64)
     shared_hot = spark.sparkContext.broadcast(np.sort(hot))  # total keys / HOT_DOCUMENTS numbers at most
 
-    none = F.lit(None)
-    known = found.select(F.col("doc_id").alias("_id"), F.col("found").alias("_keys"), none.cast("string").alias("_md5"))
-    known = known.union(copies.select("_id", none.cast("array<long>"), "_md5"))
-    info = stage(known.groupBy("_id").agg(F.flatten(F.collect_list("_keys")).alias("_keys"), F.collect_set("_md5").alias("_copies")))
+    several = sums.groupBy("_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").select("_id")
+    kinds = {"_keys": "array<long>", "_md5": "string", "_again": "boolean"}
+
+    def given(frame: DataFrame, **own) -> DataFrame:
+        return frame.select("_id", *[own.get(c, F.lit(None).cast(t)).alias(c) for c, t in kinds.items()])
+
+    known = given(found.withColumnRenamed("doc_id", "_id"), _keys=F.col("found"))
+    known = known.union(given(copies, _md5=F.col("_md5"))).union(given(several, _again=F.lit(True)))
+    info = known.groupBy("_id").agg(
+        F.flatten(F.collect_list("_keys")).alias("_keys"),
+        F.collect_set("_md5").alias("_copies"),
+        F.coalesce(F.bool_or("_again"), F.lit(False)).alias("_again"),
+    )
+    info = stage(info)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for batch in batches:
             for part in slices(batch, "_text"):
                 ids = part.ids("_id")
-                for d, (keys, gone) in enumerate(zip(part.column("_keys"), part.column("_copies"))):
+                columns = (part.column(c) for c in ("_keys", "_copies", "_again"))
+                for d, (keys, gone, again) in enumerate(zip(*columns)):
                     data = part.data[part.offsets[d] : part.offsets[d + 1]]
                     wanted = keys.values
                     if wanted is None or not len(wanted) or _is_copy(data, gone.as_py()):
                         continue
                     wanted = wanted.to_numpy(zero_copy_only=False).view(np.uint64)
-                    for found in _pieces_of(data, int(ids[d]), wanted, shared_hot.value, bits):
+                    mark = _mark(data, again.as_py())
+                    for found in _pieces_of(data, int(ids[d]), wanted, shared_hot.value, bits, mark):
                         parts.append(found)
                         size += len(found[-1])
                 if size >= CHUNK_BYTES:
@@ -320,15 +341,15 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     # Both joins read the same exchange of the texts.
     dealt = named.join(info.withColumnRenamed("_id", "_i"), F.col("_id") == F.col("_i"), "left").drop("_i")
-    buckets = dealt.select("_id", "_text", "_keys", "_copies").mapInArrow(pieces, _BOUND).groupBy("slice")
+    buckets = dealt.select("_id", "_text", "_keys", "_copies", "_again").mapInArrow(pieces, _BOUND).groupBy("slice")
     covered = buckets.applyInArrow(_sort_buckets, _COVERED)
     spans = covered.groupBy(F.col("doc_id").alias("_i")).agg(
         F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("ends")).alias("_ends")
     )
-    gone = info.where(F.size("_copies") > 0).select(F.col("_id").alias("_c"), "_copies")
+    gone = info.where((F.size("_copies") > 0) | F.col("_again")).select(F.col("_id").alias("_c"), "_copies", "_again")
     judged = named.join(spans, F.col("_id") == F.col("_i"), "left").join(gone, F.col("_id") == F.col("_c"), "left")
-    nameless = rows.where(F.col("_id").isNull()).select(
-        "_id", "_text", *(F.lit(None).cast(t).alias(c) for c, t in (("_copies", "array<string>"), ("_starts", "array<long>"), ("_ends", "array<long>")))
-    )
-    judged = judged.select("_id", "_text", "_copies", "_starts", "_ends").union(nameless)
+    judged = judged.select("_id", "_text", "_again", "_copies", "_starts", "_ends")
+    nothing = {f.name: F.lit(None).cast(f.dataType) for f in judged.schema.fields[2:]}
+    nameless = rows.where(F.col("_id").isNull()).withColumns(nothing).select(judged.columns)
+    judged = judged.union(nameless)
     return with_results(judged, "_text", RESULT, _cut).select(F.col("_id").alias(key), *[f.name for f in RESULT])

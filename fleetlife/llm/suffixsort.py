@@ -53,10 +53,12 @@ def sort_suffixes(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarra
     def two(at: np.ndarray) -> np.ndarray:  # two bytes, then a sample rank: for remainders 0 and 2
         return (padded[at] << byte | padded[at + 1]) << rank_bits | ranks[at + 2]
 
-    zero = groups[0][np.argsort(one(groups[0]), kind="stable")]
-    sample = np.concatenate(groups[1:])
+    # Ranks are by a limited depth, and either key looks a byte further: ties are put in its order.
+    zero = groups[0][np.lexsort((two(groups[0]), one(groups[0])))]
+    first = groups[1][np.lexsort((one(groups[1]), ranks[groups[1]]))]
+    second = groups[2][np.lexsort((two(groups[2]), ranks[groups[2]]))]
+    sample = np.concatenate([first, second])
     sample = sample[np.argsort(ranks[sample], kind="stable")]
-    first, second = sample[sample % 3 == 1], sample[sample % 3 == 2]
     # Where the others stand among the sample: by remainder, each with the shift that suits both.
     before = np.searchsorted(one(first), one(zero)) + np.searchsorted(two(second), two(zero))
     out = np.empty(len(places), np.int64)
