@@ -75,10 +75,10 @@ def most_apart(size_a, size_b, percent: int):
 @cache
 def band_edges(percent: int) -> np.ndarray:
     """The smallest size of every band up to 2**40. Partners are in the same or a neighbouring band:
-    the largest size of a band is about the square of the largest partner's share times its smallest."""
-    edges, ratio = [1], (100 / percent) ** 2
+    a band reaches as far as a partner of its smallest size can."""
+    edges = [1]
     while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, int(edges[-1] * ratio)))
+        edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
     return np.array(edges, np.int64)
 
 
