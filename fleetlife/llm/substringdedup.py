@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlife.llm.sharedkeys import CHUNK_BYTES, _groups, key_bits, pack, pack_sorted, shared, slice_bits, unpack, unpack_sorted
+from fleetlife.llm.sharedkeys import _groups, key_bits, pack, pack_sorted, shared, slice_bits, unpack, unpack_sorted
 from fleetlife.llm.suffixsort import equal_prefixes, sort_suffixes
 from fleetlife.llm.textparts import _EXACT_VALUE, PIECE_BYTES, Texts, as_lists, powers, slices, span_hashes, splitmix, with_results
 from fleetlife.session import stage
@@ -36,6 +36,9 @@ GRAM = 20
 #: Text that is sorted at a time.
 BLOCK_BYTES = 1 << 20
 
+#: Text of pieces that a task collects before it sends them.
+CHUNK_BYTES = 8 << 20
+
 #: A bucket of more documents than this is cut by window.
 HOT_DOCUMENTS = 20_000
 
@@ -89,6 +92,20 @@ def _bucket_keys(part: Texts) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def gather(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of a text one after another; index arrays are made for a megabyte at a time."""
+    ends = np.cumsum(sizes)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    i = 0
+    while i < len(starts):
+        done = int(ends[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, "right")))
+        own = np.arange(int(ends[j - 1]) - done)
+        out[done : ends[j - 1]] = text[own + np.repeat(starts[i:j] - (ends[i:j] - sizes[i:j] - done), sizes[i:j])]
+        i = j
+    return out
+
+
 class Pieces:
     """Runs of windows: document, place of the first window, number of windows, bucket, and their text."""
 
@@ -100,10 +117,9 @@ class Pieces:
         return len(self.docs)
 
     def take(self, which: np.ndarray) -> Pieces:
-        sizes = self.windows[which] + LENGTH - 1
-        places = np.arange(int(sizes.sum())) + np.repeat(self.at[which] - (np.cumsum(sizes) - sizes), sizes)
         columns = (self.docs, self.starts, self.windows, self.keys)
-        return Pieces(*(c[which] for c in columns), self.text[places])
+        text = gather(self.text, self.at[which], self.windows[which] + LENGTH - 1)
+        return Pieces(*(c[which] for c in columns), text)
 
     def hashes(self) -> np.ndarray:
         return span_hashes(self.text, self.at[:-1], self.at[1:], fold_case=False)
@@ -141,9 +157,7 @@ def _pieces_of(data: np.ndarray, doc: int, wanted: np.ndarray, hot: np.ndarray,
             key = key_bits(gram_hashes(data, LENGTH)[starts], bits)
         else:
             key = keys[starts]
-        span = windows + LENGTH - 1
-        places = np.arange(int(span.sum())) + np.repeat(starts - (np.cumsum(span) - span), span)
-        yield np.full(len(starts), doc), starts + mark, windows, key, data[places]
+        yield np.full(len(starts), doc), starts + mark, windows, key, gather(data, starts, windows + LENGTH - 1)
 
 
 def _flush(parts: list[tuple], bits: int) -> pa.RecordBatch:
