@@ -18,6 +18,7 @@ JOBS = [
     "fleet-report",
     "datasets",
     "compare-classifiers",
+    "compare-horizons",
     "compare-survival",
     "search",
     "train",
@@ -32,7 +33,7 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("job", choices=JOBS)
     parser.add_argument("--root", required=True, help="folder of all tables, shared by the executors")
     parser.add_argument("--config", help="settings as JSON; the published ones by default")
-    parser.add_argument("--inputs", nargs="+", default=[], help="ingest: zip archives or one folder")
+    parser.add_argument("--inputs", nargs="+", default=[], help="ingest: zip archives and folders")
     parser.add_argument("--header", nargs="+", help="ingest: column names, needed for archives")
     parser.add_argument("--kind", default="rolling", help="datasets: big5, full, rolling, survival, sequences")
     parser.add_argument("--model", default="boosted_trees", help="search: model name")
@@ -49,7 +50,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> DataFrame | None:
     root = options.root
     match options.job:
         case "ingest":
-            header = options.header or read_header(spark, options.inputs[0])
+            header = options.header or read_header(spark, [p for p in options.inputs if not p.endswith(".zip")])
             return jobs.ingest(spark, options.inputs, header, root)
         case "life-history":
             return jobs.life_history(spark, root, settings)
@@ -58,7 +59,9 @@ def run(spark: SparkSession, options: argparse.Namespace) -> DataFrame | None:
         case "datasets":
             jobs.datasets(spark, root, settings, options.kind)
         case "compare-classifiers":
-            return jobs.compare_classifiers(spark, root)
+            return jobs.compare_classifiers(spark, root, settings, options.kind)
+        case "compare-horizons":
+            return jobs.compare_horizons(spark, root, settings)
         case "compare-survival":
             return jobs.compare_survival(spark, root)
         case "search":

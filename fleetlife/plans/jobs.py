@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,23 +18,34 @@ from fleetlife.operators.scoring import alert_counts, request_features
 from fleetlife.operators.sequences import sequence_dataset
 from fleetlife.plans.datasets import dataset_job, life_history_job, write_table
 from fleetlife.plans.monitoring import mlops_loop, monitor
+from fleetlife.session import stage
 from fleetlife.sources.panel import (
+    add_to_panel,
+    in_quarters,
+    path_exists,
     read_day_files,
     read_panel,
     read_zipped_quarters,
-    write_panel,
+    with_quarter,
     write_report,
 )
 
 
 def ingest(spark: SparkSession, inputs: Sequence[str], header: Sequence[str], out: str) -> DataFrame:
-    """Zip archives or one folder of day files -> stored panel; returns the audit of the input."""
-    if all(p.endswith(".zip") for p in inputs):
-        raw = read_zipped_quarters(spark, inputs, header)
-    else:
-        raw = read_day_files(spark, inputs[0], header)
-    write_panel(raw, f"{out}/panel")
-    return eda.ingest_audit(raw)
+    """Zip archives and folders of day files, all of them, into the stored panel.
+
+    Returns the audit of the quarters that came in, as they are stored now.
+    """
+    zipped = [p for p in inputs if p.endswith(".zip")]
+    folders = [p for p in inputs if not p.endswith(".zip")]
+    parts = [read_zipped_quarters(spark, zipped, header)] if zipped else []
+    parts += [read_day_files(spark, folders, header)] if folders else []
+    raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    days = stage(raw)  # parsed once
+    add_to_panel(days, f"{out}/panel")
+    stored = spark.read.parquet(f"{out}/panel")
+    touched = [r[0] for r in with_quarter(days.select("date")).select("quarter").distinct().collect()]
+    return eda.ingest_audit(in_quarters(stored, touched))
 
 
 def _tables(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -77,8 +90,18 @@ def _read_splits(spark: SparkSession, root: str, kind: str) -> dict[str, DataFra
     return {n: spark.read.parquet(f"{root}/datasets/{kind}/{n}") for n in ("train", "val", "test")}
 
 
-def compare_classifiers(spark: SparkSession, root: str) -> DataFrame:
-    return bakeoff.run_bakeoff(_read_splits(spark, root, "rolling"), log_path=f"{root}/runs/classifiers")
+def compare_classifiers(
+    spark: SparkSession, root: str, settings: Settings | None = None, kind: str = "rolling"
+) -> DataFrame:
+    """Leaderboard on one dataset kind: rolling, big5 or full."""
+    beta = (settings or Settings()).fbeta
+    return bakeoff.run_bakeoff(_read_splits(spark, root, kind), log_path=f"{root}/runs/classifiers", beta=beta)
+
+
+def compare_horizons(spark: SparkSession, root: str, settings: Settings) -> DataFrame:
+    """Leaderboards of the rolling features for each horizon of the settings."""
+    panel, summary = _tables(spark, root)
+    return bakeoff.run_horizons(panel, summary, settings)
 
 
 def compare_survival(spark: SparkSession, root: str) -> DataFrame:
@@ -87,11 +110,22 @@ def compare_survival(spark: SparkSession, root: str) -> DataFrame:
 
 
 def search(spark: SparkSession, root: str, model: str, trials: int = 20) -> DataFrame:
-    return bakeoff.tune(_read_splits(spark, root, "rolling"), model, trials)
+    """Search settings of a model and keep the trials; production training uses the best one."""
+    results = bakeoff.tune(_read_splits(spark, root, "rolling"), model, trials)
+    write_table(results, f"{root}/search/{model}")
+    return spark.read.parquet(f"{root}/search/{model}")
+
+
+def best_settings(spark: SparkSession, root: str, model: str) -> dict[str, Any] | None:
+    """The best setting that ``search`` has found for a model, if it was run."""
+    path = f"{root}/search/{model}"
+    if not path_exists(spark, path):
+        return None
+    return json.loads(spark.read.parquet(path).where("is_best").first().params)
 
 
 def train_production(spark: SparkSession, root: str, settings: Settings, healthy: int | None = None) -> Artifacts:
-    artifacts = publish(*_tables(spark, root), settings, healthy)
+    artifacts = publish(*_tables(spark, root), settings, healthy, best_settings(spark, root, "boosted_trees"))
     artifacts.save(f"{root}/models")
     return artifacts
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlife.contracts import STRING_COLUMNS
+from fleetlife.session import stage
 
 _SPARK_TYPES = {"date": T.DateType(), "capacity_bytes": T.LongType(), "failure": T.ByteType()}
 _ARROW_TYPES = {"date": pa.date32(), "capacity_bytes": pa.int64(), "failure": pa.int8()}
@@ -38,16 +39,18 @@ def panel_schema(header: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, column_type(c)) for c in header])
 
 
-def read_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names from the first line of one day file (a folder is searched for ``*.csv``)."""
+def read_header(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """Column names from the first line of one day file (folders are searched for ``*.csv``)."""
     lines = (
-        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+        spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path if isinstance(path, str) else list(path))
     )
     return next(csv.reader([lines.first().value]))
 
 
-def read_day_files(spark: SparkSession, path: str, header: Sequence[str] | None = None) -> DataFrame:
-    """Typed rows of all day files below a folder.
+def read_day_files(
+    spark: SparkSession, path: str | Sequence[str], header: Sequence[str] | None = None
+) -> DataFrame:
+    """Typed rows of all day files below a folder or several.
 
     Types are pinned, nothing is inferred, empty cells are null. A file whose header or values do
     not fit the schema stops the job. Only ``*.csv`` is read; hidden files, ``._*`` copies and
@@ -62,7 +65,7 @@ def read_day_files(spark: SparkSession, path: str, header: Sequence[str] | None
         .option("dateFormat", "yyyy-MM-dd")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
-        .csv(path)
+        .csv(path if isinstance(path, str) else list(path))
     )
 
 
@@ -123,26 +126,53 @@ def with_quarter(panel: DataFrame) -> DataFrame:
 
 
 def one_row_per_day(panel: DataFrame) -> DataFrame:
-    """Collapse repeated unit-days to one row with the largest known values.
+    """Collapse repeated unit-days to one of their rows, taken whole.
 
-    Partial aggregation merges repeats before the shuffle, so a placeholder unit that holds a
-    large part of all rows leaves each task as a handful of rows. Windows rely on this.
+    A row that reports a failure is preferred, then the largest row in the order of the columns, so
+    the choice doesn't depend on the input's order. Each task merges its own repeats before the
+    shuffle (sorted, because rows hold text), so a placeholder unit that holds a large part of all
+    rows moves as a handful of rows per task. Windows rely on this.
     """
     rest = [c for c in panel.columns if c not in ("serial_number", "date")]
-    return panel.groupBy("serial_number", "date").agg(*[F.max(c).alias(c) for c in rest])
+    ranked = sorted(rest, key=lambda c: c != "failure")
+    best = panel.groupBy("serial_number", "date").agg(F.max(F.struct(*ranked)).alias("_row"))
+    return best.select("serial_number", "date", *[F.col("_row")[c].alias(c) for c in rest]).select(panel.columns)
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def stream_folder(path: str) -> str:
+    """Where the stream keeps its batches, beside the panel it adds to."""
+    return f"{path.rstrip('/')}-stream"
+
+
+def add_to_panel(panel: DataFrame, path: str) -> None:
+    """Add rows to the stored panel. Other quarters stay as they are; a quarter that is stored already
+    keeps its rows, and a unit-day that comes again is one row."""
+    spark = panel.sparkSession
+    if path_exists(spark, path):
+        stored = spark.read.parquet(path)
+        touched = [r[0] for r in with_quarter(panel.select("date")).select("quarter").distinct().collect()]
+        # Staged, because the same folders are written.
+        panel = panel.unionByName(stage(in_quarters(stored, touched).drop("quarter")), allowMissingColumns=True)
+    write_panel(panel, path)
 
 
 def write_panel(panel: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Parquet with zstd, one folder per quarter, one row per unit and day.
 
-    Rows are spread by (quarter, unit), so a quarter is written by many tasks, and sorted so that
-    row groups cover few units.
+    Only the quarters of ``panel`` are replaced. Rows are spread by (quarter, unit), so a quarter is
+    written by many tasks, and sorted so that row groups cover few units.
     """
     (
         with_quarter(one_row_per_day(panel))
         .repartition("quarter", "serial_number")
         .sortWithinPartitions("quarter", "serial_number", "date")
         .write.mode(mode)
+        .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy("quarter")
         .parquet(path)
@@ -170,13 +200,18 @@ def write_bucketed_panel(panel: DataFrame, table: str, path: str, buckets: int)
 
 
 def read_panel(spark: SparkSession, path: str, may_repeat: bool = False) -> DataFrame:
-    """The stored panel. Filter on ``quarter`` as well as ``date`` to skip folders.
+    """The stored panel with what the stream has added; ``in_span`` reads only the quarters it needs.
 
-    ``may_repeat`` is for a panel that the stream appends to, where a day file may have arrived
-    twice under different names.
+    Streamed days may repeat stored ones or each other, so they are merged, which ``may_repeat``
+    asks for in any case.
     """
-    panel = spark.read.parquet(path)
-    return one_row_per_day(panel) if may_repeat else panel
+    batches = stream_folder(path)
+    streamed = path_exists(spark, batches)
+    parts = [spark.read.parquet(path)] if path_exists(spark, path) or not streamed else []
+    if streamed:
+        parts.append(spark.read.option("basePath", batches).parquet(f"{batches}/*").drop("batch"))
+    panel = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return one_row_per_day(panel) if may_repeat or streamed else panel
 
 
 def in_quarters(panel: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -116,7 +116,7 @@ def formula_scores(labels: DataFrame, horizon: int = 7) -> DataFrame:
 
     h = F.col("_h")
     return (
-        labels.withColumn("_h", hash_slot("serial_number", "date"))
+        labels.withColumn("_h", hash_slot("serial_number", "date") % 1_000_000)
         .withColumn("score", F.round((h / 1_000_000.0 + F.col("event") * 0.5) / 1.5, 6))
         .withColumn("pred_time", (h % 40 + 1).cast("double"))
         .select(

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from fleetlife.sources.panel import panel_schema, with_quarter
+from fleetlife.sources.panel import panel_schema, stream_folder, with_quarter
 
 
 def ingest_new_days(
@@ -18,11 +18,22 @@ def ingest_new_days(
     header: Sequence[str],
     files_per_batch: int = 1000,
 ) -> StreamingQuery:
-    """Append all new day files of ``landing`` to the panel, then stop.
+    """Add all new day files of ``landing`` to the panel, then stop.
 
-    The file sink commits each batch with its log, so a batch that is run again after a failure
-    does not add rows twice. There is no state: nothing is aggregated in the stream.
+    Each batch is a folder of its own beside the panel, which ``read_panel`` reads together with the
+    rest. A batch that is run again after a failure replaces its folder, so it adds no row twice.
+    There is no state: nothing is aggregated in the stream.
     """
+
+    def write(batch: DataFrame, number: int) -> None:
+        (
+            with_quarter(batch)
+            .write.mode("overwrite")
+            .option("compression", "zstd")
+            .partitionBy("quarter")
+            .parquet(f"{stream_folder(panel)}/batch={number}")
+        )
+
     stream = (
         spark.readStream.schema(panel_schema(header))
         .option("header", True)
@@ -34,13 +45,8 @@ def ingest_new_days(
         .csv(landing)
     )
     return (
-        with_quarter(stream)
-        .writeStream.format("parquet")
-        .option("path", panel)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
-        .option("compression", "zstd")
-        .partitionBy("quarter")
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

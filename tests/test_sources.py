@@ -6,7 +6,9 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlife.contracts import Span, quarter_name
 from fleetlife.operators.eda import ingest_audit
+from fleetlife.plans import jobs
 from fleetlife.sources.panel import (
     in_quarters,
     one_row_per_day,
@@ -147,10 +149,74 @@ def test_only_new_days_are_ingested(spark, landing, tmp_path):
 
     def run():
         ingest_new_days(spark, str(landing), *places, HEADER).awaitTermination()
-        return spark.read.parquet(places[0]).count()
+        return read_panel(spark, places[0]).count()
 
     assert run() == 2
     assert run() == 2
     (landing / "2024-10-02.csv").write_text(DAY_2)
     assert run() == 3
-    assert [r.quarter for r in spark.read.parquet(places[0]).select("quarter").distinct().collect()] == ["2024-Q4"]
+    assert [r.quarter for r in read_panel(spark, places[0]).select("quarter").distinct().collect()] == ["2024-Q4"]
+
+
+def test_stream_adds_to_a_stored_panel(spark, landing, tmp_path):
+    path = str(tmp_path / "panel")
+    jobs.ingest(spark, [str(landing)], HEADER, str(tmp_path))
+    later = tmp_path / "later"
+    later.mkdir()
+    (later / "2024-10-02.csv").write_text(DAY_2)
+    (later / "2024-10-01.csv").write_text(DAY_1)  # the stored day once more
+    ingest_new_days(spark, str(later), path, str(tmp_path / "checkpoint"), HEADER).awaitTermination()
+    rows = read_panel(spark, path).orderBy("date", "serial_number").collect()
+    assert [(r.date.day, r.serial_number) for r in rows] == [(1, "A"), (1, "B"), (2, "A")]
+    assert read_panel(spark, path).columns == [*HEADER, "quarter"]
+
+
+def day_folder(folder, name, text):
+    folder.mkdir()
+    (folder / f"{name}.csv").write_text(text)
+    return str(folder)
+
+
+def test_ingests_keep_what_is_stored(spark, tmp_path):
+    """One quarter, then two folders at once (one of them with the same quarter again), then nothing new."""
+    first = day_folder(tmp_path / "a", "2024-10-01", DAY_1)
+    second = day_folder(tmp_path / "b", "2024-10-02", DAY_2)
+    third = day_folder(tmp_path / "c", "2025-01-05", DAY_2.replace("2024-10-02", "2025-01-05"))
+    audit = jobs.ingest(spark, [first], HEADER, str(tmp_path)).collect()
+    assert [(r.quarter, r.rows) for r in audit] == [("2024-Q4", 2)]
+    audit = jobs.ingest(spark, [second, third], HEADER, str(tmp_path)).collect()
+    assert sorted((r.quarter, r.days, r.rows) for r in audit) == [("2024-Q4", 2, 3), ("2025-Q1", 1, 1)]
+    audit = jobs.ingest(spark, [third], HEADER, str(tmp_path)).collect()
+    assert [(r.quarter, r.rows) for r in audit] == [("2025-Q1", 1)]
+    assert read_panel(spark, str(tmp_path / "panel")).count() == 4
+
+
+def test_repeated_day_is_one_whole_row(spark):
+    rows = [("A", date(2024, 10, 1), 0, 9.0, None), ("A", date(2024, 10, 1), 1, None, 5.0), ("A", date(2024, 10, 1), 1, 2.0, 3.0)]
+    frame = spark.createDataFrame(rows, "serial_number string, date date, failure tinyint, x double, y double")
+    assert [tuple(r) for r in one_row_per_day(frame).collect()] == [rows[2]]
+
+
+def test_spans_read_their_quarters_only(spark, panel, tmp_path):
+    from fleetlife.operators.windows import rolling_span
+    from fleetlife.plans.datasets import label_counts, point_in_time_split, survival_split
+    from fleetlife.operators.lifecycle import unit_lives
+
+    path = str(tmp_path / "panel")
+    write_panel(panel.unionByName(panel.withColumn("date", F.add_months("date", 7))), path)
+    stored = read_panel(spark, path)
+    span = Span(date(2024, 1, 5), date(2024, 1, 20))
+    lives = unit_lives(panel)
+    jobs_of_a_span = [
+        rolling_span(stored, span), label_counts(stored, lives, span, 7),
+        point_in_time_split(stored, lives, span, 7), survival_split(stored, lives, span),
+    ]
+    for frame in jobs_of_a_span:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(quarter" in plan and "quarter#" in plan.split("PartitionFilters: [")[1][:120]
+    assert rolling_span(stored, span).count() == rolling_span(panel, span).count()
+
+
+def test_names_of_quarters_sort_like_days():
+    assert [quarter_name(date(2023, m, 1)) for m in (1, 3, 4, 12)] == ["2023-Q1", "2023-Q1", "2023-Q2", "2023-Q4"]
+    assert quarter_name(date(2023, 12, 31)) < quarter_name(date(2024, 1, 1))
