@@ -67,6 +67,11 @@ def quarter_range(name: str) -> tuple[date, date]:
     return start, following - timedelta(days=1)
 
 
+def quarter_name(day: date) -> str:
+    """The quarter of a day, written like ``2024-Q4``."""
+    return f"{day.year:04d}-Q{(day.month + 2) // 3}"
+
+
 @dataclass(frozen=True)
 class Span:
     """An inclusive range of days."""
@@ -117,6 +122,7 @@ class Settings:
             splits={
                 name: Span.of_quarters(split[f"{name}_quarters"]) for name in ("train", "val", "test")
             },
+            horizon=int(raw["labels"].get("primary_horizon_days", cls.horizon)),
             horizons=tuple(raw["labels"]["horizons_days"]),
             negatives_per_positive=ratio,
             survival_ratios={"train": ratio, "val": 20.0, "test": 20.0},

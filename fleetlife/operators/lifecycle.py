@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlife.contracts import HORIZONS, Span
+from fleetlife.contracts import HORIZONS, Span, quarter_name
 from fleetlife.functions.labels import horizon_label, rul_time_days
 
 
@@ -101,8 +101,15 @@ def fleet_totals(summary: DataFrame) -> DataFrame:
 
 
 def in_span(frame: DataFrame, span: Span, column: str = "date") -> DataFrame:
-    """Rows of a span of days, both ends included; reaches the Parquet scan."""
-    return frame.where(F.col(column).between(F.lit(span.first), F.lit(span.last)))
+    """Rows of a span of days, both ends included; reaches the Parquet scan.
+
+    A stored panel is partitioned by quarter. Names of quarters sort like their days, so a range of
+    them skips all other folders.
+    """
+    days = F.col(column).between(F.lit(span.first), F.lit(span.last))
+    if "quarter" in frame.columns and column == "date":
+        days = days & F.col("quarter").between(*(quarter_name(d) for d in (span.first, span.last)))
+    return frame.where(days)
 
 
 def active_units(summary: DataFrame, span: Span) -> DataFrame:

@@ -68,7 +68,7 @@ def smallest_hashes(
     """Exactly ``n`` rows per ``within`` group (a column of ``limits``), lowest hash first.
 
     A row is its keys; ties of the hash are broken by them. Instead of ranking whole groups, rows
-    are counted per hash slot (at most a million per group), the slot in which the limit is
+    are counted per hash slot (at most 2**32 per group, and no more than rows), the slot in which the limit is
     reached is looked up, and only the rows of that one slot are ranked.
     """
     within = list(within)
@@ -92,7 +92,7 @@ def smallest_hashes(
         # A group that never reaches its limit has no cut and is kept whole.
         .where(F.col("_cut").isNull() | (F.col("_slot") <= F.col("_cut")))
     )
-    # What is left is about the sample itself; a slot is a millionth of its group.
+    # What is left is about the sample itself; a slot is a tiny part of its group.
     at_cut = Window.partitionBy(*within, "_slot").orderBy(*keys)
     return (
         near.withColumn("_place", F.row_number().over(at_cut))
@@ -119,6 +119,8 @@ def unit_sample(
 ) -> DataFrame:
     """Active units: all failed ones (or ``failed`` of them) and ``healthy`` of the others."""
     active = active_units(summary, span)
+    if failed is None and healthy is None:
+        return active
     no_limit = (1 << 62)
     limits = active.sparkSession.createDataFrame(
         [(1, no_limit if failed is None else failed), (0, no_limit if healthy is None else healthy)],

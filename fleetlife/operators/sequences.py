@@ -56,16 +56,16 @@ def sequence_dataset(
     summary: DataFrame,
     span: Span,
     length: int = SEQUENCE_LENGTH,
-    event_units: int | None = 5_000,
-    censored_units: int | None = 8_000,
-    max_anchors: int | None = 120_000,
+    event_units: int | None = None,
+    censored_units: int | None = None,
+    max_anchors: int | None = None,
     per_event: int = 30,
     per_censored: int = 4,
 ) -> DataFrame:
     """Anchors with their window: serial_number, date, window, event, dur.
 
     Units are chosen first, then their days are read (the span and ``length`` days before it).
-    The limits are part of the dataset's definition; None lifts them.
+    All units and anchors are used; limits are an explicit choice of the caller.
     """
     units = unit_sample(summary, span, censored_units, event_units)
     days = in_span(panel, span.with_lookback(length)).select("serial_number", "date", *SMART_BIG5)

@@ -85,12 +85,12 @@ LABELS = LIFE + ", lab AS (SELECT *, {} FROM known)".format(
 
 def _slot(*keys: str) -> str:
     text = ", ".join(f"CAST({k} AS VARCHAR)" for k in keys)
-    return f"(CAST(concat('0x', substr(md5(concat({text})), 1, 8)) AS BIGINT) % 1000000)"
+    return f"(CAST(concat('0x', substr(md5(concat({text})), 1, 8)) AS BIGINT))"
 
 
 def _scores(horizon: int = 7) -> str:
     return f"""
-hashed AS (SELECT *, {_slot('serial_number', 'date')} AS h FROM lab),
+hashed AS (SELECT *, {_slot('serial_number', 'date')} % 1000000 AS h FROM lab),
 scores AS (
   SELECT serial_number, date, model, will_fail_within_{horizon} AS y, event,
     greatest(rul_time_days, 1) AS time,
@@ -158,7 +158,7 @@ def _keep(label: str, ratio: float | None, source: str) -> str:
     pos = f"(SELECT count(*) FILTER ({label} = 1) FROM {source})"
     neg = f"(SELECT count(*) FILTER ({label} = 0) FROM {source})"
     share = f"CASE WHEN {neg} > {ratio}e0 * {pos} THEN {ratio}e0 * {pos} / {neg} ELSE 1e0 END"
-    return f"({label} = 1 OR ({label} = 0 AND {_slot('serial_number', 'date')} / 1e6 < {share}))"
+    return f"({label} = 1 OR ({label} = 0 AND {_slot('serial_number', 'date')} / 4294967296e0 < {share}))"
 
 
 def _rolling_split(name: str) -> str:
@@ -333,18 +333,36 @@ def oracle_sql() -> dict[str, str]:
   QUALIFY row_number() OVER (PARTITION BY serial_number ORDER BY {order}, date)
     <= CASE WHEN event = 1 THEN {per_event} ELSE {per_censored} END)"""
 
-    windows = f"""{E_LIFE}, {anchor_rows(TEST, 30, 4)},
-wide AS (SELECT * FROM panel WHERE {_span(TEST.with_lookback(30))}), {_fill('wide')},
+    def sequence_sql(span) -> str:
+        return f"""{E_LIFE}, {anchor_rows(span, 30, 4)},
+wide AS (SELECT * FROM panel WHERE {_span(span.with_lookback(30))}), {_fill('wide')},
 numbered AS (SELECT *, row_number() OVER (PARTITION BY serial_number ORDER BY date) AS place FROM filled),
 steps AS (SELECT a.serial_number, a.date, a.event, greatest(a.rul_time_days, 1) AS dur, n.place, s.step
   FROM anchors a JOIN numbered n USING (serial_number, date), (SELECT unnest(range(30)) AS step) s),
 windows AS (SELECT s.serial_number, s.date, s.event, s.dur, CAST(s.step AS INTEGER) AS step, {_STEP_VALUES}
   FROM steps s LEFT JOIN numbered f ON f.serial_number = s.serial_number AND f.place = s.place - 29 + s.step)"""
+    windows = {name: sequence_sql(span) for name, span in S.splits.items()}
     step_stats = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, round(avg({c}), 4) AS mean, round(stddev_pop({c}) + 1e-6, 4) AS std FROM windows"
         for c in SMART_BIG5
     )
 
+    def pit_sql(name: str) -> str:
+        ratio = S.negatives_per_positive if name == "train" else None
+        return f"""WITH {E_LABELS},
+sure AS (SELECT *, will_fail_within_{S.horizon} AS y FROM lab
+  WHERE will_fail_within_{S.horizon} IS NOT NULL AND {_span(S.splits[name])})
+SELECT serial_number, date, model, capacity_gb, drive_age_days, {SMART}, y FROM sure
+WHERE {_keep('y', ratio, 'sure')}"""
+
+    def survival_sql(name: str) -> str:
+        return f"""WITH {_rolling(S.splits[name])}
+SELECT serial_number, date, model, drive_age_days, {_rounded(_NUMBERS, 6)}, event, rul_time_days AS duration
+FROM features WHERE {_keep('event', S.survival_ratios[name], 'features')}"""
+
+    def anchors_sql(span) -> str:
+        return f"WITH {E_LIFE}, {anchor_rows(span, 3, 2)} SELECT serial_number, date, event FROM anchors"
+
     return {
         "ingest_audit": f"""WITH {LINEITEM}
 SELECT concat(year(date), '-Q', quarter(date)) AS quarter, count(DISTINCT date) AS days, count(*) AS rows,
@@ -389,15 +407,11 @@ SELECT serial_number, date, {_rounded(stds, 3)} FROM rolled""",
         **{f"rolling_features_{name}": _rolling_split(name) for name in S.splits},
         "latest_snapshot": f"""WITH {LINEITEM} SELECT serial_number, date, model, capacity_bytes, {SMART} FROM panel
 QUALIFY row_number() OVER (PARTITION BY serial_number ORDER BY date DESC) = 1""",
-        "pit_features": f"""WITH {E_LABELS},
-sure AS (SELECT *, will_fail_within_{S.horizon} AS y FROM lab
-  WHERE will_fail_within_{S.horizon} IS NOT NULL AND {_span(TRAIN)})
-SELECT serial_number, date, model, capacity_gb, drive_age_days, {SMART}, y FROM sure
-WHERE {_keep('y', S.negatives_per_positive, 'sure')}""",
+        "pit_features": pit_sql("train"),
+        **{f"pit_features_{name}": pit_sql(name) for name in ("val", "test")},
         "split_counts": f"WITH {E_SCORES} {split_lines}",
-        "survival_table": f"""WITH {_rolling(VAL)}
-SELECT serial_number, date, model, drive_age_days, {_rounded(_NUMBERS, 6)}, event, rul_time_days AS duration
-FROM features WHERE {_keep('event', S.survival_ratios['val'], 'features')}""",
+        "survival_table": survival_sql("val"),
+        **{f"survival_table_{name}": survival_sql(name) for name in ("train", "test")},
         "encode_category": f"""WITH {EVENTS},
 book AS (SELECT model, CAST(row_number() OVER (ORDER BY model) - 1 AS INTEGER) AS code
   FROM (SELECT DISTINCT model FROM panel WHERE {_span(TRAIN)} AND model IS NOT NULL))
@@ -411,7 +425,7 @@ SELECT pos, neg, round(neg / greatest(pos, 1), 6) AS scale_pos_weight,
         "undersample": f"""WITH {E_SCORES}, sure AS (SELECT * FROM scores WHERE y IS NOT NULL)
 SELECT serial_number, date, y FROM sure WHERE {_keep('y', S.negatives_per_positive, 'sure')}""",
         "cap_negatives": f"""WITH {E_SCORES} SELECT serial_number, date, y FROM scores
-WHERE y = 1 OR (y = 0 AND {_slot('model', 'date')} / 1e6
+WHERE y = 1 OR (y = 0 AND {_slot('model', 'date')} / 4294967296e0
   < least(1e0, 700e0 / greatest((SELECT count(*) FROM scores WHERE y = 0), 1)))""",
         "sample_n": f"""WITH {LINEITEM} SELECT serial_number, date, smart_5_raw FROM panel
 ORDER BY {_slot('serial_number', 'date')}, serial_number, date LIMIT 5000""",
@@ -495,11 +509,17 @@ days AS (SELECT time AS duration, count(*) AS n, count(*) FILTER (event = 1) AS
   FROM scores GROUP BY time)
 SELECT duration, deaths, CAST(sum(n) OVER (ORDER BY duration DESC) AS BIGINT) AS at_risk,
   round(sum(weight) OVER (ORDER BY duration DESC), 6) AS risk_weight FROM days""",
-        "sequence_anchors": f"WITH {E_LIFE}, {anchor_rows(VAL, 3, 2)} SELECT serial_number, date, event FROM anchors",
-        "sequence_windows": f"WITH {windows} SELECT * FROM windows",
-        "sequence_stats": f"WITH {windows} {step_stats}",
+        "sequence_anchors": anchors_sql(VAL),
+        "sequence_anchors_train": anchors_sql(TRAIN),
+        "sequence_anchors_test": anchors_sql(TEST),
+        "sequence_windows": f"WITH {windows['test']} SELECT * FROM windows",
+        "sequence_windows_train": f"WITH {windows['train']} SELECT * FROM windows",
+        "sequence_windows_val": f"WITH {windows['val']} SELECT * FROM windows",
+        "sequence_stats": f"WITH {windows['train']} {step_stats}",
         "fleet_alerts": f"""WITH {CARD} SELECT serial_number, model, raw_score, failure_probability, rul_days, alert_level,
-  models_agree, CASE WHEN models_agree THEN 'high' ELSE 'low' END AS confidence FROM card""",
+  models_agree, CASE WHEN models_agree THEN 'high' ELSE 'low' END AS confidence,
+  CASE WHEN models_agree THEN NULL WHEN alert_level IN ('critical', 'warning')
+    THEN 'high failure score but long expected life' ELSE 'short expected life but low failure score' END AS note FROM card""",
         "fleet_alert_counts": f"WITH {CARD} SELECT alert_level, count(*) AS drives FROM card GROUP BY 1",
         "top_risk": f"""WITH {CARD} SELECT serial_number, model, failure_probability, rul_days, alert_level FROM card
 ORDER BY failure_probability DESC, serial_number LIMIT 12""",

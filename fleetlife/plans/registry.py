@@ -174,13 +174,19 @@ def latest_snapshot(spark, sf):
 # --- datasets, encoding, sampling --------------------------------------------------------
 
 
-@query
-def pit_features(spark, sf):
-    panel = events_panel(spark, sf)
-    split = datasets.point_in_time_split(
-        panel, lifecycle.unit_lives(panel), S.splits["train"], S.horizon, "big5", S.negatives_per_positive
-    )
-    return split.withColumn("y", F.col("y").cast("int"))
+def _pit_features(name: str) -> Query:
+    def run(spark, sf):
+        panel = events_panel(spark, sf)
+        ratio = S.negatives_per_positive if name == "train" else None
+        summary = lifecycle.unit_lives(panel)
+        split = datasets.point_in_time_split(panel, summary, S.splits[name], S.horizon, "big5", ratio)
+        return split.withColumn("y", F.col("y").cast("int"))
+
+    return run
+
+
+for _name in ("train", "val", "test"):
+    QUERIES["pit_features" if _name == "train" else f"pit_features_{_name}"] = _pit_features(_name)
 
 
 @query
@@ -194,13 +200,19 @@ def split_counts(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query
-def survival_table(spark, sf):
-    panel = events_panel(spark, sf)
-    summary = lifecycle.unit_lives(panel)
-    split = datasets.survival_split(panel, summary, S.splits["val"], S.survival_ratios["val"])
-    numbers = ["capacity_gb", *SMART_BIG5, *rolling_columns()]
-    return rounded(split, 6, numbers).withColumn("event", F.col("event").cast("int"))
+def _survival_table(name: str) -> Query:
+    def run(spark, sf):
+        panel = events_panel(spark, sf)
+        summary = lifecycle.unit_lives(panel)
+        split = datasets.survival_split(panel, summary, S.splits[name], S.survival_ratios[name])
+        numbers = ["capacity_gb", *SMART_BIG5, *rolling_columns()]
+        return rounded(split, 6, numbers).withColumn("event", F.col("event").cast("int"))
+
+    return run
+
+
+for _name in ("train", "val", "test"):
+    QUERIES["survival_table" if _name == "val" else f"survival_table_{_name}"] = _survival_table(_name)
 
 
 @query
@@ -422,41 +434,47 @@ def risk_sets(spark, sf):
 # --- sequences ---------------------------------------------------------------------------
 
 
-@query
-def sequence_anchors(spark, sf):
+def _sequence_anchors(name: str) -> Query:
+    def run(spark, sf):
+        panel = events_panel(spark, sf)
+        life = lifecycle.with_life(panel, lifecycle.unit_lives(panel))
+        placed = sequences.with_anchor_place(windows.with_day_number(life), S.splits[name], 3, 2)
+        return placed.where("is_anchor").select(
+            "serial_number", "date", F.col("event").cast("int").alias("event")
+        )
+
+    return run
+
+
+def _sequences(spark, sf, name: str) -> DataFrame:
     panel = events_panel(spark, sf)
-    life = lifecycle.with_life(panel, lifecycle.unit_lives(panel))
-    placed = sequences.with_anchor_place(windows.with_day_number(life), S.splits["val"], 3, 2)
-    return placed.where("is_anchor").select(
-        "serial_number", "date", F.col("event").cast("int").alias("event")
-    )
+    return sequences.sequence_dataset(panel, lifecycle.unit_lives(panel), S.splits[name])
 
 
-@query
-def sequence_windows(spark, sf):
+def _sequence_windows(name: str) -> Query:
     """Windows of all units, flattened: one line per anchor and step of its 30 steps."""
-    panel = events_panel(spark, sf)
-    table = sequences.sequence_dataset(
-        panel, lifecycle.unit_lives(panel), S.splits["test"],
-        event_units=None, censored_units=None, max_anchors=None,
-    )
-    steps = table.select("serial_number", "date", "event", "dur", F.posexplode("window").alias("step", "reading"))
-    values = [F.round(F.get("reading", i).cast("double"), 2).alias(c) for i, c in enumerate(SMART_BIG5)]
-    return steps.select(
-        "serial_number", "date", F.col("event").cast("int").alias("event"),
-        F.col("dur").cast("int").alias("dur"), "step", *values,
-    )
+
+    def run(spark, sf):
+        table = _sequences(spark, sf, name)
+        steps = table.select("serial_number", "date", "event", "dur", F.posexplode("window").alias("step", "reading"))
+        values = [F.round(F.get("reading", i).cast("double"), 2).alias(c) for i, c in enumerate(SMART_BIG5)]
+        return steps.select(
+            "serial_number", "date", F.col("event").cast("int").alias("event"),
+            F.col("dur").cast("int").alias("dur"), "step", *values,
+        )
+
+    return run
+
+
+for _name in ("train", "val", "test"):
+    QUERIES["sequence_anchors" if _name == "val" else f"sequence_anchors_{_name}"] = _sequence_anchors(_name)
+    QUERIES["sequence_windows" if _name == "test" else f"sequence_windows_{_name}"] = _sequence_windows(_name)
 
 
 @query
 def sequence_stats(spark, sf):
-    """Standardisation constants of the sequence inputs."""
-    panel = events_panel(spark, sf)
-    table = sequences.sequence_dataset(
-        panel, lifecycle.unit_lives(panel), S.splits["test"],
-        event_units=None, censored_units=None, max_anchors=None,
-    )
-    return rounded(sequences.reading_stats(table), 4, ["mean", "std"])
+    """Standardisation constants of the sequence inputs, from the training span."""
+    return rounded(sequences.reading_stats(_sequences(spark, sf, "train")), 4, ["mean", "std"])
 
 
 # --- scoring -----------------------------------------------------------------------------
@@ -480,7 +498,7 @@ def _card(spark, sf):
 
 @query
 def fleet_alerts(spark, sf):
-    return _card(spark, sf).drop("note")
+    return _card(spark, sf)
 
 
 @query
@@ -598,10 +616,34 @@ def feature_importance(spark, sf):
     return classifiers.feature_importance(model)
 
 
+def _board(board: DataFrame) -> DataFrame:
+    return board.drop("fit_seconds", "error")
+
+
+@query
+def bakeoff_big5(spark, sf):
+    """Leaderboard on the readings of the day."""
+    panel = events_panel(spark, sf)
+    summary = lifecycle.unit_lives(panel)
+    splits = {
+        name: datasets.point_in_time_split(panel, summary, span, S.horizon, "big5", S.negatives_per_positive if name == "train" else None)
+        for name, span in S.splits.items()
+    }
+    return _board(bakeoff.run_bakeoff(splits, params={"boosted_trees": SMALL_BOOST, "random_forest": SMALL_FOREST}, beta=S.fbeta))
+
+
+@query
+def bakeoff_horizons(spark, sf):
+    """Boosted trees on the rolling features for each horizon."""
+    panel = events_panel(spark, sf)
+    summary = lifecycle.unit_lives(panel)
+    return _board(bakeoff.run_horizons(panel, summary, S, params={"boosted_trees": SMALL_BOOST}))
+
+
 @query
 def model_reasons(spark, sf):
     splits = _splits(spark, sf)
-    ready, categories = bakeoff.prepared_splits({k: splits[k] for k in ("train", "test")})
+    ready, categories = bakeoff.prepared_splits({k: splits[k] for k in ("train", "test")}, fill=True)
     model = classifiers.fit_classifier("logistic", ready["train"], categories)
     ranked = scoring.top_reasons(ready["test"], classifiers.linear_effects(model))
     return ranked.select("serial_number", "date", F.posexplode("top_reasons").alias("place", "reason")).select(
@@ -611,7 +653,7 @@ def model_reasons(spark, sf):
 
 @query
 def weibull_predictions(spark, sf):
-    ready, _ = bakeoff.prepared_splits(_survival(spark, sf))
+    ready, _ = bakeoff.prepared_splits(_survival(spark, sf), fill=True)
     model = sv.fit_weibull(ready["train"])
     return sv.predict_weibull(model, ready["test"]).select(
         "serial_number", "date", "event", "duration", "risk", "pred_time"
@@ -620,7 +662,7 @@ def weibull_predictions(spark, sf):
 
 @query
 def cox_predictions(spark, sf):
-    ready, _ = bakeoff.prepared_splits(_survival(spark, sf))
+    ready, _ = bakeoff.prepared_splits(_survival(spark, sf), fill=True)
     model = sv.fit_cox(ready["train"])
     return sv.predict_cox(model, ready["test"]).select(
         "serial_number", "date", "event", "duration", "risk", "pred_time"
@@ -629,7 +671,7 @@ def cox_predictions(spark, sf):
 
 @query
 def hazard_forest_predictions(spark, sf):
-    ready, categories = bakeoff.prepared_splits(_survival(spark, sf))
+    ready, categories = bakeoff.prepared_splits(_survival(spark, sf), fill=True)
     model = sv.fit_hazard_forest(ready["train"], categories)
     return sv.predict_hazard_forest(model, ready["test"]).select(
         "serial_number", "date", "event", "duration", "risk", "pred_time"
