@@ -6,17 +6,20 @@ import json
 import random
 import time
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlife.contracts import FBETA, Settings
 from fleetlife.models import survival as sv
-from fleetlife.models.classifiers import CLASSIFIERS, fit_classifier, prepare, score
+from fleetlife.models.classifiers import CLASSIFIERS, fit_classifier, numeric_inputs, prepare, score
 from fleetlife.operators.encode import codebook
 from fleetlife.operators.rankmetrics import average_precision, classification_bundle, rank_curve
 from fleetlife.operators.sampling import cap_negatives
 from fleetlife.operators.survmetrics import survival_bundle
+from fleetlife.plans.datasets import rolling_split
 from fleetlife.session import stage
 
 BOARD = (
@@ -30,11 +33,17 @@ SURVIVAL_BOARD = (
 )
 
 
-def prepared_splits(splits: Mapping[str, DataFrame]) -> tuple[dict[str, DataFrame], int]:
-    """Encode all splits with the categories of train and write them once."""
+def prepared_splits(splits: Mapping[str, DataFrame], fill: bool = False) -> tuple[dict[str, DataFrame], int]:
+    """Encode all splits with the categories of train and write them once.
+
+    ``fill`` makes unknown readings 0, for models that take them as they come.
+    """
     book = codebook(splits["train"])
     categories = book.count()
-    return {name: stage(prepare(df, book, categories)) for name, df in splits.items()}, categories
+    numeric = numeric_inputs(splits["train"].columns)
+    return {
+        name: stage(prepare(df, book, categories, fill, numeric)) for name, df in splits.items()
+    }, categories
 
 
 def _log(board: DataFrame, path: str | None) -> DataFrame:
@@ -48,11 +57,12 @@ def run_bakeoff(
     models: Sequence[str] = tuple(CLASSIFIERS),
     params: Mapping[str, Mapping[str, Any]] | None = None,
     log_path: str | None = None,
+    beta: float = FBETA,
 ) -> DataFrame:
     """Leaderboard of classifiers; a model that fails gets a line with its error.
 
-    ``splits`` are rolling tables named train, val and test. Only one row of metrics per model
-    and split reaches the driver.
+    ``splits`` are tables of one dataset kind named train, val and test; the inputs are its numeric
+    feature columns. Only one row of metrics per model and split reaches the driver.
     """
     spark = splits["train"].sparkSession
     ready, categories = prepared_splits(splits)
@@ -63,18 +73,37 @@ def run_bakeoff(
             model = fit_classifier(name, ready["train"], categories, (params or {}).get(name))
             seconds = round(time.monotonic() - started, 3)
             for split in ("val", "test"):
-                m = classification_bundle(score(model, ready[split])).first()
+                m = classification_bundle(score(model, ready[split]), beta=beta).first()
                 lines.append(
                     (name, split, "ok", None, seconds, m.n, m.positives, m.pr_auc, m.roc_auc, m.brier,
                      m.fbeta and m.fbeta.fbeta, m.fpr_1pct.recall, m.fpr_0_1pct.recall)
                 )
         except Exception as problem:  # one bad model must not stop the others
-            text = f"{type(problem).__name__}: {problem}"[:500]
+            text = f"{type(problem).__name__}: {problem}"
             lines.append((name, None, "failed", text, round(time.monotonic() - started, 3)) + (None,) * 8)
     board = spark.createDataFrame(lines, BOARD)
     return _log(board.orderBy("split", F.col("pr_auc").desc_nulls_last(), "model"), log_path)
 
 
+def run_horizons(
+    panel: DataFrame,
+    summary: DataFrame,
+    settings: Settings,
+    models: Sequence[str] = ("boosted_trees",),
+    params: Mapping[str, Mapping[str, Any]] | None = None,
+) -> DataFrame:
+    """Leaderboards of the rolling features for each horizon of the settings."""
+    boards = []
+    for horizon in settings.horizons:
+        splits = {
+            name: rolling_split(panel, summary, span, horizon, settings.negatives_per_positive if name == "train" else None)
+            for name, span in settings.splits.items()
+        }
+        board = run_bakeoff(splits, models, params, beta=settings.fbeta)
+        boards.append(board.withColumn("horizon", F.lit(horizon)))
+    return reduce(DataFrame.unionByName, boards)
+
+
 def run_survival_bakeoff(
     train: DataFrame,
     test: DataFrame,
@@ -84,14 +113,12 @@ def run_survival_bakeoff(
 ) -> DataFrame:
     """Leaderboard of remaining-life models on survival tables.
 
-    All failed rows and a hashed share of the censored ones (whole model-days) are used.
+    Models are fitted to all failed rows and a hashed share of the censored ones (whole model-days,
+    ``max_censored`` rows at most); every test row is evaluated.
     """
     spark = train.sparkSession
-    capped = {
-        "train": cap_negatives(train, max_censored, label="event"),
-        "test": cap_negatives(test, max_censored, label="event"),
-    }
-    ready, categories = prepared_splits(capped)
+    capped = {"train": cap_negatives(train, max_censored, label="event"), "test": test}
+    ready, categories = prepared_splits(capped, fill=True)
     ready = {name: sv.positive_durations(df) for name, df in ready.items()}
     runs: dict[str, tuple[Callable, Callable]] = {
         "weibull": (sv.fit_weibull, sv.predict_weibull),
@@ -112,7 +139,7 @@ def run_survival_bakeoff(
                  m.rul_median_true_days)
             )
         except Exception as problem:  # one bad model must not stop the others
-            text = f"{type(problem).__name__}: {problem}"[:500]
+            text = f"{type(problem).__name__}: {problem}"
             lines.append((name, None, "failed", text, round(time.monotonic() - started, 3)) + (None,) * 5)
     board = spark.createDataFrame(lines, SURVIVAL_BOARD)
     return _log(board.orderBy(F.col("c_index").desc_nulls_last(), "model"), log_path)
@@ -154,23 +181,21 @@ def tune(
     model: str,
     trials: int = 20,
     space: Mapping[str, tuple[str, float, float]] | None = None,
-    max_negatives: int = 3_000_000,
     seed: int = 42,
 ) -> DataFrame:
-    """Seeded random search for the best average precision on a hashed part of val.
+    """Seeded random search for the best average precision on all of val.
 
     The best setting is fitted again and evaluated on the whole test split. One line per trial,
     with the test metrics on the best one.
     """
     spark: SparkSession = splits["train"].sparkSession
     ready, categories = prepared_splits(splits)
-    part = stage(cap_negatives(ready["val"], max_negatives))
     rng = random.Random(seed)
     results = []
     for number in range(trials):
         params = draw(space or SPACES[model], rng)
         fitted = fit_classifier(model, ready["train"], categories, params)
-        value = rank_curve(score(fitted, part)).agg(average_precision().alias("ap")).first().ap
+        value = rank_curve(score(fitted, ready["val"])).agg(average_precision().alias("ap")).first().ap
         results.append((number, params, value))
     best = max(results, key=lambda r: (r[2] is not None, r[2] or 0.0))
     final = fit_classifier(model, ready["train"], categories, best[1])

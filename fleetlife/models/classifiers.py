@@ -7,7 +7,7 @@ from typing import Any
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, VectorAssembler
+from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,17 +22,31 @@ NUMERIC = [c for c in feature_columns() if c != CATEGORY]
 UNSEEN_SHIFT = 1
 
 
-def prepare(frame: DataFrame, book: DataFrame, categories: int) -> DataFrame:
+#: Columns of a dataset that are no inputs.
+NOT_INPUTS = {"serial_number", "date", "y", "event", "duration", CATEGORY}
+
+
+def numeric_inputs(columns: Sequence[str]) -> list[str]:
+    """Numeric inputs of a dataset: the rolling contract if it has all of it, else what it has."""
+    found = [c for c in columns if c not in NOT_INPUTS]
+    return NUMERIC if set(NUMERIC) <= set(found) else found
+
+
+def prepare(
+    frame: DataFrame, book: DataFrame, categories: int, fill: bool = True, numeric_columns: Sequence[str] = tuple(NUMERIC)
+) -> DataFrame:
     """Encode the category for the estimators and make features doubles.
 
-    The rolling deviation is null on a single day; it becomes 0, as in request scoring.
+    With ``fill``, unknown values are 0, as in request scoring. Without, they stay null: each
+    classifier then treats them in its own way (0 for boosted trees, the median for the others).
     """
     nominal = {"ml_attr": {"type": "nominal", "name": CODE, "num_vals": categories + UNSEEN_SHIFT}}
     coded = encode(frame, book, CATEGORY, "category_code")
     index = (F.col("category_code") + UNSEEN_SHIFT).cast("double").alias(CODE, metadata=nominal)
-    others = [c for c in coded.columns if c not in (*NUMERIC, "category_code")]
-    numeric = [F.col(c).cast("double").alias(c) for c in NUMERIC]
-    return coded.select(*others, *numeric, index).fillna(0.0, subset=NUMERIC)
+    others = [c for c in coded.columns if c not in (*numeric_columns, "category_code")]
+    numeric = [F.col(c).cast("double").alias(c) for c in numeric_columns]
+    ready = coded.select(*others, *numeric, index)
+    return ready.fillna(0.0, subset=list(numeric_columns)) if fill else ready
 
 
 def weighted(frame: DataFrame, balanced: bool = False) -> DataFrame:
@@ -55,7 +69,22 @@ def weighted(frame: DataFrame, balanced: bool = False) -> DataFrame:
     )
 
 
-def _boosted(categories: int, params: Mapping[str, Any]) -> Pipeline:
+def _known(columns: Sequence[str]) -> list[str]:
+    return [f"{c}_known" for c in columns]
+
+
+def _zeros(columns: Sequence[str]) -> SQLTransformer:
+    """Unknown values as 0."""
+    filled = ", ".join(f"coalesce(`{c}`, 0.0D) AS `{k}`" for c, k in zip(columns, _known(columns)))
+    return SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+
+
+def _medians(columns: Sequence[str]) -> Imputer:
+    """Unknown values as the median of the training rows."""
+    return Imputer(strategy="median", inputCols=list(columns), outputCols=_known(columns))
+
+
+def _boosted(categories: int, params: Mapping[str, Any], numeric: Sequence[str]) -> Pipeline:
     settings = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8, **params}
     trees = GBTClassifier(
         featuresCol="features",
@@ -65,12 +94,12 @@ def _boosted(categories: int, params: Mapping[str, Any]) -> Pipeline:
         maxBins=max(64, categories + UNSEEN_SHIFT),
         **settings,
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=[CODE, *NUMERIC], outputCol="features"), trees])
+    assembler = VectorAssembler(inputCols=[CODE, *_known(numeric)], outputCol="features")
+    return Pipeline(stages=[_zeros(numeric), assembler, trees])
 
 
-def _forest(categories: int, params: Mapping[str, Any]) -> Pipeline:
+def _forest(categories: int, params: Mapping[str, Any], numeric: Sequence[str]) -> Pipeline:
     settings = {"numTrees": 100, "maxDepth": 12, "minInstancesPerNode": 50, **params}
-    known = [f"{c}_known" for c in NUMERIC]
     trees = RandomForestClassifier(
         featuresCol="features",
         labelCol="y",
@@ -82,20 +111,19 @@ def _forest(categories: int, params: Mapping[str, Any]) -> Pipeline:
     )
     return Pipeline(
         stages=[
-            Imputer(strategy="median", inputCols=NUMERIC, outputCols=known),
-            VectorAssembler(inputCols=[CODE, *known], outputCol="features"),
+            _medians(numeric),
+            VectorAssembler(inputCols=[CODE, *_known(numeric)], outputCol="features"),
             trees,
         ]
     )
 
 
-def _logistic(categories: int, params: Mapping[str, Any]) -> Pipeline:
+def _logistic(categories: int, params: Mapping[str, Any], numeric: Sequence[str]) -> Pipeline:
     settings = {"maxIter": 200, "regParam": 1e-4, **params}
-    known = [f"{c}_known" for c in NUMERIC]
     return Pipeline(
         stages=[
-            Imputer(strategy="median", inputCols=NUMERIC, outputCols=known),
-            VectorAssembler(inputCols=known, outputCol="numeric"),
+            _medians(numeric),
+            VectorAssembler(inputCols=_known(numeric), outputCol="numeric"),
             StandardScaler(inputCol="numeric", outputCol="scaled", withMean=True, withStd=True),
             OneHotEncoder(inputCols=[CODE], outputCols=["category"], handleInvalid="keep", dropLast=False),
             VectorAssembler(inputCols=["scaled", "category"], outputCol="features"),
@@ -107,7 +135,7 @@ def _logistic(categories: int, params: Mapping[str, Any]) -> Pipeline:
 
 
 #: Name -> (pipeline builder, balanced class weights?). Add an entry to add a model.
-CLASSIFIERS: dict[str, tuple[Callable[[int, Mapping[str, Any]], Pipeline], bool]] = {
+CLASSIFIERS: dict[str, tuple[Callable[[int, Mapping[str, Any], Sequence[str]], Pipeline], bool]] = {
     "boosted_trees": (_boosted, False),
     "random_forest": (_forest, True),
     "logistic": (_logistic, True),
@@ -119,12 +147,14 @@ def fit_classifier(
 ) -> PipelineModel:
     """Fit on rows with a label; ``prepared`` should be a written table, it is read repeatedly."""
     build, balanced = CLASSIFIERS[name]
-    return build(categories, params or {}).fit(weighted(prepared, balanced))
+    numeric = numeric_inputs([c for c in prepared.columns if c != CODE])
+    return build(categories, params or {}, numeric).fit(weighted(prepared, balanced))
 
 
 def score(model: PipelineModel, prepared: DataFrame) -> DataFrame:
     """Add ``score``, the probability of the positive class; other columns stay."""
-    keep = [c for c in prepared.columns if c not in (*NUMERIC, CODE)]
+    used = {*numeric_inputs([c for c in prepared.columns if c != CODE]), CODE}
+    keep = [c for c in prepared.columns if c not in used]
     probability = vector_to_array(F.col("probability"))
     return model.transform(prepared).select(*keep, F.get(probability, 1).alias("score"))
 
@@ -147,3 +177,12 @@ def linear_effects(model: PipelineModel) -> dict[str, tuple[float, float]]:
         name: (float(coefficients[i] / deviations[i]) if deviations[i] > 0 else 0.0, float(means[i]))
         for i, name in enumerate(NUMERIC)
     }
+
+
+def category_effects(model: PipelineModel, known: DataFrame) -> dict[int, float]:
+    """Coefficient of each category code of ``logistic``, less the mean over the training rows."""
+    coefficients = model.stages[-1].coefficients.toArray()[len(NUMERIC) :]
+    counts = {int(r[0]): r[1] for r in known.groupBy(CODE).agg(F.count("*")).collect()}  # one row per category
+    total = sum(counts.values())
+    mean = sum(coefficients[c] * n for c, n in counts.items() if c < len(coefficients)) / max(total, 1)
+    return {c: float(v - mean) for c, v in enumerate(coefficients)}

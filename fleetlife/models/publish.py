@@ -11,17 +11,25 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlife.contracts import Settings, Span
+from fleetlife.contracts import CATEGORY, Settings, Span
 from fleetlife.functions.labels import clean_rul
-from fleetlife.models.classifiers import fit_classifier, prepare, score
+from fleetlife.models.classifiers import (
+    UNSEEN_SHIFT,
+    category_effects,
+    fit_classifier,
+    linear_effects,
+    prepare,
+    score,
+)
 from fleetlife.models.survival import fit_weibull, predict_weibull
 from fleetlife.operators.encode import codebook
 from fleetlife.operators.rankmetrics import average_precision, operating_points, rank_curve
-from fleetlife.operators.scoring import with_alerts
+from fleetlife.operators.scoring import top_reasons, with_alerts
 from fleetlife.plans.datasets import training_frame
 from fleetlife.session import stage
 
-#: Scores are rounded to this many decimals for calibration, which bounds its input at 1,000,001.
+#: Parameter: scores are rounded to this many decimals for calibration, which bounds its input at
+#: 1,000,001 rows.
 CALIBRATION_DECIMALS = 6
 
 
@@ -66,8 +74,9 @@ class Artifacts:
 def calibrate(scores: DataFrame) -> IsotonicRegressionModel:
     """Isotonic map from score to observed rate; values outside the seen range are clipped.
 
-    The last pooling step of the estimator runs in one task, so rows are first averaged per
-    rounded score, with their number as weight. That leaves the fit unchanged.
+    The last pooling step of the estimator runs in one task, so rows are first averaged per score
+    rounded to ``CALIBRATION_DECIMALS``, with their number as weight. Without the rounding that would
+    leave the fit unchanged; with it, the map is that of scores with so many decimals.
     """
     cells = (
         scores.where(F.col("y").isNotNull())
@@ -111,7 +120,13 @@ def publish(
     val_totals = curve.agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), average_precision().alias("ap")
     ).first()
+    # A linear model beside the trees explains rows: exact contributions per input.
+    linear = fit_classifier("logistic", known, categories)
+    by_code = category_effects(linear, known)
+    named = {r.model: by_code.get(r.code + UNSEEN_SHIFT, 0.0) for r in book.collect()}  # one row per category
     metadata = {
+        "effects": {name: list(pair) for name, pair in linear_effects(linear).items()},
+        "category_effects": named,
         "horizon": settings.horizon,
         "train_rows": totals.n,
         "class_pos": totals.pos,
@@ -124,8 +139,11 @@ def publish(
 
 
 def score_rows(rows: DataFrame, artifacts: Artifacts) -> DataFrame:
-    """Full result per feature row: probability, remaining days, alert, agreement of the models."""
+    """Full result per feature row: probability, remaining days, alert, agreement of the models, reasons."""
     ready = prepare(rows, artifacts.book, artifacts.categories)
+    effects = {name: tuple(pair) for name, pair in artifacts.metadata["effects"].items()}
+    ready = top_reasons(ready, effects, category=(CATEGORY, artifacts.metadata["category_effects"]))
+    ready = ready.withColumnRenamed("top_reasons", "reasons")
     predicted = predict_weibull(artifacts.rul, ready).drop("risk")
     scored = apply_calibration(artifacts.calibrator, score(artifacts.classifier, predicted))
     named = (
@@ -161,4 +179,5 @@ def fleet_scorecard(
         "models_agree",
         "confidence",
         "note",
-    )
+        "reasons",
+    ).orderBy(F.col("failure_probability").desc(), "serial_number")

@@ -59,9 +59,16 @@ def with_alerts(
 
 
 def top_reasons(
-    frame: DataFrame, effects: Mapping[str, tuple[float, float]], top: int = 5
+    frame: DataFrame,
+    effects: Mapping[str, tuple[float, float]],
+    top: int = 5,
+    category: tuple[str, Mapping[str, float]] | None = None,
 ) -> DataFrame:
-    """Add ``top_reasons``: the largest contributions coefficient * (value - mean) of a linear score."""
+    """Add ``top_reasons``: the largest contributions coefficient * (value - mean) of a linear score.
+
+    ``category`` names a text column and the contribution of each of its values (0 for others); its
+    reason has no number as value.
+    """
     shares = [
         F.struct(
             (-F.abs(F.lit(coefficient) * (F.col(name) - F.lit(mean)))).alias("order"),
@@ -71,6 +78,18 @@ def top_reasons(
         )
         for name, (coefficient, mean) in effects.items()
     ]
+    if category is not None:
+        column, by_value = category
+        pairs = [F.lit(x) for item in by_value.items() for x in item]
+        own = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(column)), F.lit(0.0)) if pairs else F.lit(0.0)
+        shares.append(
+            F.struct(
+                (-F.abs(own)).alias("order"),
+                F.lit(column).alias("feature"),
+                F.round(own, 4).alias("contribution"),
+                F.lit(None).cast("double").alias("value"),
+            )
+        )
     ordered = F.slice(F.array_sort(F.array(*shares)), 1, top)
     return frame.withColumn(
         "top_reasons",

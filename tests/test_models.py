@@ -113,7 +113,7 @@ def planted_splits(spark):
 
 
 def test_bakeoff_beats_chance_and_isolates_failures(spark, planted_splits, tmp_path, monkeypatch):
-    monkeypatch.setitem(classifiers.CLASSIFIERS, "broken", (lambda categories, params: 1 / 0, False))
+    monkeypatch.setitem(classifiers.CLASSIFIERS, "broken", (lambda categories, params, numeric: 1 / 0, False))
     params = {"boosted_trees": SMALL, "random_forest": {"numTrees": 10, "maxDepth": 4, "minInstancesPerNode": 5}}
     log = str(tmp_path / "runs")
     board = bakeoff.run_bakeoff(
@@ -145,19 +145,61 @@ def test_calibration_is_monotone_and_clipped(scores):
 # --- scoring -----------------------------------------------------------------------------
 
 
-def test_request_vector_has_the_contract(spark):
-    readings = [(float(i), None, None, None, None) for i in range(30)]
+def test_request_vector_by_hand(spark):
+    """Three days 3, unknown, 7: the gap is filled with 3, so the mean is 13 / 3."""
+    readings = [(3.0, None, 5.0, 0.0, None), (None, 2.0, 5.0, 1.0, None), (7.0, None, 5.0, 0.0, None)]
     kind = ", ".join(f"{c}: double" for c in SMART_BIG5)
-    frame = spark.createDataFrame([("m", 4 * 10**12, 100, readings), ("m", 10**12, 5, []), ("m", 10**12, 5, readings[:1])],
-                                  f"model string, capacity_bytes bigint, drive_age_days int, history array<struct<{kind}>>")
+    frame = spark.createDataFrame(
+        [("m", 2 * 10**12, 40, readings), ("n", 10**12, 1, []), ("n", 10**12, 1, readings[:1])],
+        f"model string, capacity_bytes bigint, drive_age_days int, history array<struct<{kind}>>",
+    )
     rows = request_features(frame).select(*feature_columns()).collect()
-    assert len(rows[0]) == 43
-    assert all(v is not None and not (isinstance(v, float) and math.isnan(v)) for r in rows for v in r)
-    r = rows[0]
-    assert r.smart_5_raw == 29 and r.smart_5_raw_rmean_7 == 26 and r.smart_187_raw == 0
-    assert r.smart_5_raw_rstd_7 == pytest.approx(np.std(range(23, 30), ddof=1))
-    assert r.smart_5_raw_dev30 == pytest.approx(29 - 14.5)
-    assert rows[1].smart_5_raw == 0 and rows[2].smart_5_raw_rstd_30 == 0
+    assert all(v is not None and v == v for r in rows for v in r)
+    three, none, one = rows
+    assert three.capacity_gb == 2000 and three.smart_5_raw == 7 and three.smart_187_raw == 2
+    for width in (7, 14, 30):
+        assert three[f"smart_5_raw_rmean_{width}"] == pytest.approx(13 / 3)
+        assert three[f"smart_5_raw_rstd_{width}"] == pytest.approx(math.sqrt(16 / 3))
+        assert three[f"smart_188_raw_rstd_{width}"] == 0 and three[f"smart_187_raw_rmean_{width}"] == pytest.approx(4 / 3)
+    assert three.smart_5_raw_dev30 == pytest.approx(8 / 3)
+    assert set(none[3:]) == {0.0}
+    assert one.smart_5_raw_rmean_30 == 3 and one.smart_5_raw_rstd_30 == 0
+
+
+def test_unknown_values_per_model(spark):
+    """Boosted trees take unknown readings as 0; the others get the median of the training rows."""
+    from fleetlife.operators.encode import codebook
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        wear = rng.choice([10.0, 20.0, 30.0])
+        rows.append((f"u{i}", "m", 1.0, i, None if i % 4 == 0 else wear, 1.0, 1.0, 1.0, 1.0, int(wear > 15)))
+    names = ["serial_number", "model", "capacity_gb", "drive_age_days", *SMART_BIG5, "y"]
+    frame = spark.createDataFrame(rows, names)
+    book = codebook(frame)
+    numeric = classifiers.numeric_inputs(frame.columns)
+    assert numeric == names[2:-1]  # the table of one day's readings has no rolling inputs
+    kept = classifiers.prepare(frame, book, 1, fill=False, numeric_columns=numeric)
+    assert kept.where("smart_5_raw IS NULL").count() == 100
+    assert classifiers.prepare(frame, book, 1, numeric_columns=numeric).where("smart_5_raw = 0").count() == 100
+    kept = stage(kept)
+    forest = classifiers.fit_classifier("random_forest", kept, 1, {"numTrees": 5, "maxDepth": 3, "minInstancesPerNode": 1})
+    assert forest.stages[0].surrogateDF.first().smart_5_raw == 20.0
+    boosted = classifiers.fit_classifier("boosted_trees", kept, 1, SMALL)
+    lone = kept.where("smart_5_raw IS NULL").limit(1)
+    zero, median = (lone.withColumn("smart_5_raw", F.lit(v)) for v in (0.0, 20.0))
+    of = lambda model, rows: classifiers.score(model, rows).first().score
+    assert of(boosted, lone) == of(boosted, zero) != of(boosted, median)
+    assert of(forest, lone) == of(forest, median) != of(forest, zero)
+
+
+def test_category_is_a_reason(spark):
+    frame = spark.createDataFrame([(1.0, "bad"), (3.0, "good"), (2.0, None)], "a double, model string")
+    rows = top_reasons(frame, {"a": (1.0, 1.0)}, category=("model", {"bad": 2.5, "good": -0.5})).collect()
+    assert [[(r.feature, r.contribution) for r in row.top_reasons] for row in rows] == [
+        [("model", 2.5), ("a", 0.0)], [("a", 2.0), ("model", -0.5)], [("a", 1.0), ("model", 0.0)]
+    ]
 
 
 def test_alert_rules(spark):
@@ -233,7 +275,7 @@ def test_publish_score_and_loop(spark, tmp_path):
 
 def test_survival_forest_beats_chance(spark, panel, summary):
     train = datasets.survival_split(panel, summary, S.splits["train"])
-    ready, categories = bakeoff.prepared_splits({"train": train})
+    ready, categories = bakeoff.prepared_splits({"train": train}, fill=True)
     model = sv.fit_hazard_forest(ready["train"], categories, trees=10, depth=4)
     predicted = stage(sv.predict_hazard_forest(model, ready["train"]))
     assert predicted.count() == ready["train"].count()

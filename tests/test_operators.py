@@ -334,12 +334,13 @@ def test_sample_plan_moves_no_group_to_one_task(scores):
     assert sum("_slot" not in line for line in moved) == 1  # the counts per slot, not the rows
 
 
-def test_balanced_cap(scores):
-    counts = scores.agg(F.count_if(F.col("event") == 1), F.count_if(F.col("event") == 0)).first()
-    got = sampling.balanced_cap(scores, 60).agg(F.count_if(F.col("event") == 1), F.count_if(F.col("event") == 0)).first()
-    censored = min(counts[1], 30)
-    events = min(counts[0], 60 - censored)
-    assert tuple(got) == (events, min(counts[1], 60 - events))
+@pytest.mark.parametrize("events,others,expected", [(10, 100, (10, 50)), (100, 10, (50, 10)), (100, 100, (30, 30)), (7, 8, (7, 8))])
+def test_balanced_cap(spark, events, others, expected):
+    """Sixty rows at most: half of each kind, and what one kind lacks goes to the other."""
+    rows = [(f"e{i}", "2024-01-01", 1) for i in range(events)] + [(f"c{i}", "2024-01-01", 0) for i in range(others)]
+    frame = spark.createDataFrame(rows, "serial_number string, date string, event int")
+    kept = {r.event: r["count"] for r in sampling.balanced_cap(frame, 60).groupBy("event").count().collect()}
+    assert (kept[1], kept[0]) == expected
 
 
 # --- encoding ----------------------------------------------------------------------------
@@ -362,32 +363,28 @@ def both_windows(spark, ref, cur, column="x"):
     return spark.createDataFrame(rows, f"{column} {kind}, in_ref boolean, in_cur boolean")
 
 
-def numpy_psi(ref, cur):
-    edges = np.unique(np.quantile(ref, np.arange(11) / 10))
-    edges[0], edges[-1] = -np.inf, np.inf
-    r = np.maximum(np.histogram(ref, edges)[0] / len(ref), 1e-6)
-    c = np.maximum(np.histogram(cur, edges)[0] / len(cur), 1e-6)
-    return float(((c - r) * np.log(c / r)).sum())
+@pytest.mark.parametrize("cells_per_bucket", [40, 1_000_000])
+def test_psi_and_ks_by_hand(spark, cells_per_bucket):
+    """0 to 99 against 50 to 99 twice. A tenth of the reference is in each bin, a fifth of the current
+    rows in each of the upper five and nothing in the lower five, which counts as a millionth:
+    5 * 0.1 * ln 2 + 5 * (0.1 - 0.000001) * ln 100,000 = 0.34657 + 5.75640."""
+    ref, cur = [float(i) for i in range(100)], [float(50 + i % 50) for i in range(100)]
+    row = drift.numeric_drift(both_windows(spark, ref, cur), ["x"], cells_per_bucket=cells_per_bucket).first()
+    assert row.psi == pytest.approx(6.1030, abs=1e-4)
+    assert row.ks_stat == 0.5 and row.edge_count == 11 and row.drifted
 
 
-@pytest.mark.parametrize("cells_per_bucket", [40, 1_000_000])
-def test_psi_and_ks_match_numpy(spark, cells_per_bucket):
-    rng = np.random.default_rng(2)
-    ref, cur = rng.normal(size=600), np.round(rng.normal(0.4, 1.2, size=500), 2)
-    row = drift.numeric_drift(
-        both_windows(spark, ref.tolist(), cur.tolist()), ["x"], cells_per_bucket=cells_per_bucket
-    ).first()
-    assert row.psi == pytest.approx(numpy_psi(ref, cur), abs=1e-4)
-    grid = np.sort(np.concatenate([ref, cur]))
-    gap = np.searchsorted(np.sort(ref), grid, "right") / 600 - np.searchsorted(np.sort(cur), grid, "right") / 500
-    assert row.ks_stat == pytest.approx(np.abs(gap).max(), abs=1e-4)
-    assert row.drifted
+def test_small_shift_by_hand(spark):
+    """Two values: 60 and 40 of 100 rows, then 50 and 50. The sixth decile lies between them, so each
+    value has a bin: 0.1 * ln(0.6 / 0.5) + 0.1 * ln(0.5 / 0.4) = 0.01823 + 0.02231."""
+    row = drift.numeric_drift(both_windows(spark, [1.0] * 60 + [2.0] * 40, [1.0] * 50 + [2.0] * 50), ["x"]).first()
+    assert row.edge_count == 3 and row.psi == pytest.approx(0.0405, abs=1e-4) and row.ks_stat == pytest.approx(0.1)
 
 
-def test_identical_windows_do_not_drift(spark):
-    values = np.random.default_rng(0).normal(size=5000).tolist()
-    row = drift.numeric_drift(both_windows(spark, values, values), ["x"]).first()
-    assert row.psi < 0.01 and row.ks_stat == 0 and row.ks_pvalue == 1.0 and not row.drifted
+def test_same_rows_in_another_order(spark):
+    values = [float(i * i % 97) for i in range(400)]
+    row = drift.numeric_drift(both_windows(spark, values, values[::-1]), ["x"]).first()
+    assert (row.psi, row.ks_stat, row.ks_pvalue, row.drifted) == (0.0, 0.0, 1.0, False)
 
 
 def test_published_p_value(spark):
@@ -409,33 +406,34 @@ def test_new_category_and_null(spark):
     assert drift.categorical_drift(same, ["model"]).first().psi == 0.0
 
 
-def decide(spark, share, now=None, before=None):
-    summary = spark.createDataFrame([(5, round(share * 5), share)], "n_features int, n_drifted int, drifted_share double")
-    return drift.retrain_decision(summary, now, before).first()
-
-
-def test_retrain_on_drift(spark):
-    row = decide(spark, 0.6)
-    assert row.retrain and len(row.reasons) == 1
-
-
-def test_retrain_on_quality(spark):
-    row = decide(spark, 0.1, 0.10, 0.164)
-    assert row.retrain and "pr_auc" in row.reasons[0]
-
-
-def test_no_retrain_when_stable(spark):
-    row = decide(spark, 0.14, 0.16, 0.164)
-    assert not row.retrain and row.reasons == []
+@pytest.mark.parametrize(
+    "drifted,features,now,before,reasons",
+    [
+        (2, 4, None, None, ["drift in 2 of 4 features"]),
+        (3, 7, None, None, []),
+        (0, 4, 0.4375, 0.5, ["pr_auc fell from 0.5 to 0.438"]),
+        (0, 4, 0.46875, 0.5, []),
+        (0, 4, 0.5, 0.25, []),
+        (4, 4, 0.125, 0.25, ["drift in 4 of 4 features", "pr_auc fell from 0.25 to 0.125"]),
+        (0, 0, None, 0.25, []),
+    ],
+)
+def test_retrain_decision(spark, drifted, features, now, before, reasons):
+    kind = "n_features int, n_drifted int, drifted_share double"
+    summary = spark.createDataFrame([(features, drifted, drifted / max(features, 1))], kind)
+    row = drift.retrain_decision(summary, now, before).first()
+    assert row.reasons == reasons and row.retrain == bool(reasons)
 
 
 # --- sequences ---------------------------------------------------------------------------
 
 
 def test_sequences(panel, summary):
-    table = sequences.sequence_dataset(panel, summary, S.splits["val"], max_anchors=40)
-    rows = table.collect()
-    assert len(rows) == min(40, len(rows)) and rows
+    everything = sequences.sequence_dataset(panel, summary, S.splits["val"])
+    units = {r.serial_number for r in everything.select("serial_number").distinct().collect()}
+    assert units == {r.serial_number for r in lifecycle.in_span(panel, S.splits["val"]).select("serial_number").distinct().collect()}
+    rows = sequences.sequence_dataset(panel, summary, S.splits["val"], max_anchors=40).collect()
+    assert 0 < len(rows) <= 40 < everything.count()
     for r in rows:
         assert len(r.window) == 30 and all(len(x) == 5 for x in r.window) and r.dur >= 1
 
