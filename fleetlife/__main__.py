@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlife.contracts import Settings
 from fleetlife.plans import jobs
-from fleetlife.session import JOB_CONF
+from fleetlife.session import JOB_CONF, drop_staged
 from fleetlife.sources.panel import read_header
 
 JOBS = [
@@ -86,6 +86,7 @@ def main() -> None:
     table = run(spark, options)
     if table is not None:
         table.show(100, truncate=False)
+    drop_staged(spark)
     spark.stop()
 
 

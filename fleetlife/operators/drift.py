@@ -21,6 +21,7 @@ from fleetlife.contracts import (
     PSI_FLOOR,
     PSI_THRESHOLD,
     Span,
+    quarter_name,
 )
 from fleetlife.functions.arrays import count_not_above
 from fleetlife.functions.labels import capacity_gb
@@ -68,7 +69,7 @@ def numeric_drift(
     """PSI on reference quantiles and the two-sample KS test, for all features in one job.
 
     ``both`` has the boolean columns in_ref and in_cur. Features with too few known values in
-    either window are left out.
+    either window stay in the report without figures (null: too few rows) and do not count as drifted.
     """
     doubles = [F.col(f).cast("double").alias(f) for f in features]
     long = both.select("in_ref", "in_cur", *doubles).unpivot(
@@ -129,16 +130,25 @@ def numeric_drift(
         F.max("ref").alias("ref"),
         F.max("cur").alias("cur"),
     )
-    return stats.select(
+    known = stats.select(
         "feature",
-        F.lit("numeric").alias("type"),
         F.round("psi_raw", 4).alias("psi"),
         F.round("ks_raw", 4).alias("ks_stat"),
         ks_pvalue(F.col("ks_raw"), F.col("ref"), F.col("cur")).alias("ks_pvalue"),
         "edge_count",
-        F.lit(None).cast("bigint").alias("new_categories"),
         (F.col("psi_raw") > PSI_THRESHOLD).alias("drifted"),
     )
+    asked = both.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    return asked.join(known, "feature", "left").select(
+        "feature",
+        F.lit("numeric").alias("type"),
+        "psi",
+        "ks_stat",
+        "ks_pvalue",
+        "edge_count",
+        F.lit(None).cast("bigint").alias("new_categories"),
+        F.coalesce("drifted", F.lit(False)).alias("drifted"),
+    )
 
 
 def category_shares(both: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -188,6 +198,9 @@ def two_windows(panel: DataFrame, reference: Span, current: Span) -> DataFrame:
     """Rows of either window from one scan, flagged with in_ref and in_cur."""
     in_ref = F.col("date").between(F.lit(reference.first), F.lit(reference.last))
     in_cur = F.col("date").between(F.lit(current.first), F.lit(current.last))
+    if "quarter" in panel.columns:  # skips the folders of all other quarters
+        names = [[quarter_name(d) for d in (span.first, span.last)] for span in (reference, current)]
+        panel = panel.where(F.col("quarter").between(*names[0]) | F.col("quarter").between(*names[1]))
     return panel.where(in_ref | in_cur).withColumns({"in_ref": in_ref, "in_cur": in_cur})
 
 

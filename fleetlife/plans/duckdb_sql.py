@@ -217,6 +217,7 @@ def _numeric_drift(ref, cur, features) -> str:
         for f in features
     )
     probabilities = [i / 10 for i in range(11)]
+    asked = ", ".join(f"('{f}')" for f in features)
     p_value = (
         "list_sum(list_transform(range(1, 101), lambda k: "
         "CASE WHEN k % 2 = 1 THEN 2e0 ELSE -2e0 END * exp(-2e0 * k * k * x)))"
@@ -240,8 +241,8 @@ moved AS (SELECT feature, CASE WHEN max(edge_count) < 3 THEN 0e0
     CAST(max(ref) AS DOUBLE) * max(cur) / (max(ref) + max(cur)) * max(distance) * max(distance) AS x
   FROM bins GROUP BY feature),
 stats AS (SELECT feature, round(psi_raw, 4) AS psi, round(ks_raw, 4) AS ks_stat,
-    round(CASE WHEN x < 1e-2 THEN 1e0 ELSE least(1e0, greatest(0e0, {p_value})) END, 6) AS ks_pvalue,
-    edge_count, psi_raw > 1e-1 AS drifted FROM moved)"""
+    round(CASE WHEN x IS NULL THEN NULL WHEN x < 1e-2 THEN 1e0 ELSE least(1e0, greatest(0e0, {p_value})) END, 6) AS ks_pvalue,
+    edge_count, coalesce(psi_raw > 1e-1, FALSE) AS drifted FROM (VALUES {asked}) AS asked(feature) LEFT JOIN moved USING (feature))"""
 
 
 def _category_drift(ref, cur) -> str:
@@ -453,12 +454,14 @@ n_cells AS (SELECT score, count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0
   WHERE y IS NOT NULL AND {_span(TEST)} GROUP BY 1),
 n_curve AS (SELECT pos, sum(pos) OVER (ORDER BY score DESC) AS tp, sum(neg) OVER (ORDER BY score DESC) AS fp,
   sum(pos) OVER () AS p_total FROM n_cells),
-gap AS (SELECT (SELECT {AP} FROM b_curve) - (SELECT {AP} FROM n_curve) AS fall),
+gap AS (SELECT b, n, b - n AS fall FROM (SELECT (SELECT {AP} FROM b_curve) AS b, (SELECT {AP} FROM n_curve) AS n)),
 s AS (SELECT count(*) AS n_features, count(*) FILTER (drifted) AS n_drifted,
   round(count(*) FILTER (drifted) / greatest(count(*), 1), 3) AS drifted_share FROM report),
-r AS (SELECT s.*, CAST(drifted_share >= 5e-1 AS INTEGER) + CAST(coalesce(fall >= 5e-2, FALSE) AS INTEGER) AS n_reasons
+r AS (SELECT s.*, CAST(drifted_share >= 5e-1 AS INTEGER) + CAST(coalesce(fall >= 5e-2, FALSE) AS INTEGER) AS n_reasons,
+    concat_ws('; ', CASE WHEN drifted_share >= 5e-1 THEN concat('drift in ', n_drifted, ' of ', n_features, ' features') END,
+      CASE WHEN fall >= 5e-2 THEN concat('pr_auc fell from ', round(b, 3), ' to ', round(n, 3)) END) AS reasons
   FROM s, gap)
-SELECT n_features, n_drifted, drifted_share, n_reasons, n_reasons > 0 AS retrain FROM r""",
+SELECT n_features, n_drifted, drifted_share, n_reasons, reasons, n_reasons > 0 AS retrain FROM r""",
         "rank_curve": f"WITH {E_SCORES},{_curve()} SELECT * FROM curve",
         "recall_at_fpr": f"""WITH {E_SCORES},{_curve('score_tied')}
 {_points({'0.1%': 0.001, '1%': 0.01, '5%': 0.05, '20%': 0.2})}""",

@@ -315,7 +315,8 @@ def retrain_decision(spark, sf):
     summary = drift.drift_summary(_report(spark, sf))
     decision = drift.retrain_decision(summary, quality["test"], quality["train"])
     return decision.select(
-        "n_features", "n_drifted", "drifted_share", F.size("reasons").alias("n_reasons"), "retrain"
+        "n_features", "n_drifted", "drifted_share", F.size("reasons").alias("n_reasons"),
+        F.array_join("reasons", "; ").alias("reasons"), "retrain"
     )
 
 

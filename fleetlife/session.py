@@ -1,10 +1,12 @@
 """Session helpers: settings the jobs rely on, and where intermediate tables are kept.
 
-Staged tables stay in the checkpoint folder of the application until that folder is emptied.
+Staged tables stay in the checkpoint folder until ``drop_staged`` is called, as the command line does
+at the end of a job. Frames that were built on them can't be used afterwards.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,6 +21,10 @@ JOB_CONF = {
 }
 
 
+#: Tables that this process has staged.
+_STAGED: list[str] = []
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench."""
     builder = (
@@ -45,7 +51,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="fleetlife-checkpoint-"))
     return sc.getCheckpointDir()
@@ -60,5 +66,13 @@ def stage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/staged-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables staged so far."""
+    while _STAGED:
+        place = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

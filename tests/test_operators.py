@@ -392,8 +392,10 @@ def test_published_p_value(spark):
     assert p == pytest.approx(0.636, abs=2e-3)
 
 
-def test_few_rows_are_skipped_and_constant_is_zero(spark):
-    assert drift.numeric_drift(both_windows(spark, [1.0] * 49, [1.0] * 80), ["x"]).isEmpty()
+def test_few_rows_are_listed_and_constant_is_zero(spark):
+    few = drift.numeric_drift(both_windows(spark, [1.0] * 49, [1.0] * 80), ["x"])
+    assert [(r.feature, r.psi, r.ks_stat, r.drifted) for r in few.collect()] == [("x", None, None, False)]
+    assert tuple(drift.drift_summary(few).first()) == (1, 0, 0.0)
     row = drift.numeric_drift(both_windows(spark, [0.0] * 60, [9.0] * 60), ["x"]).first()
     assert row.psi == 0.0 and row.edge_count == 1
 

@@ -220,3 +220,19 @@ def test_spans_read_their_quarters_only(spark, panel, tmp_path):
 def test_names_of_quarters_sort_like_days():
     assert [quarter_name(date(2023, m, 1)) for m in (1, 3, 4, 12)] == ["2023-Q1", "2023-Q1", "2023-Q2", "2023-Q4"]
     assert quarter_name(date(2023, 12, 31)) < quarter_name(date(2024, 1, 1))
+
+
+def test_staged_tables_can_be_dropped(spark):
+    import os
+
+    from fleetlife.session import drop_staged, stage
+
+    frame = stage(spark.range(3))
+    folder = frame.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert frame.count() == 3 and os.path.isdir(folder)
+    import fleetlife.session as session
+
+    kept, session._STAGED[:] = session._STAGED[:-1], session._STAGED[-1:]
+    drop_staged(spark)
+    session._STAGED[:] = kept  # other tests still use theirs
+    assert not os.path.exists(folder)
