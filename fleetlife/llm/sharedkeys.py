@@ -31,9 +31,13 @@ FOUND = "doc_id long, found array<long>"
 KeysOf = Callable[[Texts], tuple[np.ndarray, np.ndarray]]
 
 
-def slice_bits(total_bytes: int, least: int) -> int:
+#: Slices there are at least, so that rows per document and slice don't grow with the number of slices.
+LEAST_SLICES = 256
+
+
+def slice_bits(total_bytes: int, tasks: int) -> int:
     """Bits of the slice number: enough slices for the text, and for all tasks to have some."""
-    return max(int(total_bytes // SLICE_TEXT), 2 * least).bit_length()
+    return (max(int(total_bytes // SLICE_TEXT), 2 * tasks, LEAST_SLICES) - 1).bit_length()
 
 
 def key_bits(keys: np.ndarray, bits: int) -> np.ndarray:
