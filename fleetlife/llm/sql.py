@@ -67,6 +67,54 @@ FROM judged
 """
 
 
+ORACLE["op9_suffix"] = r"""
+WITH parts AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+windows AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS win
+  FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM parts WHERE n >= 50)),
+gone AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY win) AS first FROM windows) WHERE first < doc_id),
+edges AS (SELECT doc_id, i, i + 50 AS e, max(i + 50) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM gone),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(e) AS b
+  FROM (SELECT *, count(*) FILTER (before IS NULL OR i > before) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edges)
+  GROUP BY doc_id, run),
+cut AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_byte FROM runs),
+kept AS (
+  SELECT c.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a) AS head
+  FROM cut c JOIN parts USING (doc_id) GROUP BY c.doc_id)
+SELECT p.doc_id, p.n AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, coalesce(k.n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN k.doc_id IS NULL THEN p.h ELSE k.head || substr(p.h, 2 * k.last + 1) END)) AS kept_sha256
+FROM parts p LEFT JOIN kept k USING (doc_id)
+"""
+
+ORACLE["op10_partenum"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 4], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 3, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * c.n >= 85 * (a.n + b.n - c.n)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT x AS doc_id, x AS other FROM both_ways
+  UNION
+  SELECT r.doc_id, l.y FROM reached r JOIN both_ways l ON r.other = l.x)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(m.least, w.doc_id) AS component_id
+FROM words w LEFT JOIN sizes s USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id) m USING (doc_id)
+"""
+
+
 def _fill() -> None:
     from fleetlife.llm.qualityrules import STOP_WORDS
 
