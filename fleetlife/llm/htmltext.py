@@ -13,6 +13,7 @@ recursion, so deep nesting doesn't matter.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 from math import e, log
 
@@ -55,7 +56,9 @@ CONTENT_NAMES = set("article post entry content story main text body page wrappe
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|"
-    r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<attributes>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>",
+    # Attributes: quotes in pairs, or (if they don't pair up) whatever there is before the next bracket.
+    r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/><]*+)"
+    r"(?P<attributes>(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^<>]*+)>",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?", re.S)
@@ -70,6 +73,7 @@ class _Page:
     def __init__(self, html: str):
         self.tags, self.parents, self.left_out, self.landmark = ["#page"], [-1], [False], [""]
         self.events: list[tuple[int, str | None]] = []  # element and its text; None: a block begins or ends
+        self.open: Counter[str] = Counter()  # open elements by name: nothing is searched for in vain
         stack, at = [0], 0
         for tag in _TAG.finditer(html):
             if tag.start() < at:
@@ -93,18 +97,25 @@ class _Page:
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I).search(html, at)
                 at = end.start() if end else len(html)
-            if name not in VOID and not tag["attributes"].endswith("/"):
+            # HTML ignores the slash of <div/>, but not of drawings.
+            if name not in VOID and not (name in {"svg", "path"} and tag["attributes"].endswith("/")):
                 stack.append(number)
-            elif name not in VOID and name not in {"svg", "path"}:
-                stack.append(number)  # HTML ignores the slash of <div/>
+                self.open[name] += 1
         if at < len(html):
             self.events.append((stack[-1], html[at:]))
 
+    def _pop(self, stack: list[int], depth: int) -> None:
+        for number in stack[depth:]:
+            self.open[self.tags[number]] -= 1
+        del stack[depth:]
+
     def _close(self, stack: list[int], name: str) -> None:
+        if not self.open[name]:
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tags[stack[depth]]
             if tag == name:
-                del stack[depth:]
+                self._pop(stack, depth)
                 if name in BLOCKS:
                     self.events.append((stack[-1], None))
                 return
@@ -114,12 +125,12 @@ class _Page:
     def _make_room(self, stack: list[int], name: str) -> None:
         closes, limits = SIBLINGS.get(name, (set(), set()))
         for closes, limits in ((closes, limits), ({"p"}, P_LIMITS) if name in CLOSES_P or name in SIBLINGS else (set(), set())):
-            if not closes:
+            if not any(self.open[c] for c in closes):
                 continue
             for depth in range(len(stack) - 1, 0, -1):
                 tag = self.tags[stack[depth]]
                 if tag in closes:
-                    del stack[depth:]
+                    self._pop(stack, depth)
                     self.events.append((stack[-1], None))
                     if name not in {"tr"}:
                         break
