@@ -34,6 +34,7 @@ HEADLINE = [
     "request_features",
     "top_reasons",
     "score_split",
+    "fleet_scorecard",
 ]
 
 
