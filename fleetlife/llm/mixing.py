@@ -3,6 +3,7 @@
 A source's target is taken as whole passes over all its documents plus a rest smaller than the
 source. For the rest, documents are counted by exact length; from every length the same share is
 taken at first, and what is then missing is made up by a bounded knapsack over the unused counts.
+Where that doesn't meet the rest, more and more of the share is put back into the knapsack.
 The plan names only how many documents of each length to take. Which ones follows from a seeded
 hash: the documents of one length are numbered (without one task for a length) and the first are taken.
 """
@@ -27,9 +28,14 @@ MOST_COPIES = 3
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 
-#: Budgets up to this many words are solved exactly; more is first brought down by whole documents.
+#: Gaps are first brought down to this many words by whole documents, then solved exactly.
 EXACT_WORDS = 1 << 16
 
+#: By how much the exact part grows while the rest is not met, and the bits it may then keep. Sources
+#: with few documents are solved whole within that.
+GROWTH = 16
+MOST_BITS = 1 << 31
+
 
 def word_count(text: str) -> F.Column:
     """Runs of anything but ASCII white space; null: 0."""
@@ -40,7 +46,7 @@ def reach(sizes: np.ndarray, counts: np.ndarray, budget: int) -> tuple[int, np.n
     """The largest sum <= ``budget`` of at most ``counts[i]`` items of ``sizes[i]``, and the items used.
 
     Bounded knapsack by powers of two: after each part, a bit per sum tells which sums are reachable.
-    The bits are kept for the way back: at most ``EXACT_WORDS`` bits for each part.
+    The bits are kept for the way back: ``budget`` bits for each part.
     """
     used = np.zeros(len(sizes), np.int64)
     mask, states, parts = (1 << (budget + 1)) - 1, [1], []
@@ -59,35 +65,56 @@ def reach(sizes: np.ndarray, counts: np.ndarray, budget: int) -> tuple[int, np.n
     return total, used
 
 
+def fill(sizes: np.ndarray, counts: np.ndarray, rest: int, room: int, shared: int) -> tuple[int, np.ndarray] | None:
+    """Words still missing to ``rest``, and documents of each length: equal shares up to ``shared`` words, then whole
+    documents down to a gap of ``room``, then the best sum for the gap. None if that needs over ``MOST_BITS``."""
+    everything = int((sizes * counts).sum())
+    extra = np.array([shared * c // everything for c in counts.tolist()], np.int64)  # exact: Python integers
+    missing = rest - int((extra * sizes).sum())
+    # From the longest down. If a document longer than the gap less the reserve is all that is left, it is taken as well.
+    for reserve in (room // 2, 0):
+        for i in np.argsort(-sizes, kind="stable"):
+            if missing <= room:
+                break
+            more = min(int(counts[i] - extra[i]), max(missing - reserve, 0) // int(sizes[i])) if sizes[i] else 0
+            extra[i] += more
+            missing -= more * int(sizes[i])
+    short = np.flatnonzero((sizes > 0) & (sizes <= missing) & (counts > extra))
+    short = short[np.argsort(sizes[short], kind="stable")]
+    free = (counts - extra)[short]
+    parts = sum(min(c, missing // s).bit_length() for s, c in zip(sizes[short].tolist(), free.tolist()))
+    if not parts:
+        return missing, extra
+    if room > EXACT_WORDS and parts * missing > MOST_BITS:
+        return None
+    # Ones, twos and so on first would close small gaps but use up all bits of memory last.
+    total, used = reach(sizes[short][::-1], free[::-1], missing)
+    extra[short] += used[::-1]
+    return missing - total, extra
+
+
 def plan_source(sizes: np.ndarray, counts: np.ndarray, target: float, most: int = MOST_COPIES) -> tuple[int, np.ndarray]:
     """Passes over everything, and documents of each length to take once more.
 
     The sum is the reachable one closest below the target's nearest integer; with the usual short
-    documents it is the target itself.
+    documents it is the target itself. Only where ``MOST_BITS`` don't suffice to settle that, it is
+    the best sum found.
     """
     everything = int((sizes * counts).sum())
     if not everything:
         return 0, np.zeros(len(sizes), np.int64)
     goal = min(int(round(target)), most * everything)
     passes, rest = divmod(goal, everything)
-    share = [rest * c // everything for c in counts.tolist()]  # exact: Python integers
-    extra = np.array(share, np.int64)
-    missing = rest - int((extra * sizes).sum())
-    # Whole documents from the longest down, until the exact part can close the gap.
-    for i in np.argsort(-sizes, kind="stable"):
-        if missing <= EXACT_WORDS:
+    unit = int(np.gcd.reduce(sizes))  # no sum is between its multiples
+    sizes, rest, room = sizes // unit, rest // unit, EXACT_WORDS
+    missing, extra = fill(sizes, counts, rest, room, rest)
+    while missing and room < rest:
+        room = min(room * GROWTH, rest)
+        wider = fill(sizes, counts, rest, room, rest - room)
+        if wider is None:
             break
-        more = min(int(counts[i] - extra[i]), (missing - EXACT_WORDS // 2) // int(sizes[i])) if sizes[i] else 0
-        if more > 0:
-            extra[i] += more
-            missing -= more * int(sizes[i])
-    if missing > EXACT_WORDS:
-        return passes, extra  # only a document longer than the gap is left
-    short = np.flatnonzero((sizes > 0) & (sizes <= missing) & (counts > extra))
-    short = short[np.argsort(sizes[short], kind="stable")]
-    # Ones, twos and so on first would close small gaps but use up all bits of memory last.
-    _, used = reach(sizes[short][::-1], (counts - extra)[short][::-1], missing)
-    extra[short] += used[::-1]
+        if wider[0] < missing:
+            missing, extra = wider
     return passes, extra
 
 

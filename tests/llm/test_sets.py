@@ -82,6 +82,23 @@ def test_plan_meets_the_target():
     assert mixing.plan_source(np.array([0]), np.array([7]), 0.0)[0] == 0
 
 
+def test_plan_of_long_documents():
+    """Gaps above EXACT_WORDS and documents longer than what greedy taking leaves: still the best sum."""
+    sizes, ones = np.array([90_000, 90_001, 90_002]), np.array([1, 1, 1])
+    assert int((mixing.plan_source(sizes, ones, 200_000.0)[1] * sizes).sum()) == 180_003
+    rng = random.Random(3)
+    for _ in range(30):
+        sizes = np.array(sorted(rng.sample(range(20_000, 120_000), rng.randint(1, 9))))
+        counts = np.array([rng.randint(1, 3) for _ in sizes])
+        sums = {0}
+        for size, count in zip(sizes.tolist(), counts.tolist()):
+            sums = {s + k * size for s in sums for k in range(count + 1)}
+        rest = rng.randrange(max(sums))
+        passes, extra = mixing.plan_source(sizes, counts, float(rest))
+        assert passes == 0 and (extra >= 0).all() and (extra <= counts).all()
+        assert int((extra * sizes).sum()) == max(s for s in sums if s <= rest)
+
+
 def filled(sizes, weights, most=3):
     """Targets by letting one source after another reach its limit."""
     total, full = sum(sizes), set()
