@@ -64,6 +64,24 @@ def _iban(match: Column) -> Column:
     return mod97(F.replace(match, F.lit(" "), F.lit("")))
 
 
+#: Letters and digits of an account code after its first four, by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    11: "NO", 12: "BE", 14: "DK FI FO FK GL NL SD", 15: "MK SI", 16: "AT BA EE KZ LT LU MN XK", 17: "CH HR LI LV",
+    18: "BG BH CR DE GB GE IE ME RS VA", 19: "AE GI IL IQ OM SO TL", 20: "AD CZ ES MD PK RO SA SE SK TN VG",
+    21: "LY PT ST", 22: "IS TR", 23: "BI DJ FR GR IT MC MR SM", 24: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    25: "BR EG PS QA UA", 26: "JO KW MU YE", 27: "MT SC", 28: "LC", 29: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """The country fixes the length, so what follows a code is never taken into it. Codes of other countries
+    are as long as they can be, but end before one of a listed country."""
+    known = "(?:" + "|".join(" ".join(IBAN_LENGTHS.values()).split()) + ")[0-9]{2}"
+    fixed = [rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n}}}+" for n, c in IBAN_LENGTHS.items()]
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:(?!\x20{known})\x20?[A-Z0-9]){{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join([*fixed, other])})(?![A-Za-z0-9])"
+
+
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 
@@ -120,7 +138,7 @@ KINDS = (
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+        _iban_pattern(),
         lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11}"),
         _iban,
         base=False,

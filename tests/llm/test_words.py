@@ -230,6 +230,18 @@ def test_validators_and_context(spark):
     assert scores["4111-1111-1111-1111"] == pytest.approx(1.0)  # confirmed, and "card" stands before it
 
 
+def test_account_codes_end_where_their_country_says(spark):
+    codes = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    after = ["Please pay", "BIC COBADEFFXXX", "100 EUR", "2024-01-31", "DE89 3704 0044 0532 0130 00", "A", "and", ".", ""]
+    rows = [(i, f"to {code} {rest}") for i, (code, rest) in enumerate((c, a) for c in codes for a in after)]
+    rows += [(900, "GB82 WEST 1234 5698 7654 3 Please"), (901, "GB82 WEST 1234 5698 7654 32X"), (902, "XX57 1234 5678 9012 345 GB82 WEST 1234 5698 7654 32")]
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    ibans = {i: [r.text[s.start : s.end] for s in r.pii if s.kind == "iban"] for i, r in found.items()}
+    for i, (code, rest) in enumerate((c, a) for c in codes for a in after):
+        assert ibans[i] == [code] + [rest] * rest.startswith("DE89")
+    assert ibans[900] == ibans[901] == [] and "GB82 WEST 1234 5698 7654 32" in ibans[902]
+
+
 def test_masking(spark):
     found = pii.find_pii(spark.createDataFrame([(1, "to me@x.y now"), (2, None)], "doc_id long, text string"))
     assert [r.text for r in pii.masked(found).orderBy("doc_id").collect()] == ["to ****** now", None]
