@@ -4,7 +4,8 @@ Every element has characters and tags, and some of either belong to links. Its d
 tag, lowered by the share of links. The element whose children's densities have the largest sum holds the
 article; the lowest density on the path from there to the body (or to the page's one article element) is
 the threshold that neighbours outside must reach. Elements that name themselves as something else (menus,
-adverts, comments and so on) are left out before anything is measured.
+adverts, comments and so on) are left out before anything is measured, unless they hold the article: an
+article or main element, or half of the text. Those are left to the densities.
 
 Pages are independent: one pass over Arrow batches, no shuffle. The tree is a few lists, built without
 recursion, so deep nesting doesn't matter.
@@ -52,6 +53,8 @@ NOT_CONTENT_NAMES = set(
     "footer header masthead popup modal overlay newsletter subscribe share sharing social related recommended widget "
     "pagination pager login signup search toolbar".split()
 )
+#: Left out even beside a name of content.
+STRONG_NAMES = set("comment comments ad ads advert sidebar".split())
 CONTENT_NAMES = set("article post entry content story main text body page wrapper container layout site".split())
 
 _TAG = re.compile(
@@ -63,6 +66,10 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?", re.S)
 _NAME = re.compile(r"[A-Za-z]+")
+#: Whole names that tell how an element is laid out and not what it is: no-sidebar, ad-free, comments-open.
+_STATE = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_](?:free|open|closed)")
+#: Whole names of comments and lists of comments.
+_COMMENT = re.compile(r"(?:[a-z]+[-_])?comments?(?:[-_].*)?")
 
 RESULT = [T.StructField("main_text", T.StringType()), T.StructField("density", T.DoubleType())]
 
@@ -72,6 +79,7 @@ class _Page:
 
     def __init__(self, html: str):
         self.tags, self.parents, self.left_out, self.landmark = ["#page"], [-1], [False], [""]
+        self.named = [""]  # elements that name themselves as something else: "other" or "comment"
         self.events: list[tuple[int, str | None]] = []  # element and its text; None: a block begins or ends
         self.open: Counter[str] = Counter()  # open elements by name: nothing is searched for in vain
         stack, at = [0], 0
@@ -142,7 +150,7 @@ class _Page:
         if attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
                 own.setdefault(key.lower(), unescape(next((v for v in values if v), "")).lower())
-        role, names = own.get("role", ""), set(_NAME.findall(own.get("class", "") + " " + own.get("id", "")))
+        role, named = own.get("role", ""), ""
         mark = ""
         if name == "article" or role == "article" or own.get("itemprop") == "articlebody":
             mark = "article"
@@ -152,13 +160,45 @@ class _Page:
         out = name in NOT_CONTENT or name == "header" and not in_article or role in NOT_CONTENT_ROLES
         out |= "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
         if name not in {"html", "body"}:
-            named = names & NOT_CONTENT_NAMES
-            out |= bool(named & {"comment", "comments"}) if mark else bool(named) and not names & CONTENT_NAMES
-            out |= bool(named & {"comment", "comments", "ad", "ads", "advert", "sidebar"})
+            named = _named(own.get("class", "") + " " + own.get("id", ""), bool(mark))
         self.tags.append(name)
         self.parents.append(parent)
         self.left_out.append(self.left_out[parent] or out and name not in {"html", "body"})
         self.landmark.append(mark if not self.left_out[-1] else "")
+        self.named.append(named)
+
+    def leave_out_named(self, own: list[int]) -> None:
+        """Leave out what names itself as something else and doesn't hold the article.
+
+        ``own`` has the characters of each element without those below it. Comments can be articles
+        themselves: they only stay if they hold the largest article or main element of the page.
+        """
+        if not any(self.named):
+            return
+        count = len(self.tags)
+        chars, marks, largest = list(own), [0] * count, [False] * count
+        for k in range(count - 1, 0, -1):
+            chars[self.parents[k]] += chars[k]
+        found = [k for k in range(count) if self.landmark[k] and chars[k] and self.named[k] != "comment"]
+        for k in found:
+            marks[k] = 1
+        if found:
+            largest[max(found, key=lambda k: (chars[k], -k))] = True
+        for k in range(count - 1, 0, -1):
+            marks[self.parents[k]] += marks[k]
+            largest[self.parents[k]] |= largest[k]
+        body = next((k for k in range(count) if self.tags[k] == "body" and chars[k]), 0)
+        out = list(self.left_out)
+        for k in range(1, count):
+            half = 2 * chars[k] >= chars[body]
+            if self.named[k] == "comment":
+                stays = largest[k] or half and marks[k] == len(found)
+            else:
+                stays = not self.named[k] or marks[k] or half
+            out[k] = out[k] or out[self.parents[k]] or not stays
+        if any(n and not o for n, o in zip(own, out)):  # else names are no help on this page
+            self.left_out = out
+            self.landmark = [m if not o else "" for m, o in zip(self.landmark, out)]
 
     def _within(self, number: int) -> str:
         while number > 0:
@@ -168,6 +208,20 @@ class _Page:
         return ""
 
 
+def _named(classes: str, landmark: bool) -> str:
+    """What the names of an element say it is: "comment", "other" than content, or nothing."""
+    whole = {n for n in classes.split() if not _STATE.fullmatch(n)}
+    if not whole:
+        return ""
+    comment = any(_COMMENT.fullmatch(n) for n in whole)
+    if landmark:
+        return "comment" if comment and not whole & CONTENT_NAMES else ""
+    names = set(_NAME.findall(" ".join(whole)))
+    if names & STRONG_NAMES or names & NOT_CONTENT_NAMES and not names & CONTENT_NAMES:
+        return "comment" if comment else "other"
+    return ""
+
+
 def composite_density(chars: int, tags: int, link_chars: int, link_tags: int, body_chars: int, body_links: int) -> float:
     """Characters per tag, times the logarithm of how little of them are links.
 
@@ -196,6 +250,8 @@ def main_text(html: str | None) -> tuple[str, float]:
             text = unescape(text)
             texts.append((number, text))
             chars[number] += len("".join(text.split()))
+    page.leave_out_named(chars)
+    chars = [n if not out else 0 for n, out in zip(chars, page.left_out)]
     in_link = [False] * count
     for k in range(1, count):
         in_link[k] = page.tags[k] == "a" or in_link[page.parents[k]]

@@ -38,6 +38,34 @@ def test_article_without_the_rest(wrap):
     assert main_text(html)[0] == TEXT
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    [
+        "<div class='content-sidebar-wrap'><main>{}</main></div>",
+        "<main class='content has-sidebar'>{}</main>",
+        "<main class='content with-ads sidebar'>{}</main>",
+        "<article class='post comments-open'>{}</article>",
+        "<article class='comments-open'>{}</article>",
+        "<div class='entry-content ad-free'>{}</div>",
+        "<div id='app' class='menu-open'><article>{}</article></div>",
+        "<div id='app' class='nav-fixed'><div>{}</div></div>",
+        "<div class='sidebar-layout'><div class='ad-wrapper'>{}</div></div>",
+        "<div class='comments-wrap'><main>{}</main></div>",
+    ],
+)
+def test_names_of_wrappers_do_not_lose_the_article(wrap):
+    around, after = AROUND.format(long="Short notice."), AFTER.format(long="Short remark.")
+    assert main_text(page(around + wrap.format(ARTICLE) + after))[0] == TEXT
+
+
+def test_articles_of_comments_are_left_out():
+    comments = "".join(f"<article id=div-comment-{i} class=comment-body><p>{LONG}</p></article>" for i in range(9))
+    for inner in (comments, comments.replace("comment-body", "x").replace("div-comment", "y")):
+        html = page(f"<article class='post comments-open'>{ARTICLE}</article><div id=comments class=comments-area>{inner}</div>")
+        assert main_text(html)[0] == TEXT
+    assert main_text(page(f"<div class=ads>{LONG}</div><div class=sidebar>{LONG}</div><div class=promo>{LONG}</div>"))[0].count(LONG.strip()) == 3
+
+
 def test_menu_without_a_name_is_left_out():
     links = "".join(f"<div><a href=/{i}>Some other page {i}</a></div>" for i in range(20))
     html = page(f"<div><div>{links}</div><div>{ARTICLE}</div></div>")
