@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from fleetlife.contracts import Span
 from fleetlife.functions.hashing import HASH_RANGE, hash_slot
 from fleetlife.operators.lifecycle import active_units
+from fleetlife.session import stage
 
 UNIT_DAY = ("serial_number", "date")
 
+#: Hash slots are counted by their leading bits first, then by these inside the one range reached: a
+#: group has at most 65,536 counts each time, however many rows it has.
+LOW_BITS = 16
+
 
 def class_counts(frame: DataFrame, label: str = "y") -> DataFrame:
     """One row: positives and negatives."""
@@ -59,6 +64,18 @@ def _keep_share(frame: DataFrame, share: Column, label: str, keys: Sequence[str]
     return frame.where((F.col(label) == 1) | drawn)
 
 
+def _reached(counts: DataFrame, limits: DataFrame, within: list[str], place: str) -> DataFrame:
+    """Per group the place in which its first ``n`` rows end, and as ``n`` how many of them are there."""
+    order = Window.partitionBy(*within).orderBy(place)
+    before = F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return (
+        counts.withColumn("_before", before)
+        .join(F.broadcast(limits.select(*within, "n")), within)
+        .where((F.col("_before") < F.col("n")) & (F.col("_before") + F.col("_rows") >= F.col("n")))
+        .select(*within, place, (F.col("n") - F.col("_before")).alias("n"))
+    )
+
+
 def smallest_hashes(
     frame: DataFrame,
     limits: DataFrame,
@@ -68,22 +85,22 @@ def smallest_hashes(
     """Exactly ``n`` rows per ``within`` group (a column of ``limits``), lowest hash first.
 
     A row is its keys; ties of the hash are broken by them. Instead of ranking whole groups, rows
-    are counted per hash slot (at most 2**32 per group, and no more than rows), the slot in which the limit is
-    reached is looked up, and only the rows of that one slot are ranked.
+    are counted per range of hash slots, then per slot of the range in which the limit is reached,
+    and only the rows of the one slot in which it is reached are ranked.
     """
     within = list(within)
     # One row per group, given by the caller: always broadcast, so that no join moves the rows of
     # a large group to one task.
     limits = limits.select(*within, "n")
     hashed = frame.withColumn("_slot", hash_slot(*keys))
-    per_slot = hashed.groupBy(*within, "_slot").agg(F.count("*").alias("_rows"))
-    order = Window.partitionBy(*within).orderBy("_slot")
-    before = F.coalesce(F.sum("_rows").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = (
-        per_slot.withColumn("_before", before)
-        .join(F.broadcast(limits), within)
-        .where((F.col("_before") < F.col("n")) & (F.col("_before") + F.col("_rows") >= F.col("n")))
-        .select(*within, F.col("_slot").alias("_cut"), (F.col("n") - F.col("_before")).alias("_room"))
+    per_range = hashed.groupBy(*within, F.shiftright("_slot", LOW_BITS).alias("_range")).agg(F.count("*").alias("_rows"))
+    # One row per group, read by two branches of the plan.
+    ranges = stage(_reached(per_range, limits, within, "_range"))
+    in_range = hashed.join(F.broadcast(ranges.withColumnRenamed("_range", "_reached")), within)
+    in_range = in_range.where(F.shiftright("_slot", LOW_BITS) == F.col("_reached"))
+    per_slot = in_range.groupBy(*within, "_slot").agg(F.count("*").alias("_rows"))
+    cut = _reached(per_slot, ranges, within, "_slot").select(
+        *within, F.col("_slot").alias("_cut"), F.col("n").alias("_room")
     )
     has_limit = limits.where("n > 0").select(*within)
     near = (

@@ -316,6 +316,26 @@ def test_sample_n_is_exact(panel):
     assert sampling.sample_n(panel, 0).count() == 0
 
 
+def test_smallest_hashes_orders_few_counts(spark, monkeypatch):
+    """No window over a group's slots sees a number of rows that grows with the group."""
+    import hashlib
+
+    seen, reached = [], sampling._reached
+
+    def spy(counts, limits, within, place):
+        seen.append(counts.groupBy(*within).count().agg({"count": "max"}).first()[0])
+        return reached(counts, limits, within, place)
+
+    monkeypatch.setattr(sampling, "_reached", spy)
+    rows = spark.range(100_000).selectExpr("cast(id % 2 as int) AS g", "id")
+    limits = spark.createDataFrame([(0, 30_000), (1, 7)], "g int, n bigint")
+    kept = {r.id for r in sampling.smallest_hashes(rows.where("g = 0 or id < 40000"), limits, ["id"], ["g"]).collect()}
+    order = sorted(range(100_000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest()[:8])
+    expected = [i for i in order if i % 2 == 0][:30_000] + [i for i in order if i % 2 and i < 40_000][:7]
+    assert kept == set(expected) and len(kept) == 30_007
+    assert len(seen) == 2 and seen[0] <= 1 << 16 and seen[1] < 100  # 50,000 rows and slots in a group
+
+
 def test_smallest_hashes_with_one_hot_slot(spark):
     """Rows that share a hash slot are ranked by their keys."""
     rows = spark.range(50).select((F.col("id") % 5).cast("string").alias("k"), "id", F.lit(0).alias("g"))
