@@ -75,10 +75,12 @@ def most_apart(size_a, size_b, percent: int):
 @cache
 def band_edges(percent: int) -> np.ndarray:
     """The smallest size of every band up to 2**40. Partners are in the same or a neighbouring band:
-    a band reaches as far as a partner of its smallest size can."""
+    a band reaches as far as a partner of its smallest size can. At 100 % partners have one size, so
+    that any bands will do."""
     edges = [1]
     while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, -(-100 * edges[-1] // percent)))
+        reach = -(-100 * edges[-1] // percent) if percent < 100 else 2 * edges[-1]
+        edges.append(max(edges[-1] + 1, reach))
     return np.array(edges, np.int64)
 
 
