@@ -695,7 +695,8 @@ def calibrate(spark, sf):
 @query
 def production_training(spark, sf):
     artifacts = _published(spark, sf)
-    lines = [(k, float(v)) for k, v in {**artifacts.metadata, **artifacts.thresholds}.items() if v is not None]
+    noted = {**artifacts.metadata, **artifacts.thresholds}
+    lines = [(k, float(v)) for k, v in noted.items() if isinstance(v, (int, float))]
     return spark.createDataFrame(lines, "name string, value double")
 
 
