@@ -11,6 +11,7 @@ from fleetlife.llm import (
     decontaminate,
     htmltext,
     jaccardjoin,
+    lexicalsearch,
     licenses,
     mixing,
     pii,
@@ -148,3 +149,10 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op12_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for every benchmark item."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lexicalsearch.search(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), k=50)

@@ -114,6 +114,34 @@ FROM words w LEFT JOIN sizes s USING (doc_id)
 LEFT JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id) m USING (doc_id)
 """
 
+ORACLE["op12_nra"] = r"""
+WITH words AS (
+  SELECT doc_id, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM words WHERE len(w) > 0),
+occurrences AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM words) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(n_docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight
+  FROM occurrences, totals GROUP BY term),
+asked AS (
+  SELECT DISTINCT item_id, i, term
+  FROM (SELECT item_id, row_number() OVER () AS i,
+               unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM benchmark)),
+scored AS (
+  SELECT item_id, i, d.doc_id,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(d.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN occurrences USING (term) JOIN weights USING (term) JOIN words d USING (r), totals
+  GROUP BY item_id, i, r, d.doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 
 def _fill() -> None:
     from fleetlife.llm.qualityrules import STOP_WORDS
