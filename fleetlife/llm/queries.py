@@ -15,6 +15,7 @@ from fleetlife.llm import (
     licenses,
     mixing,
     pii,
+    prefixtrie,
     qualityrules,
     sharding,
     substringdedup,
@@ -156,3 +157,9 @@ def op12_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents for every benchmark item."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return lexicalsearch.search(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), k=50)
+
+
+@query
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))

@@ -142,6 +142,45 @@ ranked AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
 """
 
+ORACLE["op11_trie"] = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id AS c, turn, coalesce(text, '') AS t,
+         md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+numbered AS (
+  SELECT c, digest, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words,
+         row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, digest) AS p
+  FROM turns),
+bits AS (
+  SELECT DISTINCT c, CAST(c AS VARCHAR) AS s, 0 AS i, CAST(4294967295 AS BIGINT) AS v FROM turns
+  UNION ALL
+  SELECT c, s, i + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END
+  FROM (SELECT c, s, i, CASE WHEN i % 8 = 0 THEN xor(v, CAST(ascii(substr(s, CAST(i // 8 + 1 AS INT), 1)) AS BIGINT)) ELSE v END AS x
+        FROM bits WHERE i < 8 * length(s))),
+convs AS (SELECT c, xor(v, CAST(4294967295 AS BIGINT)) % 4 AS h FROM bits WHERE i = 8 * length(s)),
+rebuilt AS (
+  SELECT k.c, 1 AS own, n.p, digest, words FROM convs k JOIN numbered n ON n.c = k.c - k.c % 20 WHERE n.p <= k.h
+  UNION ALL
+  SELECT k.c, 2 AS own, n.p, digest, words FROM convs k JOIN numbered n ON n.c = k.c WHERE n.p > k.h),
+whole AS (SELECT c, list(digest ORDER BY own, p) AS l, list(words ORDER BY own, p) AS ws FROM rebuilt GROUP BY c),
+paths AS (
+  SELECT c, d, array_to_string(l[1 : d], '') AS key, CASE WHEN d > 0 THEN array_to_string(l[1 : d - 1], '') END AS parent,
+         CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS words, d = len(l) AS last
+  FROM (SELECT k.c, coalesce(l, []) AS l, ws, unnest(range(coalesce(len(l), 0) + 1)) AS d FROM convs k LEFT JOIN whole w USING (c))),
+nodes AS (
+  SELECT key, any_value(parent) AS parent, any_value(d) AS depth, min(c) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * any_value(words) AS saved,
+         coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '') AS ends
+  FROM paths GROUP BY key),
+children AS (SELECT parent AS key, count(*) AS n FROM nodes WHERE parent IS NOT NULL GROUP BY parent),
+below AS (
+  SELECT a.key, sum(n.saved) AS saved, count(*) FILTER (k.key IS NULL) AS leaves
+  FROM nodes n JOIN paths a ON a.c = n.conv_id AND a.d <= n.depth LEFT JOIN children k ON k.key = n.key GROUP BY a.key)
+SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, b.leaves AS n_leaves,
+       CAST(b.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM nodes n LEFT JOIN nodes up ON up.key = n.parent LEFT JOIN children k ON k.key = n.key JOIN below b ON b.key = n.key
+"""
+
 
 def _fill() -> None:
     from fleetlife.llm.qualityrules import STOP_WORDS
