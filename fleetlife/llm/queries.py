@@ -13,6 +13,7 @@ from fleetlife.llm import (
     jaccardjoin,
     lexicalsearch,
     licenses,
+    minhash,
     mixing,
     pii,
     prefixtrie,
@@ -163,3 +164,9 @@ def op12_nra(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node of the prefix trie of the rebuilt conversations."""
     return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose two-word shingles are 80 % the same."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), n=2, percent=80)

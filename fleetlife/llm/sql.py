@@ -181,6 +181,32 @@ SELECT n.conv_id, n.depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n
 FROM nodes n LEFT JOIN nodes up ON up.key = n.parent LEFT JOIN children k ON k.key = n.key JOIN below b ON b.key = n.key
 """
 
+ORACLE["op13_minhash"] = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i + 1 : i + 2], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(greatest(len(w) - 1, 1))) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common c JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y
+  WHERE 100 * c.n >= 80 * (a.n + b.n - c.n)),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (
+  SELECT x AS doc_id, x AS other FROM both_ways
+  UNION
+  SELECT r.doc_id, l.y FROM reached r JOIN both_ways l ON r.other = l.x)
+SELECT w.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(m.least, w.doc_id) AS component_id,
+       w.doc_id = coalesce(m.least, w.doc_id) AS kept
+FROM words w LEFT JOIN sizes s USING (doc_id)
+LEFT JOIN (SELECT doc_id, min(other) AS least FROM reached GROUP BY doc_id) m USING (doc_id)
+"""
+
 
 def _fill() -> None:
     from fleetlife.llm.qualityrules import STOP_WORDS
