@@ -34,13 +34,13 @@ from fleetlife.session import stage
 
 #: Heavy nodes there are at most, and conversations that a node needs at least to be one.
 HEAVY_NODES = 200_000
-LEAST_HEAVY = 1_000
+LEAST_HEAVY = 100
 
 #: Messages that a queue holds in memory.
 HELD_MESSAGES = 200_000
 
 #: Bits of a conversation number within one piece of the list of conversations that end at a heavy node.
-PIECE_BITS = 12
+PIECE_BITS = 8
 
 #: Rows of an Arrow batch.
 BATCH_ROWS = 8_192
