@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fleetlife.contracts import FBETA, Settings
 from fleetlife.models import survival as sv
 from fleetlife.models.classifiers import CLASSIFIERS, fit_classifier, numeric_inputs, prepare, score
+from fleetlife.models.survival_forest import fit_survival_forest, predict_survival_forest
 from fleetlife.operators.encode import codebook
 from fleetlife.operators.rankmetrics import average_precision, classification_bundle, rank_curve
 from fleetlife.operators.sampling import cap_negatives
@@ -108,7 +109,7 @@ def run_survival_bakeoff(
     train: DataFrame,
     test: DataFrame,
     max_censored: int = 300_000,
-    models: Sequence[str] = ("weibull", "cox", "hazard_forest"),
+    models: Sequence[str] = ("weibull", "cox", "hazard_forest", "survival_forest"),
     log_path: str | None = None,
 ) -> DataFrame:
     """Leaderboard of remaining-life models on survival tables.
@@ -124,6 +125,7 @@ def run_survival_bakeoff(
         "weibull": (sv.fit_weibull, sv.predict_weibull),
         "cox": (sv.fit_cox, sv.predict_cox),
         "hazard_forest": (lambda df: sv.fit_hazard_forest(df, categories), sv.predict_hazard_forest),
+        "survival_forest": (fit_survival_forest, predict_survival_forest),
     }
     lines = []
     for name in models:
