@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fleetlife.contracts import RISK_BIN_EDGES, RISK_BIN_NAMES, SMART_BIG5, WINDOWS, rolling_columns
-from fleetlife.plans.registry import FIXED_EFFECTS, SPARSE_WINDOWS
+from fleetlife.plans.registry import CUT_INPUTS, FIXED_EFFECTS, SPARSE_WINDOWS
 from fleetlife.sources.testdata import EVENT_SETTINGS as S
 from fleetlife.sources.testdata import FATAL_ERRORS
 
@@ -361,6 +361,25 @@ WHERE {_keep('y', ratio, 'sure')}"""
 SELECT serial_number, date, model, drive_age_days, {_rounded(_NUMBERS, 6)}, event, rul_time_days AS duration
 FROM features WHERE {_keep('event', S.survival_ratios[name], 'features')}"""
 
+    cut_rows = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS x, greatest(duration, 1) AS day, event FROM base" for c in CUT_INPUTS
+    )
+    log_rank_sql = f"""WITH base AS ({survival_sql('train')}), long AS ({cut_rows}),
+cuts AS (SELECT DISTINCT feature, unnest(quantile_cont(x, [0.25, 0.5, 0.75])) AS threshold FROM long GROUP BY feature),
+days AS (SELECT day, count(*) AS n, count(*) FILTER (event = 1) AS d
+  FROM (SELECT greatest(duration, 1) AS day, event FROM base) GROUP BY day),
+risk AS (SELECT day, d, sum(n) OVER (ORDER BY day DESC) AS y FROM days),
+counted AS (SELECT feature, threshold, day, count(*) AS n1, count(*) FILTER (event = 1) AS d1
+  FROM long JOIN cuts USING (feature) WHERE x <= threshold GROUP BY ALL),
+every AS (SELECT feature, threshold, r.day, d, y, coalesce(n1, 0) AS n1, coalesce(d1, 0) AS d1
+  FROM cuts CROSS JOIN risk r LEFT JOIN counted USING (feature, threshold, day)),
+left_risk AS (SELECT *, sum(n1) OVER (PARTITION BY feature, threshold ORDER BY day DESC) / CAST(y AS DOUBLE) AS p FROM every),
+summed AS (SELECT feature, threshold, CAST(sum(n1) AS BIGINT) AS n_left, CAST(sum(d1) AS BIGINT) AS deaths_left,
+    sum(d1 - d * p) AS apart, coalesce(sum(d * p * (1 - p) * (y - d) / (y - 1)) FILTER (y > 1), 0) AS spread
+  FROM left_risk GROUP BY ALL)
+SELECT feature, round(threshold, 6) AS threshold, n_left, deaths_left,
+  round(CASE WHEN spread > 1e-12 THEN apart * apart / spread ELSE 0e0 END, 6) AS statistic FROM summed"""
+
     def anchors_sql(span) -> str:
         return f"WITH {E_LIFE}, {anchor_rows(span, 3, 2)} SELECT serial_number, date, event FROM anchors"
 
@@ -412,6 +431,7 @@ QUALIFY row_number() OVER (PARTITION BY serial_number ORDER BY date DESC) = 1"""
         **{f"pit_features_{name}": pit_sql(name) for name in ("val", "test")},
         "split_counts": f"WITH {E_SCORES} {split_lines}",
         "survival_table": survival_sql("val"),
+        "log_rank_splits": log_rank_sql,
         **{f"survival_table_{name}": survival_sql(name) for name in ("train", "test")},
         "encode_category": f"""WITH {EVENTS},
 book AS (SELECT model, CAST(row_number() OVER (ORDER BY model) - 1 AS INTEGER) AS code

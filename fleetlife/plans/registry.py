@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlife.contracts import SMART_BIG5, WINDOWS, Span, feature_columns, rolling_columns
 from fleetlife.functions.labels import clean_rul
-from fleetlife.models import bakeoff, classifiers, publish
+from fleetlife.models import bakeoff, classifiers, publish, survival_forest
 from fleetlife.models import survival as sv
 from fleetlife.operators import drift, eda, lifecycle, rankmetrics, sampling, scoring, sequences
 from fleetlife.operators import survmetrics, windows
@@ -679,6 +679,30 @@ def hazard_forest_predictions(spark, sf):
     )
 
 
+#: Inputs whose cuts are compared in SQL, and days up to which lives are followed there.
+CUT_INPUTS = [*SMART_BIG5, "drive_age_days", "capacity_gb"]
+CUT_DAYS = 40
+
+
+@query
+def log_rank_splits(spark, sf):
+    """What the root of a log-rank tree looks at: every cut at a quartile of the training table."""
+    table = stage(QUERIES["survival_table_train"](spark, sf))
+    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    found = table.agg(*[F.percentile(F.col(c).cast("double"), shares).alias(c) for c in CUT_INPUTS]).first()
+    thresholds = {c: sorted(set(found[c])) for c in CUT_INPUTS}
+    return rounded(survival_forest.log_rank_table(table, thresholds, range(1, CUT_DAYS + 1)), 6, ["threshold", "statistic"])
+
+
+@query
+def survival_forest_predictions(spark, sf):
+    ready, _ = bakeoff.prepared_splits(_survival(spark, sf), fill=True)
+    model = survival_forest.fit_survival_forest(ready["train"], trees=20, depth=5, min_leaf=20)
+    return survival_forest.predict_survival_forest(model, ready["test"]).select(
+        "serial_number", "date", "event", "duration", "risk", "pred_time"
+    )
+
+
 @query
 def survival_bakeoff(spark, sf):
     tables = _survival(spark, sf)
