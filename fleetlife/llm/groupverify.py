@@ -110,7 +110,7 @@ def _blocks(members: DataFrame) -> DataFrame:
     sized = members.groupBy("grp").agg(F.ceil(need).alias("blocks"), F.count(F.lit(1)).alias("members"))
     placed = members.join(sized.where("members > 1"), "grp").withColumn("at", F.xxhash64("node"))
     large = placed.where("blocks > 1")
-    salted = Window.partitionBy("grp", F.pmod("at", F.lit(256))).orderBy("at", "node")
+    salted = Window.partitionBy("grp", F.pmod("at", F.lit(32))).orderBy("at", "node")
     first = large.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= PIVOTS).drop("r")
     first = first.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("at", "node")))
     pivots = first.where(F.col("r") <= PIVOTS).select("node", F.lit(True).alias("pivot"))

@@ -11,66 +11,33 @@ partitioned by hash, and signatures are made such that sets which differ in at m
   that has some in at most t groups; a set with more keeps them, so no pair loses its last common signature.
 
 A set also gets the signatures of the next band if a partner can be that large. Sets with a common signature
-are connected into candidate groups (not pairs), and each group is verified: exactly, in blocks of bounded
-size, skipping what is connected already. Only the edges of a spanning forest leave a task.
+are candidates if a 256-bit sketch of their minima doesn't tell them apart: chance signatures would connect most
+of a large corpus into one group. Of linked sets the sketch parts one pair in 10**12. What is left is connected
+into candidate groups (not pairs), and each group is verified exactly (``groupverify``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import cache
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlife.llm.components import components
+from fleetlife.llm.groupverify import most_apart, verified_links
+from fleetlife.llm.hotkeys import join_groups
+from fleetlife.llm.minhash import candidate_links, row_sketches, sketch_plan
 from fleetlife.llm.sharedkeys import shared, slice_bits
+from fleetlife.llm.shingles import set_keys, shingle_sets
 from fleetlife.llm.textparts import Texts, splitmix, with_results
 from fleetlife.session import stage
 
 #: Groups that agree beyond the last one (t above), as a share of the others.
 SLACK = 0.1
 
-#: Documents and set elements of a block. A task holds two blocks.
-BLOCK_DOCS = 512
-BLOCK_ELEMENTS = 1_000_000
-
-#: Rows of (id, group, blocks) that are broadcast at most: 24 bytes each.
-BROADCAST_ROWS = 1_000_000
-
-
-def shingle_sets(part: Texts, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and hashes of the distinct runs of ``n`` words of each row, in order.
-
-    A row of fewer words, but not none, has the run of all its words.
-    """
-    words = part.words("visible")
-    hashes = words.hashes()
-    at, values = words.runs(hashes, n)
-    rows = np.searchsorted(words.first, at, "right") - 1
-    for length in range(1, n):
-        short = np.flatnonzero(words.counts() == length)
-        if len(short):
-            own = np.zeros(len(short), np.uint64)
-            for k in range(length):
-                own = own * np.uint64(0x9E3779B97F4A7C15) + hashes[words.first[short] + k]
-            rows, values = np.append(rows, short), np.append(values, splitmix(own + np.uint64(length)))
-    order = np.lexsort((values, rows))
-    rows, values = rows[order], values[order]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]) | (values[1:] != values[:-1])
-    return rows[new], values[new]
-
-
-def most_apart(size_a, size_b, percent: int):
-    """The largest symmetric difference of linked sets: 100 i >= p (a + b - i), so
-    a + b - 2 i <= (a + b) (100 - p) / (100 + p)."""
-    return (size_a + size_b) * (100 - percent) // (100 + percent)
-
 
 @cache
 def band_edges(percent: int) -> np.ndarray:
@@ -142,84 +109,14 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
 
 
-class Forest:
-    """Union-find over a block."""
-
-    def __init__(self, n: int):
-        self.label = np.arange(n)
-        self.members = [[i] for i in range(n)]
-        self.edges: list[tuple[int, int]] = []
-
-    def union(self, a: int, b: int) -> None:
-        x, y = int(self.label[a]), int(self.label[b])
-        if x == y:
-            return
-        if len(self.members[x]) < len(self.members[y]):
-            x, y = y, x
-        self.label[self.members[y]] = x
-        self.members[x] += self.members[y]
-        self.members[y] = []
-        self.edges.append((a, b))
-
-
-def forest_of_links(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect the same sets as all links between them. Sets are sorted hashes.
-
-    ``side`` 0 and 1: only pairs across are looked at (all pairs if all are 0). Hashing elements to cells
-    gives a bound: two sets differ in as many elements, at least, as cells with different sums.
-    """
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    cells = 1 << max(4, min(12, int(2 * most_apart(int(sizes.max()), int(sizes.max()), percent)).bit_length()))
-    sums = np.zeros((n, cells), np.uint64)
-    for i, own in enumerate(sets):
-        np.add.at(sums[i], (splitmix(own) & np.uint64(cells - 1)).astype(np.int64), own)
-    sums = (splitmix(sums) >> np.uint64(32)).astype(np.uint32)[order]
-    ranked, sides, both = sizes[order], side[order], bool(side.any())
-    forest = Forest(n)
-    for i in range(n):
-        # Partners at most as large, and large enough.
-        low = int(np.searchsorted(ranked, -(-percent * ranked[i] // 100)))
-        others = np.arange(low, i)
-        others = others[forest.label[order[others]] != forest.label[order[i]]]
-        if both:
-            others = others[sides[others] != sides[i]]
-        if not len(others):
-            continue
-        apart = (sums[others] != sums[i]).sum(1)
-        others = others[apart <= most_apart(ranked[others], ranked[i], percent)]
-        own = sets[order[i]]
-        for j in others.tolist():
-            a, b = int(order[i]), int(order[j])
-            if forest.label[a] == forest.label[b]:
-                continue
-            place = np.searchsorted(own, sets[b])
-            place[place == len(own)] = 0
-            common = int((own[place] == sets[b]).sum())
-            if 100 * common >= percent * (len(own) + len(sets[b]) - common):
-                forest.union(a, b)
-    return forest.edges
-
-
 SETS = [
     T.StructField("n_shingles", T.LongType()),
     T.StructField("_set_a", T.LongType()),
     T.StructField("_set_b", T.LongType()),
+    T.StructField("sketch", T.BinaryType()),
 ]
 
 
-def _set_keys(part: Texts, n: int) -> list[np.ndarray]:
-    """Size of each row's set and 128 bits that identify it."""
-    rows, values = shingle_sets(part, n)
-    keys = []
-    for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
-        total = np.zeros(len(part), np.uint64)
-        np.add.at(total, rows, splitmix(values ^ np.uint64(seed)))
-        keys.append(splitmix(total).view(np.int64))
-    return [np.bincount(rows, minlength=len(part)).astype(np.int64), *keys]
-
-
 def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
     """Per document: ``key`` (a long), ``n_shingles`` and ``component_id``.
 
@@ -230,12 +127,19 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
     """
     rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     sized = rows.withColumn("_bytes", F.coalesce(F.octet_length("_text"), F.lit(0)))
-    sets = stage(with_results(sized, "_text", SETS, lambda part: _set_keys(part, n)).drop("_text"))
+    near_enough = sketch_plan(percent)
+
+    def measure(part: Texts) -> list:
+        own, values = shingle_sets(part, n)
+        return [*set_keys(own, values, len(part)), row_sketches(own, values, len(part), near_enough)]
+
+    sets = stage(with_results(sized, "_text", SETS, measure).drop("_text"))
     total = sets.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
     filled = sets.where((F.col("n_shingles") > 0) & F.col("_id").isNotNull())
     same = ["n_shingles", "_set_a", "_set_b"]
-    first = filled.groupBy(*same).agg(F.min("_id").alias("_first"))
-    copies = stage(filled.join(first, same).select("_id", "_first").distinct())
+    alike = stage(filled.groupBy(*same).agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_copies")))
+    joined = join_groups(filled.select("_id", *same), alike, same, "_copies", filled.count())
+    copies = stage(joined.select("_id", "_first").distinct())
 
     def keys_of(part: Texts) -> tuple[np.ndarray, np.ndarray]:
         own, values = shingle_sets(part, n)
@@ -243,54 +147,19 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
     texts = rows.where(F.col("_id").isNotNull() & F.col("_text").isNotNull())
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = shared(texts, keys_of, slice_bits(total, tasks), "_id", "_text", leaders=True)
-    near = found.select(F.col("doc_id").alias("a"), F.explode("found").alias("b")).where("a != b").distinct()
+    found = shared(texts, keys_of, slice_bits(total, tasks), "_id", "_text")
     # Of equal sets only the first takes part from here.
-    for end in ("a", "b"):
-        near = near.join(copies, F.col(end) == F.col("_id")).drop(end, "_id").withColumnRenamed("_first", end)
-    groups = stage(components(near))
-    links = _verified(rows, sets, groups, n, percent)
+    first = filled.join(alike.select(F.col("_first").alias("_id")).distinct(), "_id", "left_semi").select("_id", "sketch", "n_shingles")
+    keyed = found.join(first.select(F.col("_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    keyed = keyed.select(F.col("doc_id").alias("_id"), F.explode("found").alias("key")).distinct()
+    keyed = keyed.join(first.select("_id", "sketch"), "_id")
+    # The last bit of a key is a mark there.
+    near = candidate_links(keyed.withColumn("key", F.shiftleft(F.xxhash64("key"), 1)), near_enough)
+    groups = components(near)
+    sizes = first.groupBy("_id").agg(F.sum("n_shingles").alias("n"))
+    members = groups.join(sizes, F.col("node") == F.col("_id")).select("node", F.col("component").alias("grp"), "n")
+    links = verified_links(texts, members, lambda part: shingle_sets(part, n), percent)
     edges = links.union(copies.select("_id", "_first"))
     reached = components(edges)
     joined = sets.select("_id", "n_shingles").join(reached, F.col("_id") == F.col("node"), "left")
     return joined.select(F.col("_id").alias(key), "n_shingles", F.coalesce("component", "_id").alias("component_id"))
-
-
-def _verified(rows: DataFrame, sets: DataFrame, groups: DataFrame, n: int, percent: int) -> DataFrame:
-    """Edges (a, b) that connect the same documents as all links within the candidate groups."""
-
-    def packed(part: Texts) -> list[pa.Array]:
-        own, values = shingle_sets(part, n)
-        ends = np.searchsorted(own, np.arange(len(part) + 1))
-        return [pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())]
-
-    sizes = sets.groupBy("_id").agg(F.sum("n_shingles").alias("_n")).join(groups, F.col("_id") == F.col("node"))
-    sizes = sizes.select("node", "component", "_n")
-    need = F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("_n") / BLOCK_ELEMENTS)
-    blocks = sizes.groupBy("component").agg(F.ceil(need).alias("_blocks"))
-    members = stage(sizes.join(blocks, "component").select("node", F.col("component").alias("_group"), "_blocks"))
-    # Few documents have a partner at all: up to a checked number of rows, their ids go to the texts;
-    # beyond it, the texts are shuffled.
-    if members.count() <= BROADCAST_ROWS:
-        members = F.broadcast(members)
-    placed = rows.join(members, F.col("_id") == F.col("node")).drop("node")
-    placed = with_results(placed, "_text", [T.StructField("_set", T.BinaryType())], packed).drop("_text")
-    placed = placed.where(F.length("_set") > 0).withColumn("_block", F.pmod(F.xxhash64("_id"), F.col("_blocks")))
-    # Each block meets itself and every other block once.
-    meets = F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1),
-        lambda o: F.struct(F.least(F.col("_block"), o).alias("i"), F.greatest(F.col("_block"), o).alias("j")),
-    )
-    dealt = placed.select("_group", F.explode(meets).alias("_m"), "_block", "_id", "_set")
-    dealt = dealt.select("_group", F.col("_m.i").alias("_i"), F.col("_m.j").alias("_j"), "_block", "_id", "_set")
-
-    def verify(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table["_id"].to_numpy()
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["_set"]]
-        i, j = key[1].as_py(), key[2].as_py()
-        side = (table["_block"].to_numpy() == j).astype(np.int8) if i != j else np.zeros(len(ids), np.int8)
-        edges = forest_of_links(sets, side, percent)
-        a, b = (ids[[e[k] for e in edges]] if edges else np.empty(0, np.int64) for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("_group", "_i", "_j").applyInArrow(verify, "a long, b long")

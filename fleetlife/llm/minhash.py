@@ -22,14 +22,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlife.llm.components import components
 from fleetlife.llm.groupverify import verified_links
 from fleetlife.llm.hotkeys import join_groups
-from fleetlife.llm.jaccardjoin import shingle_sets
-from fleetlife.llm.textparts import Texts, as_lists, slices, splitmix
+from fleetlife.llm.shingles import set_keys, shingle_sets
+from fleetlife.llm.textparts import as_lists, slices, splitmix
 from fleetlife.session import stage
 
 #: Minima of a band.
@@ -42,6 +43,9 @@ MISS = 1e-8
 CHUNK_BYTES = 16 << 20
 CHUNK_DOCS = 16_384
 
+#: Rows of (key, document) that a task combines at a time.
+COMBINED_ROWS = 400_000
+
 #: Times that a chunk's documents under one key are compared with a leader.
 LEADER_ROUNDS = 3
 
@@ -50,6 +54,7 @@ SIGNED = (
 )
 SET = ["n_shingles", "_set_a", "_set_b"]
 EDGES = "a long, b long"
+KEYED = ["key", "_id", "sketch", "leader"]
 
 
 @dataclass(frozen=True)
@@ -77,15 +82,26 @@ def _more_than(least: int, count: int, p: float) -> float:
     return sum(math.exp(ways(k) + k * math.log(p) + (count - k) * math.log1p(-p)) for k in range(least + 1, count + 1))
 
 
+def _cut(count: int, differs: float) -> int:
+    """The distance that a linked pair's sketches don't exceed but with MISS / 10000."""
+    cut = 0
+    while cut < count and _more_than(cut, count, differs) > MISS / 10_000:
+        cut += 1
+    return cut
+
+
 def plan_for(percent: int, rows: int = BAND_ROWS) -> Plan:
     """Enough bands for ``MISS``. At 100 % one band would do; two guard against a chance in one."""
     alike = percent / 100
     bands = 2 if percent == 100 else max(2, math.ceil(math.log(MISS) / math.log(1 - alike**rows)))
     count, differs = bands * rows, (1 - alike) / 2
-    cut = 0
-    while cut < count and _more_than(cut, count, differs) > MISS / 10_000:
-        cut += 1
-    return Plan(bands, rows, cut, math.ceil(count * differs))
+    return Plan(bands, rows, _cut(count, differs), math.ceil(count * differs))
+
+
+def sketch_plan(percent: int, bits: int = 256) -> Plan:
+    """The distances alone, for candidates that are found in another way."""
+    differs = (1 - percent / 100) / 2
+    return Plan(bits, 1, _cut(bits, differs), math.ceil(bits * differs))
 
 
 def _functions(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -157,16 +173,6 @@ def follow_leaders(keys: np.ndarray, sketch: np.ndarray, plan: Plan) -> tuple[np
     return np.concatenate(sent_doc), np.concatenate(sent_key), pairs[:, 0], pairs[:, 1]
 
 
-def _set_keys(rows: np.ndarray, values: np.ndarray, count: int) -> list[np.ndarray]:
-    """Size of each row's set and 128 bits that identify it."""
-    keys = []
-    for seed in (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47):
-        total = np.zeros(count, np.uint64)
-        np.add.at(total, rows, splitmix(values ^ np.uint64(seed)))
-        keys.append(splitmix(total).view(np.int64))
-    return [np.bincount(rows, minlength=count).astype(np.int64), *keys]
-
-
 def _signed_chunk(parts: list[tuple], plan: Plan) -> pa.RecordBatch:
     ids = pa.concat_arrays([p[0] for p in parts])
     sizes, set_a, set_b = (np.concatenate([p[1][i] for p in parts]) for i in range(3))
@@ -203,7 +209,7 @@ def signed(rows: DataFrame, n: int, plan: Plan) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "_text"):
                 own, values = shingle_sets(part, n)
-                sets = _set_keys(own, values, len(part))
+                sets = set_keys(own, values, len(part))
                 parts.append((part.column("_id"), sets, minima(own, values, plan.minima)))
                 size, count = size + len(part.data), count + len(part)
                 if size >= CHUNK_BYTES or count >= CHUNK_DOCS:
@@ -240,8 +246,78 @@ def close_pairs(key: np.ndarray, ids: np.ndarray, leads: np.ndarray, sketch: np.
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
+def row_sketches(rows: np.ndarray, values: np.ndarray, count: int, plan: Plan) -> pa.Array:
+    """The sketch of every row of a slice; null without values."""
+    out: list[bytes | None] = [None] * count
+    if len(rows):
+        for row, own in zip(np.unique(rows).tolist(), sketches(minima(rows, values, plan.minima))):
+            out[row] = own.tobytes()
+    return pa.array(out, pa.binary())
+
+
+def _raw(column: pa.Array, width: int) -> np.ndarray:
+    """Sketches of equal width as lines of bytes."""
+    fixed = column.cast(pa.binary(width))
+    return np.frombuffer(fixed.buffers()[1], np.uint8)[fixed.offset * width : (fixed.offset + len(fixed)) * width].reshape(-1, width)
+
+
+def _combined(plan: Plan):
+    """For rows (key, _id, sketch): the same with followers of a leader under a key replaced by one pair each.
+
+    What ``follow_leaders`` does for the chunk of a task, for keys that come as rows.
+    """
+    width = -(-plan.minima // 8)
+
+    def done(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(batches).combine_chunks()
+        key, ids = (whole[name].to_numpy() for name in ("key", "_id"))
+        sketch = _raw(whole["sketch"].combine_chunks(), width) if len(key) else np.empty((0, width), np.uint8)
+        rest = np.lexsort((ids, key))
+        sent, leads, pairs = [], [], [np.empty((0, 2), np.int64)]
+        for _ in range(LEADER_ROUNDS):
+            begin, run = _runs(key[rest])
+            if not len(begin):
+                break
+            leader = rest[begin][run]
+            follows = distances(sketch[rest], sketch[leader]) <= plan.same
+            follows[begin] = False
+            pairs.append(np.unique(np.stack([ids[rest[follows]], ids[leader[follows]]], 1), axis=0))
+            led = np.zeros(len(begin), np.int64)
+            led[run[follows]] = 1
+            sent.append(rest[begin])
+            leads.append(led)
+            follows[begin] = True
+            rest = rest[~follows]
+        at = np.concatenate([*sent, rest])
+        flag = np.concatenate([*leads, np.zeros(len(rest), np.int64)])
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        none = pa.nulls(len(at), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[at] | flag), pa.array(ids[at]), pa.array([row.tobytes() for row in sketch[at]], pa.binary()), none], KEYED
+        )
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(pairs[:, 0] << 1), pa.array(pairs[:, 0]), pa.nulls(len(pairs), pa.binary()), pa.array(pairs[:, 1])], KEYED
+        )
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count >= COMBINED_ROWS:
+                yield from done(held)
+                held, count = [], 0
+        if held:
+            yield from done(held)
+
+    return combine
+
+
 def _linked_keys(plan: Plan):
-    """For rows (key, _id, sketch) in the order of keys: the pairs under each key. The rows of one key are held."""
+    """For ``KEYED`` rows in the order of keys: the pairs under each key. The rows of one key are held.
+
+    A row with a leader is a pair already.
+    """
     width = -(-plan.minima // 8)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,11 +326,14 @@ def _linked_keys(plan: Plan):
 
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint8)]
         for batch in batches:
-            data = batch.column(2).cast(pa.binary(width)) if batch.num_rows else None
-            if data is None:
+            led = batch.column(3).is_valid()
+            known = batch.filter(led)
+            if known.num_rows:
+                yield rows(np.stack([known.column(1).to_numpy(), known.column(3).to_numpy(zero_copy_only=False)], 1))
+                batch = batch.filter(pc.invert(led))
+            if not batch.num_rows:
                 continue
-            raw = np.frombuffer(data.buffers()[1], np.uint8)[data.offset * width : (data.offset + len(data)) * width]
-            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), raw.reshape(-1, width)]
+            now = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), _raw(batch.column(2), width)]
             held = [np.concatenate(x) for x in zip(held, now)]
             whole = held[0] >> 1
             last = int(np.searchsorted(whole, whole[-1]))
@@ -266,6 +345,20 @@ def _linked_keys(plan: Plan):
     return link
 
 
+def candidate_links(keyed: DataFrame, plan: Plan, combine: bool = True) -> DataFrame:
+    """(a, b) pairs that connect what shares a key and has sketches within the cut.
+
+    ``keyed``: (key, _id, sketch), with the last bit of ``key`` free for the mark of a leader. With ``combine``
+    a task first replaces followers of a leader; without, that was done (the bit is set).
+    """
+    rows = keyed.select("key", "_id", "sketch")
+    if combine:
+        rows = rows.mapInArrow(_combined(plan), "key long, _id long, sketch binary, leader long")
+    else:
+        rows = rows.withColumn("leader", F.lit(None).cast("long"))
+    return rows.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(_linked_keys(plan), EDGES)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 2, percent: int = 80,
                     band_rows: int = BAND_ROWS) -> DataFrame:
     """Per document: ``key`` (a long), ``n_shingles``, ``component_id`` and ``kept``.
@@ -285,8 +378,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     placed = stage(join_groups(filled, sets, SET, "copies", total).select("_id", "first", "n_shingles"))
 
     keyed = table.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "_id", "sketch")
-    ordered = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
-    close = ordered.mapInArrow(_linked_keys(plan), EDGES)
+    close = candidate_links(keyed, plan, combine=False)
     followed = table.select(F.col("_id").alias("a"), F.explode("near").alias("b"))
     senders = table.where(F.size("keys") + F.size("near") > 0).select("_id")
     copies = placed.join(senders, "_id", "left_semi").where("_id != first").select("_id", "first")

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlife.llm import jaccardjoin, mixing, sharding, sharedkeys, substringdedup, suffixsort
+from fleetlife.llm import groupverify, jaccardjoin, mixing, sharding, sharedkeys, substringdedup, suffixsort
 from fleetlife.llm.components import components
 from fleetlife.llm.ranks import numbered
 from fleetlife.llm.textparts import slices
@@ -170,7 +170,7 @@ def test_links(spark, n, percent, seed):
 
 def test_links_across_blocks(spark, monkeypatch):
     """One group that is far larger than a block, most of which doesn't link."""
-    monkeypatch.setattr(jaccardjoin, "BLOCK_DOCS", 7)
+    monkeypatch.setattr(groupverify, "BLOCK_DOCS", 7)
     monkeypatch.setattr(sharedkeys, "CHUNK_BYTES", 3_000)
     compare(spark, list(enumerate(near_copies(6, groups=2, copies=60, words=90))), 4, 85)
 
