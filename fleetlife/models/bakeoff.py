@@ -16,6 +16,7 @@ from fleetlife.contracts import FBETA, Settings
 from fleetlife.models import survival as sv
 from fleetlife.models.classifiers import CLASSIFIERS, fit_classifier, numeric_inputs, prepare, score
 from fleetlife.models.survival_forest import fit_survival_forest, predict_survival_forest
+from fleetlife.models.weibull import fit_weibull_ridge, predict_weibull_ridge
 from fleetlife.operators.encode import codebook
 from fleetlife.operators.rankmetrics import average_precision, classification_bundle, rank_curve
 from fleetlife.operators.sampling import cap_negatives
@@ -122,7 +123,7 @@ def run_survival_bakeoff(
     ready, categories = prepared_splits(capped, fill=True)
     ready = {name: sv.positive_durations(df) for name, df in ready.items()}
     runs: dict[str, tuple[Callable, Callable]] = {
-        "weibull": (sv.fit_weibull, sv.predict_weibull),
+        "weibull": (fit_weibull_ridge, predict_weibull_ridge),
         "cox": (sv.fit_cox, sv.predict_cox),
         "hazard_forest": (lambda df: sv.fit_hazard_forest(df, categories), sv.predict_hazard_forest),
         "survival_forest": (fit_survival_forest, predict_survival_forest),

@@ -11,20 +11,14 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlife.contracts import CATEGORY, Settings, Span
+from fleetlife.contracts import Settings, Span
 from fleetlife.functions.labels import clean_rul
-from fleetlife.models.classifiers import (
-    UNSEEN_SHIFT,
-    category_effects,
-    fit_classifier,
-    linear_effects,
-    prepare,
-    score,
-)
-from fleetlife.models.survival import fit_weibull, predict_weibull
+from fleetlife.models.attributions import TreeEnsemble, ensemble_of, tree_reasons
+from fleetlife.models.classifiers import fit_classifier, prepare, score
+from fleetlife.models.weibull import WeibullModel, fit_weibull_ridge, predict_weibull_ridge
 from fleetlife.operators.encode import codebook
 from fleetlife.operators.rankmetrics import average_precision, operating_points, rank_curve
-from fleetlife.operators.scoring import top_reasons, with_alerts
+from fleetlife.operators.scoring import with_alerts
 from fleetlife.plans.datasets import training_frame
 from fleetlife.session import stage
 
@@ -40,17 +34,23 @@ class Artifacts:
     book: DataFrame
     categories: int
     classifier: PipelineModel
-    rul: PipelineModel
+    rul: WeibullModel
     calibrator: IsotonicRegressionModel
     thresholds: dict[str, float | None]
     metadata: dict[str, Any]
+    nodes: TreeEnsemble | None = None
+
+    def explainer(self) -> TreeEnsemble:
+        """The node arrays of the classifier, read once."""
+        if self.nodes is None:
+            self.nodes = ensemble_of(self.classifier)
+        return self.nodes
 
     def save(self, path: str) -> None:
         self.book.write.mode("overwrite").parquet(f"{path}/codebook")
         self.classifier.write().overwrite().save(f"{path}/classifier")
-        self.rul.write().overwrite().save(f"{path}/rul")
         self.calibrator.write().overwrite().save(f"{path}/calibrator")
-        text = json.dumps({"thresholds": self.thresholds, "metadata": self.metadata})
+        text = json.dumps({"thresholds": self.thresholds, "metadata": self.metadata, "rul": self.rul.to_json()})
         spark = self.book.sparkSession
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(
             f"{path}/metadata"
@@ -64,7 +64,7 @@ class Artifacts:
             book,
             book.count(),
             PipelineModel.load(f"{path}/classifier"),
-            PipelineModel.load(f"{path}/rul"),
+            WeibullModel.from_json(meta["rul"]),
             IsotonicRegressionModel.load(f"{path}/calibrator"),
             meta["thresholds"],
             meta["metadata"],
@@ -105,7 +105,7 @@ def publish(
     train = stage(prepare(frame, book, categories))
     known = train.where(F.col("y").isNotNull())
     classifier = fit_classifier("boosted_trees", known, categories, params)
-    rul = fit_weibull(train)
+    rul = fit_weibull_ridge(train)
 
     later = training_frame(panel, summary, settings.splits["val"], settings.horizon, healthy)
     val = stage(score(classifier, prepare(later, book, categories)).where(F.col("y").isNotNull()))
@@ -120,13 +120,7 @@ def publish(
     val_totals = curve.agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), average_precision().alias("ap")
     ).first()
-    # A linear model beside the trees explains rows: exact contributions per input.
-    linear = fit_classifier("logistic", known, categories)
-    by_code = category_effects(linear, known)
-    named = {r.model: by_code.get(r.code + UNSEEN_SHIFT, 0.0) for r in book.collect()}  # one row per category
     metadata = {
-        "effects": {name: list(pair) for name, pair in linear_effects(linear).items()},
-        "category_effects": named,
         "horizon": settings.horizon,
         "train_rows": totals.n,
         "class_pos": totals.pos,
@@ -139,12 +133,14 @@ def publish(
 
 
 def score_rows(rows: DataFrame, artifacts: Artifacts) -> DataFrame:
-    """Full result per feature row: probability, remaining days, alert, agreement of the models, reasons."""
+    """Full result per feature row: probability, remaining days, alert, agreement of the models, reasons.
+
+    The reasons are those of the classifier whose probability is shown: Shapley values on its raw margin.
+    """
     ready = prepare(rows, artifacts.book, artifacts.categories)
-    effects = {name: tuple(pair) for name, pair in artifacts.metadata["effects"].items()}
-    ready = top_reasons(ready, effects, category=(CATEGORY, artifacts.metadata["category_effects"]))
+    ready = tree_reasons(artifacts.classifier, ready, ensemble=artifacts.explainer())
     ready = ready.withColumnRenamed("top_reasons", "reasons")
-    predicted = predict_weibull(artifacts.rul, ready).drop("risk")
+    predicted = predict_weibull_ridge(artifacts.rul, ready).drop("risk")
     scored = apply_calibration(artifacts.calibrator, score(artifacts.classifier, predicted))
     named = (
         scored.withColumn("raw_score", F.col("score"))

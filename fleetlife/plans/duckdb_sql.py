@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fleetlife.contracts import RISK_BIN_EDGES, RISK_BIN_NAMES, SMART_BIG5, WINDOWS, rolling_columns
-from fleetlife.plans.registry import CUT_INPUTS, FIXED_EFFECTS, SPARSE_WINDOWS
+from fleetlife.plans.registry import CUT_INPUTS, FIXED_EFFECTS, SLOPE_POINT, SPARSE_WINDOWS
 from fleetlife.sources.testdata import EVENT_SETTINGS as S
 from fleetlife.sources.testdata import FATAL_ERRORS
 
@@ -380,6 +380,24 @@ summed AS (SELECT feature, threshold, CAST(sum(n1) AS BIGINT) AS n_left, CAST(su
 SELECT feature, round(threshold, 6) AS threshold, n_left, deaths_left,
   round(CASE WHEN spread > 1e-12 THEN apart * apart / spread ELSE 0e0 END, 6) AS statistic FROM summed"""
 
+    spread = {c: f"(CASE WHEN stddev_pop({c}) > 1e-12 THEN stddev_pop({c}) ELSE 1e0 END)" for c in CUT_INPUTS}
+    eta = " + ".join(f"{b!r} * x{i}" for i, b in enumerate(SLOPE_POINT[1:-1]))
+    slope_lines = " UNION ALL ".join(
+        f"SELECT '{name}' AS parameter, round(avg({value}), 6) AS mean FROM rows"
+        for name, value in [
+            ("likelihood", f"event * ({SLOPE_POINT[-1]!r} + z - lived) - exp(z)"),
+            ("intercept", f"exp({SLOPE_POINT[-1]!r}) * (exp(z) - event)"),
+            *[(c, f"exp({SLOPE_POINT[-1]!r}) * (exp(z) - event) * x{i}") for i, c in enumerate(CUT_INPUTS)],
+            ("ln_shape", "event * (1 + z) - z * exp(z)"),
+        ]
+    )
+    weibull_sql = f"""WITH base AS ({survival_sql('train')}),
+stats AS (SELECT {', '.join(f'avg({c}) AS m{i}, {spread[c]} AS s{i}' for i, c in enumerate(CUT_INPUTS))} FROM base),
+scaled AS (SELECT ln(greatest(duration, 1)) AS lived, event,
+  {', '.join(f'({c} - m{i}) / s{i} AS x{i}' for i, c in enumerate(CUT_INPUTS))} FROM base, stats),
+rows AS (SELECT *, exp({SLOPE_POINT[-1]!r}) * (lived - {SLOPE_POINT[0]!r} - ({eta})) AS z FROM scaled)
+{slope_lines}"""
+
     def anchors_sql(span) -> str:
         return f"WITH {E_LIFE}, {anchor_rows(span, 3, 2)} SELECT serial_number, date, event FROM anchors"
 
@@ -432,6 +450,7 @@ QUALIFY row_number() OVER (PARTITION BY serial_number ORDER BY date DESC) = 1"""
         "split_counts": f"WITH {E_SCORES} {split_lines}",
         "survival_table": survival_sql("val"),
         "log_rank_splits": log_rank_sql,
+        "weibull_slopes": weibull_sql,
         **{f"survival_table_{name}": survival_sql(name) for name in ("train", "test")},
         "encode_category": f"""WITH {EVENTS},
 book AS (SELECT model, CAST(row_number() OVER (ORDER BY model) - 1 AS INTEGER) AS code

@@ -155,9 +155,13 @@ def watch(spark: SparkSession, root: str, settings: Settings) -> DataFrame:
 
 
 def loop(spark: SparkSession, root: str, settings: Settings) -> bool:
-    """Watch, compare the quality of the published models, and publish new ones when needed."""
+    """Watch, compare the quality of the published models, and publish new ones when needed.
+
+    New models take the best setting that ``search`` has stored, as ``train_production`` does.
+    """
     current = Artifacts.load(spark, f"{root}/models")
-    result = mlops_loop(read_panel(spark, f"{root}/panel"), settings, current=current)
+    tuned = best_settings(spark, root, "boosted_trees")
+    result = mlops_loop(read_panel(spark, f"{root}/panel"), settings, current=current, params=tuned)
     write_report(result.report, f"{root}/reports/drift")
     if result.artifacts is not None:
         result.artifacts.save(f"{root}/models")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlife.contracts import SMART_BIG5, WINDOWS, Span, feature_columns, rolling_columns
 from fleetlife.functions.labels import clean_rul
-from fleetlife.models import bakeoff, classifiers, publish, survival_forest
+from fleetlife.models import bakeoff, classifiers, publish, survival_forest, weibull
+from fleetlife.models.blocks import standardised
 from fleetlife.models import survival as sv
 from fleetlife.operators import drift, eda, lifecycle, rankmetrics, sampling, scoring, sequences
 from fleetlife.operators import survmetrics, windows
@@ -679,6 +681,24 @@ def hazard_forest_predictions(spark, sf):
     )
 
 
+#: A point at which the slopes of the life-time model are compared in SQL: intercept, coefficients, ln shape.
+SLOPE_POINT = (2.0, 0.3, -0.2, 0.1, 0.05, -0.1, 0.2, 0.15, 0.25)
+
+
+@query
+def weibull_slopes(spark, sf):
+    """Mean log-likelihood of the training table and its slopes, per parameter, away from the optimum."""
+    table = QUERIES["survival_table_train"](spark, sf)
+    ready = sv.positive_durations(table).withColumns({"lived": F.log("duration"), "event": F.col("event").cast("double")})
+    rows, _, _ = standardised(stage(ready), CUT_INPUTS, ["lived", "event"])
+    rows = stage(rows)
+    value, gradient, _ = weibull.likelihood_sums(rows, len(CUT_INPUTS), np.array(SLOPE_POINT))
+    n = max(rows.count(), 1)
+    names = ["likelihood", "intercept", *CUT_INPUTS, "ln_shape"]
+    lines = [(k, round(float(v) / n, 6)) for k, v in zip(names, [value, *gradient])]
+    return spark.createDataFrame(lines, "parameter string, mean double")
+
+
 #: Inputs whose cuts are compared in SQL, and days up to which lives are followed there.
 CUT_INPUTS = [*SMART_BIG5, "drive_age_days", "capacity_gb"]
 CUT_DAYS = 40

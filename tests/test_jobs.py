@@ -41,7 +41,7 @@ def test_jobs_in_order(spark, root):
     assert types["window"] == "array<array<float>>" and types["dur"] == "float"
 
     board = jobs.compare_survival(spark, path).collect()
-    assert {r.status for r in board} == {"ok"} and len(board) == 3
+    assert {r.status for r in board} == {"ok"} and len(board) == 4
     assert all(0 <= r.c_index <= 1 and r.rul_mae_days >= 0 for r in board)
 
     jobs.train_production(spark, path, EVENT_SETTINGS, healthy=100)
