@@ -46,7 +46,7 @@ def key_bits(keys: np.ndarray, bits: int) -> np.ndarray:
     return keys >> low << low
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], doc: str, text: str, keys_of: KeysOf):
+def _chunks(batches: Iterator[pa.RecordBatch], doc: str, text: str, keys_of: KeysOf, chunk_bytes: int):
     """Document ids and keys, a chunk of documents at a time."""
     docs, keys, size = [], [], 0
     for batch in batches:
@@ -55,7 +55,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], doc: str, text: str, keys_of: Key
             docs.append(part.ids(doc).astype(np.int64)[rows])
             keys.append(own)
             size += len(part.data)
-            if size >= CHUNK_BYTES:
+            if size >= chunk_bytes:
                 yield np.concatenate(docs), np.concatenate(keys)
                 docs, keys, size = [], [], 0
     if docs:
@@ -109,20 +109,22 @@ def _lists(docs: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
 
 
 def shared(
-    docs: DataFrame, keys_of: KeysOf, bits: int, doc: str = "doc_id", text: str = "text", leaders: bool = False
+    docs: DataFrame, keys_of: KeysOf, bits: int, doc: str = "doc_id", text: str = "text", leaders: bool = False,
+    chunk_bytes: int | None = None,
 ) -> DataFrame:
     """(doc_id, found) rows: the keys that a document shares with others, or with ``leaders`` documents.
 
     The key space is cut into ``2**bits`` slices. ``found`` holds keys (see ``key_bits``) as signed longs. With
     ``leaders`` it holds the smallest document of the chunk or of all chunks that has a common key, so
     that the pairs (doc_id, found) connect all documents with a common key. A document can have several
-    rows. ``doc`` holds longs without nulls.
+    rows. ``doc`` holds longs without nulls. Callers with many keys per document take smaller chunks.
     """
+    chunk = chunk_bytes or CHUNK_BYTES
     low = np.uint64(64 - bits - 48)
     cut = np.uint64(64 - bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for own, keys in _chunks(batches, doc, text, keys_of):
+        for own, keys in _chunks(batches, doc, text, keys_of, chunk):
             own, keys = _sorted_pairs(own, key_bits(keys, bits))
             begin, sizes = _groups(keys)
             rows: list[tuple] = []
