@@ -17,7 +17,7 @@ from fleetlife.models import survival as sv
 from fleetlife.models.classifiers import CLASSIFIERS, fit_classifier, numeric_inputs, prepare, score
 from fleetlife.models.survival_forest import fit_survival_forest, predict_survival_forest
 from fleetlife.models.weibull import fit_weibull_ridge, predict_weibull_ridge
-from fleetlife.operators.encode import codebook
+from fleetlife.operators.encode import category_means, codebook, ordered_means, with_category_mean
 from fleetlife.operators.rankmetrics import average_precision, classification_bundle, rank_curve
 from fleetlife.operators.sampling import cap_negatives
 from fleetlife.operators.survmetrics import survival_bundle
@@ -38,14 +38,20 @@ SURVIVAL_BOARD = (
 def prepared_splits(splits: Mapping[str, DataFrame], fill: bool = False) -> tuple[dict[str, DataFrame], int]:
     """Encode all splits with the categories of train and write them once.
 
-    ``fill`` makes unknown readings 0, for models that take them as they come.
+    ``fill`` makes unknown readings 0, for models that take them as they come. With labels, rows also get the
+    label mean of their category: of earlier rows in train, of all training rows in the others.
     """
     book = codebook(splits["train"])
     categories = book.count()
     numeric = numeric_inputs(splits["train"].columns)
-    return {
-        name: stage(prepare(df, book, categories, fill, numeric)) for name, df in splits.items()
-    }, categories
+    ready = {name: stage(prepare(df, book, categories, fill, numeric)) for name, df in splits.items()}
+    if "y" in splits["train"].columns:
+        means, prior = category_means(ready["train"])
+        ready = {
+            name: stage(ordered_means(df, prior=prior) if name == "train" else with_category_mean(df, means, prior))
+            for name, df in ready.items()
+        }
+    return ready, categories
 
 
 def _log(board: DataFrame, path: str | None) -> DataFrame:
@@ -157,6 +163,12 @@ SPACES: dict[str, dict[str, tuple[str, float, float]]] = {
         "subsamplingRate": ("float", 0.6, 1.0),
         "minInstancesPerNode": ("int", 10, 200),
     },
+    "ordered_boost": {
+        "maxDepth": ("int", 3, 8),
+        "stepSize": ("log", 0.02, 0.2),
+        "maxIter": ("int", 20, 100),
+        "subsamplingRate": ("float", 0.6, 1.0),
+    },
     "random_forest": {
         "numTrees": ("int", 50, 200),
         "maxDepth": ("int", 6, 15),

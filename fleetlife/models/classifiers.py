@@ -18,12 +18,15 @@ from fleetlife.operators.encode import encode
 CODE = "model_index"
 NUMERIC = [c for c in feature_columns() if c != CATEGORY]
 
+#: Mean label of a row's category, from ``encode.ordered_means`` on training rows; an input of ``ordered_boost``.
+CATEGORY_MEAN = "category_mean"
+
 #: Category codes are shifted by one, because estimators need them to start at 0 (0 = unseen).
 UNSEEN_SHIFT = 1
 
 
 #: Columns of a dataset that are no inputs.
-NOT_INPUTS = {"serial_number", "date", "y", "event", "duration", CATEGORY}
+NOT_INPUTS = {"serial_number", "date", "y", "event", "duration", CATEGORY, CATEGORY_MEAN}
 
 
 def numeric_inputs(columns: Sequence[str]) -> list[str]:
@@ -98,6 +101,14 @@ def _boosted(categories: int, params: Mapping[str, Any], numeric: Sequence[str])
     return Pipeline(stages=[_zeros(numeric), assembler, trees])
 
 
+def _ordered_boost(categories: int, params: Mapping[str, Any], numeric: Sequence[str]) -> Pipeline:
+    """Boosted trees that get the category as its ordered label mean: one number, however many categories."""
+    settings = {"maxIter": 50, "stepSize": 0.1, "maxDepth": 5, "subsamplingRate": 0.8, "maxBins": 64, **params}
+    trees = GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", seed=42, **settings)
+    assembler = VectorAssembler(inputCols=[CATEGORY_MEAN, *_known(numeric)], outputCol="features")
+    return Pipeline(stages=[_zeros(numeric), assembler, trees])
+
+
 def _forest(categories: int, params: Mapping[str, Any], numeric: Sequence[str]) -> Pipeline:
     settings = {"numTrees": 100, "maxDepth": 12, "minInstancesPerNode": 50, **params}
     trees = RandomForestClassifier(
@@ -137,6 +148,7 @@ def _logistic(categories: int, params: Mapping[str, Any], numeric: Sequence[str]
 #: Name -> (pipeline builder, balanced class weights?). Add an entry to add a model.
 CLASSIFIERS: dict[str, tuple[Callable[[int, Mapping[str, Any], Sequence[str]], Pipeline], bool]] = {
     "boosted_trees": (_boosted, False),
+    "ordered_boost": (_ordered_boost, False),
     "random_forest": (_forest, True),
     "logistic": (_logistic, True),
 }
@@ -153,7 +165,7 @@ def fit_classifier(
 
 def score(model: PipelineModel, prepared: DataFrame) -> DataFrame:
     """Add ``score``, the probability of the positive class; other columns stay."""
-    used = {*numeric_inputs([c for c in prepared.columns if c != CODE]), CODE}
+    used = {*numeric_inputs([c for c in prepared.columns if c != CODE]), CODE, CATEGORY_MEAN}
     keep = [c for c in prepared.columns if c not in used]
     probability = vector_to_array(F.col("probability"))
     return model.transform(prepared).select(*keep, F.get(probability, 1).alias("score"))

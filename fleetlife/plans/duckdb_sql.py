@@ -457,6 +457,13 @@ book AS (SELECT model, CAST(row_number() OVER (ORDER BY model) - 1 AS INTEGER) A
   FROM (SELECT DISTINCT model FROM panel WHERE {_span(TRAIN)} AND model IS NOT NULL))
 SELECT serial_number, date, model, coalesce(code, -1) AS model_code FROM panel LEFT JOIN book USING (model)
 WHERE {_span(TEST)}""",
+        "ordered_category_means": f"""WITH {E_SCORES},
+prior AS (SELECT avg(y) AS p FROM scores WHERE y IS NOT NULL),
+placed AS (SELECT serial_number, date, model, y, count(*) OVER before AS n, coalesce(sum(y) OVER before, 0) AS pos
+  FROM scores WHERE y IS NOT NULL
+  WINDOW before AS (PARTITION BY model ORDER BY {_slot('serial_number', 'date')}, serial_number, date
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT serial_number, date, model, y, round((pos + p) / (n + 1), 6) AS category_mean FROM placed, prior""",
         "class_weights": f"""WITH {E_SCORES}, c AS (SELECT count(*) FILTER (y = 1) AS pos, count(*) FILTER (y = 0) AS neg FROM scores)
 SELECT pos, neg, round(neg / greatest(pos, 1), 6) AS scale_pos_weight,
   CASE WHEN pos > 0 THEN round((pos + neg) / (2e0 * pos), 6) END AS balanced_pos,

@@ -16,7 +16,7 @@ from fleetlife.models.blocks import standardised
 from fleetlife.models import survival as sv
 from fleetlife.operators import drift, eda, lifecycle, rankmetrics, sampling, scoring, sequences
 from fleetlife.operators import survmetrics, windows
-from fleetlife.operators.encode import codebook, encode
+from fleetlife.operators.encode import codebook, encode, ordered_means
 from fleetlife.plans import datasets, monitoring
 from fleetlife.session import stage
 from fleetlife.sources.testdata import EVENT_SETTINGS, events_panel, formula_scores, lineitem_panel
@@ -217,6 +217,13 @@ for _name in ("train", "val", "test"):
     QUERIES["survival_table" if _name == "val" else f"survival_table_{_name}"] = _survival_table(_name)
 
 
+@query
+def ordered_category_means(spark, sf):
+    """The label mean of every training row's model over the rows before it in hash order."""
+    known = stage(_scores(spark, sf).where(F.col("y").isNotNull()).select("serial_number", "date", "model", "y"))
+    return rounded(ordered_means(known), 6, ["category_mean"])
+
+
 @query
 def encode_category(spark, sf):
     panel = events_panel(spark, sf)
