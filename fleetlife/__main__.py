@@ -34,7 +34,7 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--root", required=True, help="folder of all tables, shared by the executors")
     parser.add_argument("--config", help="settings as JSON; the published ones by default")
     parser.add_argument("--inputs", nargs="+", default=[], help="ingest: zip archives and folders")
-    parser.add_argument("--header", nargs="+", help="ingest: column names, needed for archives")
+    parser.add_argument("--header", nargs="+", help="ingest: column names, those of the first day file by default")
     parser.add_argument("--kind", default="rolling", help="datasets: big5, full, rolling, survival, sequences")
     parser.add_argument("--model", default="boosted_trees", help="search: model name")
     parser.add_argument("--trials", type=int, default=20)
@@ -50,7 +50,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> DataFrame | None:
     root = options.root
     match options.job:
         case "ingest":
-            header = options.header or read_header(spark, [p for p in options.inputs if not p.endswith(".zip")])
+            header = options.header or jobs.header_of(spark, options.inputs)
             return jobs.ingest(spark, options.inputs, header, root)
         case "life-history":
             return jobs.life_history(spark, root, settings)

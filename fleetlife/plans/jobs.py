@@ -24,13 +24,21 @@ from fleetlife.sources.panel import (
     in_quarters,
     path_exists,
     read_day_files,
+    read_header,
     read_panel,
+    read_zipped_header,
     read_zipped_quarters,
     with_quarter,
     write_report,
 )
 
 
+def header_of(spark: SparkSession, inputs: Sequence[str]) -> list[str]:
+    """Column names of the inputs: of a day file in a folder, or of the first one in an archive."""
+    folders = [p for p in inputs if not p.endswith(".zip")]
+    return read_header(spark, folders) if folders else read_zipped_header(spark, inputs[0])
+
+
 def ingest(spark: SparkSession, inputs: Sequence[str], header: Sequence[str], out: str) -> DataFrame:
     """Zip archives and folders of day files, all of them, into the stored panel.
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 import pyarrow as pa
 import pyarrow.csv as pacsv
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,6 +75,25 @@ def is_day_file(member: str) -> bool:
     return name.endswith(".csv") and "__MACOSX" not in member and not name.startswith("._")
 
 
+def read_zipped_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names from the first line of the first day file in an archive, read by a task like its rows."""
+
+    def first_line(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for place in batch["path"]:
+                with zipfile.ZipFile(place) as archive:
+                    members = sorted(filter(is_day_file, archive.namelist()), key=posixpath.basename)
+                    for member in members[:1]:
+                        with archive.open(member) as raw:
+                            line = io.TextIOWrapper(raw, "utf-8", newline="").readline()
+                        yield pd.DataFrame({"line": [line]})
+
+    found = spark.createDataFrame([(path,)], "path string").mapInPandas(first_line, "line string").first()
+    if found is None:
+        raise ValueError(f"no day file in {path}")
+    return next(csv.reader([found.line]))
+
+
 def read_zipped_quarters(
     spark: SparkSession, paths: Sequence[str], header: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
@@ -145,7 +164,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def stream_folder(path: str) -> str:
-    """Where the stream keeps its batches, beside the panel it adds to."""
+    """Where streams keep their batches, beside the panel they add to: stream=ID/batch=N/quarter=NAME."""
     return f"{path.rstrip('/')}-stream"
 
 
@@ -199,19 +218,55 @@ def write_bucketed_panel(panel: DataFrame, table: str, path: str, buckets: int)
     )
 
 
+#: Columns that name the batch of a streamed row.
+BATCH = ("stream", "batch")
+
+
+def _beaten(stored: DataFrame | None, streamed: DataFrame) -> DataFrame:
+    """(serial_number, date, label) of rows that another row of the same unit-day replaces, as a small table.
+
+    A row that reports a failure is preferred, then the later batch; what the panel stores comes before all
+    batches (label ""). Only keys are read: all of the stream's, and those of the quarters it touches.
+    """
+    keys = ["serial_number", "date"]
+    mine = streamed.select(*keys, "failure", batch_label().alias("label"))
+    if stored is not None:
+        # One name per quarter of the stream.
+        touched = [r[0] for r in streamed.select("quarter").distinct().collect()]
+        again = in_quarters(stored, touched).select(*keys, "failure")
+        mine = mine.unionByName(again.join(mine.select(*keys).distinct(), keys, "left_semi").withColumn("label", F.lit("")))
+    best = mine.groupBy(*keys).agg(F.max(F.struct("failure", "label"))["label"].alias("best"), F.count(F.lit(1)).alias("rows"))
+    return stage(mine.join(best.where("rows > 1"), keys).where(F.col("label") != F.col("best")).select(*keys, "label"))
+
+
+def batch_label() -> Column:
+    """Batches of a stream sort by their number; streams by their id."""
+    return F.concat(F.col("stream"), F.lit("/"), F.lpad(F.col("batch").cast("string"), 12, "0"))
+
+
 def read_panel(spark: SparkSession, path: str, may_repeat: bool = False) -> DataFrame:
-    """The stored panel with what the stream has added; ``in_span`` reads only the quarters it needs.
+    """The stored panel with what streams have added; ``in_span`` reads only the quarters it needs.
 
-    Streamed days may repeat stored ones or each other, so they are merged, which ``may_repeat``
-    asks for in any case.
+    A batch has each unit-day once. Days that a batch repeats from the panel or another batch are found when
+    the panel is read, from their keys alone, and left out of both scans by a small anti-join; filters and
+    columns reach both sides. ``may_repeat`` merges repeated rows of the panel itself.
     """
     batches = stream_folder(path)
     streamed = path_exists(spark, batches)
     parts = [spark.read.parquet(path)] if path_exists(spark, path) or not streamed else []
     if streamed:
-        parts.append(spark.read.option("basePath", batches).parquet(f"{batches}/*").drop("batch"))
+        keys = ["serial_number", "date"]
+        added = spark.read.option("mergeSchema", True).parquet(batches).withColumn("stream", F.col("stream").cast("string"))
+        columns = [c for c in added.columns if c not in BATCH]
+        beaten = _beaten(parts[0] if parts else None, added)
+        if not beaten.isEmpty():
+            parts = [p.join(beaten.where("label = ''"), keys, "left_anti").select(p.columns) for p in parts]
+            added = added.withColumn("label", batch_label()).join(beaten, [*keys, "label"], "left_anti").drop("label")
+        parts.append(added.select(columns))
     panel = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    return one_row_per_day(panel) if may_repeat or streamed else panel
+    days = [c for c in panel.columns if c != "quarter"]
+    panel = panel.select(*days, "quarter") if "quarter" in panel.columns else panel
+    return one_row_per_day(panel) if may_repeat else panel
 
 
 def in_quarters(panel: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from fleetlife.sources.panel import panel_schema, stream_folder, with_quarter
+from fleetlife.sources.panel import one_row_per_day, panel_schema, stream_folder, with_quarter
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the engine gave the stream of this checkpoint; it stays as long as the checkpoint does."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
 
 
 def ingest_new_days(
@@ -20,18 +26,20 @@ def ingest_new_days(
 ) -> StreamingQuery:
     """Add all new day files of ``landing`` to the panel, then stop.
 
-    Each batch is a folder of its own beside the panel, which ``read_panel`` reads together with the
-    rest. A batch that is run again after a failure replaces its folder, so it adds no row twice.
-    There is no state: nothing is aggregated in the stream.
+    Each batch is a folder of its own beside the panel, named by the stream's id and the batch's number, which
+    ``read_panel`` reads together with the rest. A batch that is run again after a failure replaces its folder,
+    so it adds no row twice; another stream, or one whose checkpoint was made anew, has another id. Repeated
+    unit-days of a batch are merged when it is written. There is no state: nothing is aggregated in the stream.
     """
 
     def write(batch: DataFrame, number: int) -> None:
+        name = stream_id(batch.sparkSession, checkpoint)
         (
-            with_quarter(batch)
+            with_quarter(one_row_per_day(batch))
             .write.mode("overwrite")
             .option("compression", "zstd")
             .partitionBy("quarter")
-            .parquet(f"{stream_folder(panel)}/batch={number}")
+            .parquet(f"{stream_folder(panel)}/stream={name}/batch={number}")
         )
 
     stream = (

@@ -171,6 +171,80 @@ def test_stream_adds_to_a_stored_panel(spark, landing, tmp_path):
     assert read_panel(spark, path).columns == [*HEADER, "quarter"]
 
 
+def test_two_streams_into_one_panel(spark, tmp_path):
+    """Each has batches of its own: the second doesn't replace the first, nor does a checkpoint made anew."""
+    path = str(tmp_path / "panel")
+    texts = [DAY_2.replace("2024-10-02", f"2024-10-0{d}") for d in (2, 3, 4)]
+    for k, text in enumerate(texts):
+        folder = day_folder(tmp_path / f"landing{k}", f"day{k}", text)
+        ingest_new_days(spark, folder, path, str(tmp_path / f"checkpoint{k}"), HEADER).awaitTermination()
+        assert read_panel(spark, path).count() == k + 1
+    assert sorted(r.date.day for r in read_panel(spark, path).collect()) == [2, 3, 4]
+
+
+def test_repeats_across_batches(spark, landing, tmp_path):
+    """The later batch wins over the earlier one and over the panel, unless an older row reports a failure."""
+    path, later = str(tmp_path / "panel"), tmp_path / "later"
+    jobs.ingest(spark, [str(landing)], HEADER, str(tmp_path))
+    stored = {r.serial_number: r for r in read_panel(spark, path).collect()}
+    rows = [line.split(",") for line in DAY_1.strip().splitlines()[1:]]
+    later.mkdir()
+    at = {name: i for i, name in enumerate(HEADER)}
+
+    def say(number, values):
+        lines = [",".join(HEADER)]
+        for serial, reading, failure in values:
+            own = list(next(r for r in rows if r[at["serial_number"]] == serial))
+            own[at["smart_5_raw"]], own[at["failure"]] = str(reading), str(failure)
+            lines.append(",".join(own))
+        (later / f"{number}.csv").write_text("\n".join(lines) + "\n")
+        ingest_new_days(spark, str(later), path, str(tmp_path / "checkpoint"), HEADER).awaitTermination()
+        return {r.serial_number: (r.smart_5_raw, r.failure) for r in read_panel(spark, path).collect()}
+
+    other = (stored["B"].smart_5_raw, stored["B"].failure)
+    assert say(1, [("A", 11, 0), ("A", 11, 0)]) == {"A": (11.0, 0), "B": other}
+    assert say(2, [("A", 12, 1)]) == {"A": (12.0, 1), "B": other}
+    assert say(3, [("A", 13, 0), ("B", 14, 1)]) == {"A": (12.0, 1), "B": (14.0, 1)}
+
+
+def test_stream_keeps_pruning(spark, panel, tmp_path):
+    """With streamed batches, a span still reads its quarters and its columns only, on both sides."""
+    from fleetlife.operators.lifecycle import in_span
+
+    path = str(tmp_path / "panel")
+    older = panel.withColumn("date", F.add_months("date", 7))
+    write_panel(panel.unionByName(older), path)
+    landing = tmp_path / "landing"
+    fresh = panel.withColumn("date", F.add_months("date", 14))
+    again = panel.where("date = '2024-01-07'")
+    fresh.unionByName(again).coalesce(1).write.option("header", True).csv(str(landing))
+    ingest_new_days(spark, str(landing), path, str(tmp_path / "checkpoint"), panel.columns).awaitTermination()
+    whole = read_panel(spark, path)
+    assert whole.count() == 3 * panel.count()
+    span = Span(date(2024, 1, 5), date(2024, 1, 20))
+    asked = in_span(whole, span).select("serial_number", "date", "smart_5_raw")
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line and "smart_5_raw" in line]
+    assert len(scans) == 2
+    for line in scans:
+        assert "PartitionFilters: [isnotnull(quarter" in line
+        for other in ("capacity_bytes", "model", "smart_197_raw"):
+            assert other not in line.split("ReadSchema")[1]
+    assert asked.count() == in_span(panel, span).count()
+
+
+def test_header_of_an_archive(spark, tmp_path):
+    archive = tmp_path / "q4.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("data/._2024-10-01.csv", "junk")
+        z.writestr("data/2024-10-01.csv", DAY_1)
+    assert jobs.header_of(spark, [str(archive)]) == list(HEADER)
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as z:
+        z.writestr("readme.txt", "nothing")
+    with pytest.raises(ValueError):
+        jobs.header_of(spark, [str(tmp_path / "none.zip")])
+
+
 def day_folder(folder, name, text):
     folder.mkdir()
     (folder / f"{name}.csv").write_text(text)
