@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import random
 import time
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from fleetlife.contracts import FBETA, Settings
 from fleetlife.models import survival as sv
 from fleetlife.models.classifiers import CLASSIFIERS, fit_classifier, numeric_inputs, prepare, score
+from fleetlife.models.search import search
 from fleetlife.models.survival_forest import fit_survival_forest, predict_survival_forest
 from fleetlife.models.weibull import fit_weibull_ridge, predict_weibull_ridge
 from fleetlife.operators.encode import category_means, codebook, ordered_means, with_category_mean
@@ -178,40 +178,28 @@ SPACES: dict[str, dict[str, tuple[str, float, float]]] = {
 }
 
 
-def draw(space: Mapping[str, tuple[str, float, float]], rng: random.Random) -> dict[str, Any]:
-    """One random setting from a search space."""
-    drawn: dict[str, Any] = {}
-    for name, (kind, low, high) in space.items():
-        if kind == "int":
-            drawn[name] = rng.randint(int(low), int(high))
-        elif kind == "log":
-            drawn[name] = low * (high / low) ** rng.random()
-        else:
-            drawn[name] = rng.uniform(low, high)
-    return drawn
-
-
 def tune(
     splits: Mapping[str, DataFrame],
     model: str,
     trials: int = 20,
     space: Mapping[str, tuple[str, float, float]] | None = None,
     seed: int = 42,
+    random_only: bool = False,
 ) -> DataFrame:
-    """Seeded random search for the best average precision on all of val.
+    """Seeded search for the best average precision on all of val: tree-structured Parzen, or random.
 
     The best setting is fitted again and evaluated on the whole test split. One line per trial,
     with the test metrics on the best one.
     """
     spark: SparkSession = splits["train"].sparkSession
     ready, categories = prepared_splits(splits)
-    rng = random.Random(seed)
-    results = []
-    for number in range(trials):
-        params = draw(space or SPACES[model], rng)
+
+    def value(params: dict[str, Any]) -> float | None:
         fitted = fit_classifier(model, ready["train"], categories, params)
-        value = rank_curve(score(fitted, ready["val"])).agg(average_precision().alias("ap")).first().ap
-        results.append((number, params, value))
+        return rank_curve(score(fitted, ready["val"])).agg(average_precision().alias("ap")).first().ap
+
+    tried = search(space or SPACES[model], trials, value, seed, random_only)
+    results = [(number, params, reached) for number, (params, reached) in enumerate(tried)]
     best = max(results, key=lambda r: (r[2] is not None, r[2] or 0.0))
     final = fit_classifier(model, ready["train"], categories, best[1])
     test = classification_bundle(score(final, ready["test"])).first()
