@@ -409,6 +409,8 @@ SELECT concat(year(date), '-Q', quarter(date)) AS quarter, count(DISTINCT date)
         "drive_summary_as_of": f"""WITH {EVENTS},{_summary(where=f"date <= DATE '{TRAIN.last}'")}
 SELECT {life_columns} FROM summary""",
         "labels": f"""WITH {E_LABELS} SELECT date, serial_number, model, capacity_bytes, failure, event, rul_time_days,
+  {', '.join(f'will_fail_within_{n}' for n in S.horizons)} FROM lab""",
+        "labels_by_days": f"""WITH {E_LABELS} SELECT date, serial_number, model, capacity_bytes, failure, event, rul_time_days,
   {', '.join(f'will_fail_within_{n}' for n in S.horizons)} FROM lab""",
         "fleet_totals": f"""WITH {LINEITEM},{SUMMARY} SELECT count(*) AS drives, CAST(sum(event) AS BIGINT) AS failed,
   round(100.0 * sum(event) / count(*), 3) AS failed_pct FROM summary""",

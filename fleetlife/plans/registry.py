@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 
@@ -17,8 +18,8 @@ from fleetlife.models import survival as sv
 from fleetlife.operators import drift, eda, lifecycle, rankmetrics, sampling, scoring, sequences
 from fleetlife.operators import survmetrics, windows
 from fleetlife.operators.encode import codebook, encode, ordered_means
-from fleetlife.plans import datasets, monitoring
-from fleetlife.session import stage
+from fleetlife.plans import datasets, lifestate, monitoring
+from fleetlife.session import checkpoint_dir, stage
 from fleetlife.sources.testdata import EVENT_SETTINGS, events_panel, formula_scores, lineitem_panel
 
 S = EVENT_SETTINGS
@@ -83,6 +84,17 @@ def labels(spark, sf):
     return _labels(spark, sf).withColumns({c: F.col(c).cast("int") for c in narrow})
 
 
+@query
+def labels_by_days(spark, sf):
+    """The labels again, from three batches of days that come out of order."""
+    panel = stage(events_panel(spark, sf))
+    root = f"{checkpoint_dir(spark)}/life-{uuid.uuid4().hex}"
+    for name, day in (("middle", F.dayofmonth("date").between(9, 20)), ("early", F.dayofmonth("date") < 9), ("late", F.dayofmonth("date") > 20)):
+        lifestate.apply_days(spark, root, panel.where(day), name, S.horizons)
+    narrow = ["failure", "event", *[f"will_fail_within_{n}" for n in S.horizons]]
+    return lifestate.read_labels(spark, root).drop("quarter").withColumns({c: F.col(c).cast("int") for c in narrow})
+
+
 @query
 def fleet_totals(spark, sf):
     return lifecycle.fleet_totals(lifecycle.drive_summary(lineitem_panel(spark, sf)))
