@@ -22,7 +22,7 @@ from fleetlife.session import stage
 
 #: Documents and set elements of a block. A task holds a block, and a chunk or the pivots.
 BLOCK_DOCS = 512
-BLOCK_ELEMENTS = 1_000_000
+BLOCK_ELEMENTS = 400_000
 
 #: Documents of a group that every block of it meets first.
 PIVOTS = 4

@@ -44,7 +44,7 @@ CHUNK_BYTES = 16 << 20
 CHUNK_DOCS = 16_384
 
 #: Rows of (key, document) that a task combines at a time.
-COMBINED_ROWS = 400_000
+COMBINED_ROWS = 100_000
 
 #: Times that a chunk's documents under one key are compared with a leader.
 LEADER_ROUNDS = 3
