@@ -86,10 +86,32 @@ def latest_snapshot(frame: DataFrame) -> DataFrame:
     return frame.withColumn("_place", F.row_number().over(newest)).where("_place = 1").drop("_place")
 
 
-def _newest_of_windowed(frame: DataFrame) -> DataFrame:
-    """The newest row of each unit of a frame with windows, on the sort it already has."""
-    following = F.lead(DAY_NUMBER).over(_by_unit())
-    return frame.withColumn("_next", following).where(F.col("_next").isNull()).drop("_next")
+def newest_rolling(
+    frame: DataFrame,
+    columns: Sequence[str] = tuple(SMART_BIG5),
+    windows: Sequence[int] = tuple(WINDOWS),
+) -> DataFrame:
+    """What ``with_rolling`` has on the newest day of each unit, by one aggregation per unit.
+
+    ``frame`` is filled forward. Its sort by unit serves the aggregation too; only the days within a window of
+    the unit's last one count, so no window is computed for any other day.
+    """
+    whole = _by_unit().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = with_day_number(frame).withColumn("_last", F.max(DAY_NUMBER).over(whole))
+    others = [c for c in days.columns if c not in ("serial_number", "_last", *columns)]
+    ago = F.col("_last") - F.col(DAY_NUMBER)
+    near = {(c, w): F.when(ago < w, F.col(c)) for c in columns for w in windows}
+    newest = days.groupBy("serial_number").agg(
+        F.max_by(F.struct(*others, *columns), DAY_NUMBER).alias("_row"),
+        *[F.avg(x).alias(f"{c}_rmean_{w}") for (c, w), x in near.items()],
+        *[F.stddev_samp(x).alias(f"{c}_rstd_{w}") for (c, w), x in near.items()],
+    )
+    widest = max(windows)
+    shown = [F.col("_row")[c].alias(c) for c in [*others, *columns]]
+    rolled = [c for c in newest.columns if c not in ("serial_number", "_row")]
+    return newest.select("serial_number", *shown, *rolled).withColumns(
+        {f"{c}_dev{widest}": F.col(c) - F.col(f"{c}_rmean_{widest}") for c in columns}
+    )
 
 
 def rolling_span(
@@ -106,7 +128,6 @@ def rolling_span(
     """
     wide = in_span(panel, span.with_lookback(max(windows)))
     picked = wide.select("serial_number", "date", "model", "capacity_bytes", *columns)
-    features = with_rolling(forward_fill(picked, columns), columns, windows)
-    if latest_only:
-        features = _newest_of_windowed(features)
+    rolled = newest_rolling if latest_only else with_rolling
+    features = rolled(forward_fill(picked, columns), columns, windows)
     return in_span(features, span).drop(DAY_NUMBER)

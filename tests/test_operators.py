@@ -464,3 +464,25 @@ def test_short_history_is_padded(spark):
     frame = days(spark, [("A", d, 0, float(d + 1)) for d in range(3)])
     rows = sequences.with_row_windows(windows.forward_fill(frame), 5).orderBy("date").collect()
     assert [x[0] for x in rows[-1].window] == [0.0, 0.0, 1.0, 2.0, 3.0]
+
+
+def test_newest_features_without_windows(spark):
+    """One aggregation per unit gives the newest rows of all windows, gaps and single days included."""
+    from fleetlife.contracts import Span, rolling_columns
+    from fleetlife.operators.windows import rolling_span
+    from fleetlife.sources.testdata import lineitem_panel
+
+    panel = lineitem_panel(spark, "/root/testdata/sf0.001")
+    span = Span(date(1998, 1, 1), date(1998, 12, 31))
+    names = ["serial_number", "date", "model", "capacity_bytes", *SMART_BIG5, *rolling_columns()]
+    newest = {}
+    for r in rolling_span(panel, span).select(*names).collect():
+        if r.serial_number not in newest or newest[r.serial_number].date < r.date:
+            newest[r.serial_number] = r
+    rows = rolling_span(panel, span, latest_only=True)
+    assert "RangeFrame" not in rows._jdf.queryExecution().executedPlan().toString()
+    rows = rows.select(*names).collect()
+    assert len(rows) == len(newest) > 100
+    for r in rows:
+        for a, b in zip(r, newest[r.serial_number]):
+            assert a == b or (a is not None and a == pytest.approx(b, abs=1e-9))
