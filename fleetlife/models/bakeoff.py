@@ -35,20 +35,26 @@ SURVIVAL_BOARD = (
 )
 
 
-def prepared_splits(splits: Mapping[str, DataFrame], fill: bool = False) -> tuple[dict[str, DataFrame], int]:
+#: Classifiers that take the category as an ordered label mean.
+NEED_MEANS = {"ordered_boost"}
+
+
+def prepared_splits(
+    splits: Mapping[str, DataFrame], fill: bool = False, means: bool = False
+) -> tuple[dict[str, DataFrame], int]:
     """Encode all splits with the categories of train and write them once.
 
-    ``fill`` makes unknown readings 0, for models that take them as they come. With labels, rows also get the
+    ``fill`` makes unknown readings 0, for models that take them as they come. With ``means`` rows also get the
     label mean of their category: of earlier rows in train, of all training rows in the others.
     """
     book = codebook(splits["train"])
     categories = book.count()
     numeric = numeric_inputs(splits["train"].columns)
     ready = {name: stage(prepare(df, book, categories, fill, numeric)) for name, df in splits.items()}
-    if "y" in splits["train"].columns:
-        means, prior = category_means(ready["train"])
+    if means:
+        table, prior = category_means(ready["train"])
         ready = {
-            name: stage(ordered_means(df, prior=prior) if name == "train" else with_category_mean(df, means, prior))
+            name: stage(ordered_means(df, prior=prior) if name == "train" else with_category_mean(df, table, prior))
             for name, df in ready.items()
         }
     return ready, categories
@@ -73,7 +79,7 @@ def run_bakeoff(
     feature columns. Only one row of metrics per model and split reaches the driver.
     """
     spark = splits["train"].sparkSession
-    ready, categories = prepared_splits(splits)
+    ready, categories = prepared_splits(splits, means=bool(set(models) & NEED_MEANS))
     lines = []
     for name in models:
         started = time.monotonic()
@@ -192,7 +198,7 @@ def tune(
     with the test metrics on the best one.
     """
     spark: SparkSession = splits["train"].sparkSession
-    ready, categories = prepared_splits(splits)
+    ready, categories = prepared_splits(splits, means=model in NEED_MEANS)
 
     def value(params: dict[str, Any]) -> float | None:
         fitted = fit_classifier(model, ready["train"], categories, params)

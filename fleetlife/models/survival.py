@@ -108,6 +108,22 @@ def _hazard_by_day(per_day: pd.DataFrame) -> pd.DataFrame:
     return per_day.assign(step=per_day["deaths"].to_numpy() / at_risk, at_risk=at_risk)
 
 
+def risk_sums(scaled: DataFrame, names: Sequence[str], at: np.ndarray) -> DataFrame:
+    """Per duration in days: rows, deaths, the sum of weights exp(x b), and the sums of weighted and of dead inputs."""
+    eta = F.lit(0.0)
+    for name, b in zip(names, at):
+        eta = eta + F.col(name) * float(b)
+    died = F.col("event") == 1
+    return scaled.withColumn("_eta", eta).withColumn("w", F.exp("_eta")).groupBy("duration").agg(
+        F.count("*").alias("n"),
+        F.count_if(died).alias("deaths"),
+        F.sum("w").alias("w"),
+        F.sum(F.when(died, F.col("_eta")).otherwise(0.0)).alias("eta"),
+        *[F.sum(F.col("w") * F.col(x)).alias(f"w_{x}") for x in names],
+        *[F.sum(F.when(died, F.col(x)).otherwise(0.0)).alias(f"d_{x}") for x in names],
+    )
+
+
 def fit_cox(
     frame: DataFrame,
     inputs: Sequence[str] = tuple(INPUTS),
@@ -130,29 +146,8 @@ def fit_cox(
     per_day = None
     steps = 0
 
-    def eta(at: np.ndarray):
-        total = F.lit(0.0)
-        for name, b in zip(names, at):
-            total = total + F.col(name) * float(b)
-        return total
-
     def day_sums(at: np.ndarray) -> pd.DataFrame:
-        weight = F.exp(eta(at))
-        died = F.col("event") == 1
-        return (
-            scaled.withColumn("w", weight)
-            .groupBy("duration")
-            .agg(
-                F.count("*").alias("n"),
-                F.count_if(died).alias("deaths"),
-                F.sum("w").alias("w"),
-                F.sum(F.when(died, eta(at)).otherwise(0.0)).alias("eta"),
-                *[F.sum(F.col("w") * F.col(x)).alias(f"w_{x}") for x in names],
-                *[F.sum(F.when(died, F.col(x)).otherwise(0.0)).alias(f"d_{x}") for x in names],
-            )
-            .orderBy("duration")
-            .toPandas()
-        )
+        return risk_sums(scaled, names, at).orderBy("duration").toPandas()
 
     def penalised(sums: pd.DataFrame, at: np.ndarray) -> float:
         table = _hazard_by_day(sums)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetlife.models.survival import PERIOD_ENDS
 from fleetlife.contracts import RISK_BIN_EDGES, RISK_BIN_NAMES, SMART_BIG5, WINDOWS, rolling_columns
 from fleetlife.plans.registry import CUT_INPUTS, FIXED_EFFECTS, SLOPE_POINT, SPARSE_WINDOWS
 from fleetlife.sources.testdata import EVENT_SETTINGS as S
@@ -398,6 +399,32 @@ scaled AS (SELECT ln(greatest(duration, 1)) AS lived, event,
 rows AS (SELECT *, exp({SLOPE_POINT[-1]!r}) * (lived - {SLOPE_POINT[0]!r} - ({eta})) AS z FROM scaled)
 {slope_lines}"""
 
+    cox_eta = " + ".join(f"{b!r} * x{i}" for i, b in enumerate(SLOPE_POINT[1:-1]))
+    cox_sums = ", ".join(
+        f"round(sum(w * x{i}), 5) AS w_x{i}, round(coalesce(sum(x{i}) FILTER (event = 1), 0e0), 5) AS d_x{i}" for i in range(len(CUT_INPUTS))
+    )
+    cox_sql = f"""WITH base AS ({survival_sql('train')}),
+stats AS (SELECT {', '.join(f'avg({c}) AS m{i}, {spread[c]} AS s{i}' for i, c in enumerate(CUT_INPUTS))} FROM base),
+scaled AS (SELECT greatest(duration, 1) AS duration, event,
+  {', '.join(f'({c} - m{i}) / s{i} AS x{i}' for i, c in enumerate(CUT_INPUTS))} FROM base, stats),
+rows AS (SELECT *, {cox_eta} AS e, exp({cox_eta}) AS w FROM scaled)
+SELECT duration, count(*) AS n, count(*) FILTER (event = 1) AS deaths, round(sum(w), 5) AS w,
+  round(coalesce(sum(e) FILTER (event = 1), 0e0), 5) AS eta, {cox_sums} FROM rows GROUP BY duration"""
+    starts = [0, *PERIOD_ENDS[:-1]]
+    periods = ", ".join(f"({i}, {a}, {b})" for i, (a, b) in enumerate(zip(starts, PERIOD_ENDS)))
+    person_sql = f"""WITH base AS (SELECT serial_number, date, greatest(duration, 1) AS duration, event FROM ({survival_sql('train')}))
+SELECT serial_number, date, duration, event, CAST(p AS INTEGER) AS period,
+  CASE WHEN event = 1 AND duration <= hi THEN 1 ELSE 0 END AS fails
+FROM base, (VALUES {periods}) AS t(p, lo, hi)
+WHERE CASE WHEN event = 1 THEN duration > lo ELSE duration >= hi END"""
+    card_sql = f"""WITH {_rolling(S.splits['test'])}
+SELECT serial_number, date, model, drive_age_days, {', '.join(f'round({c}, 6) + 0e0 AS {c}' for c in _NUMBERS)} FROM features
+QUALIFY row_number() OVER (PARTITION BY serial_number ORDER BY date DESC) = 1"""
+    inputs_sql = f"""WITH train AS ({pit_sql('train')}), test AS ({pit_sql('test')}),
+book AS (SELECT model, row_number() OVER (ORDER BY model) AS code FROM (SELECT DISTINCT model FROM train WHERE model IS NOT NULL))
+SELECT serial_number, date, CAST(capacity_gb AS DOUBLE) AS capacity_gb, CAST(drive_age_days AS DOUBLE) AS drive_age_days, {SMART},
+  CAST(coalesce(code, 0) AS DOUBLE) AS model_index, y FROM test LEFT JOIN book USING (model)"""
+
     def anchors_sql(span) -> str:
         return f"WITH {E_LIFE}, {anchor_rows(span, 3, 2)} SELECT serial_number, date, event FROM anchors"
 
@@ -452,6 +479,24 @@ QUALIFY row_number() OVER (PARTITION BY serial_number ORDER BY date DESC) = 1"""
         "split_counts": f"WITH {E_SCORES} {split_lines}",
         "survival_table": survival_sql("val"),
         "log_rank_splits": log_rank_sql,
+        "cox_risk_sums": cox_sql,
+        "person_period_rows": person_sql,
+        "scorecard_units": card_sql,
+        "prepared_inputs": inputs_sql,
+        "training_counts": f"""WITH {E_LABELS},
+c AS (SELECT count(*) AS train_rows, count(*) FILTER (will_fail_within_{S.horizon} = 1) AS class_pos,
+  count(*) FILTER (will_fail_within_{S.horizon} = 0) AS class_neg FROM lab WHERE {_span(TRAIN)})
+SELECT *, round(class_neg / greatest(class_pos, 1), 6) AS weight FROM c""",
+        "calibration_map": f"""WITH {E_SCORES},
+cells AS (SELECT score_tied AS score, sum(y) AS pos, count(*) AS n FROM scores WHERE y IS NOT NULL GROUP BY 1),
+upto AS (SELECT score, sum(pos) OVER (ORDER BY score) AS pos, sum(n) OVER (ORDER BY score) AS n FROM cells),
+ends AS (SELECT * FROM upto UNION ALL SELECT -1e0, 0, 0),
+begins AS (SELECT c.score, max(e.score) AS earlier FROM cells c JOIN ends e ON e.score < c.score GROUP BY c.score),
+blocks AS (SELECT b.score AS lo, h.score AS hi, (h.pos - e.pos) / CAST(h.n - e.n AS DOUBLE) AS rate
+  FROM begins b JOIN ends e ON e.score = b.earlier JOIN upto h ON h.score >= b.score)
+SELECT score, round(max(least_rate), 6) AS probability
+FROM (SELECT c.score, b.lo, min(b.rate) AS least_rate FROM cells c JOIN blocks b ON b.lo <= c.score AND b.hi >= c.score GROUP BY c.score, b.lo)
+GROUP BY score""",
         "weibull_slopes": weibull_sql,
         **{f"survival_table_{name}": survival_sql(name) for name in ("train", "test")},
         "encode_category": f"""WITH {EVENTS},

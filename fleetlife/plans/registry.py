@@ -718,6 +718,65 @@ def weibull_slopes(spark, sf):
     return spark.createDataFrame(lines, "parameter string, mean double")
 
 
+# --- the halves of model jobs that SQL can check -------------------------------------------
+
+
+@query
+def training_counts(spark, sf):
+    """Rows, classes and class weight of production training."""
+    panel = events_panel(spark, sf)
+    frame = datasets.training_frame(panel, lifecycle.unit_lives(panel), S.splits["train"], S.horizon)
+    pos, neg = F.count_if(F.col("y") == 1), F.count_if(F.col("y") == 0)
+    counts = frame.agg(F.count("*").alias("train_rows"), pos.alias("class_pos"), neg.alias("class_neg"))
+    weights = classifiers.weighted(frame.where(F.col("y").isNotNull())).where("y = 1").agg(F.round(F.max("weight"), 6).alias("weight"))
+    return counts.join(F.broadcast(weights))
+
+
+@query
+def prepared_inputs(spark, sf):
+    """What the classifiers get of one day's readings: nulls stay, the category is a code from 1, 0 is unseen."""
+    splits = {n: QUERIES["pit_features" if n == "train" else f"pit_features_{n}"](spark, sf) for n in ("train", "test")}
+    ready, _ = bakeoff.prepared_splits(splits)
+    return ready["test"].select("serial_number", "date", *classifiers.numeric_inputs(splits["test"].columns), classifiers.CODE, "y")
+
+
+@query
+def person_period_rows(spark, sf):
+    """The rows on which the hazard forest is grown."""
+    rows = sv.person_periods(QUERIES["survival_table_train"](spark, sf))
+    return rows.select("serial_number", "date", *[F.col(c).cast("int") for c in ("duration", "event", "period", "fails")])
+
+
+@query
+def cox_risk_sums(spark, sf):
+    """Per day what a Newton step of the hazard model adds up, at a fixed point."""
+    table = sv.positive_durations(QUERIES["survival_table_train"](spark, sf))
+    days = table.withColumns({"duration": F.col("duration").cast("int"), "event": F.col("event").cast("int")})
+    rows, _, _ = standardised(stage(days), CUT_INPUTS, ["duration", "event"])
+    names = [f"x{i}" for i in range(len(CUT_INPUTS))]
+    sums = sv.risk_sums(rows, names, np.array(SLOPE_POINT[1:-1]))
+    return rounded(sums, 5, [c for c in sums.columns if c not in ("duration", "n", "deaths")])
+
+
+@query
+def calibration_map(spark, sf):
+    """The isotonic map at every tied score."""
+    scored = _scores(spark, sf).select(F.col("score_tied").alias("score"), "y")
+    model = publish.calibrate(scored)
+    mapped = publish.apply_calibration(model, scored.where(F.col("y").isNotNull()).select("score").distinct())
+    return rounded(mapped.select("score", "probability"), 6, ["probability"])
+
+
+@query
+def scorecard_units(spark, sf):
+    """The rows that the scorecard scores: every unit on its newest day of the test span."""
+    panel = events_panel(spark, sf)
+    rows = datasets.training_frame(panel, lifecycle.unit_lives(panel), S.splits["test"], S.horizon, latest_only=True)
+    numbers = ["capacity_gb", *SMART_BIG5, *rolling_columns()]
+    # Adding 0 makes a rounded -0.0 a plain 0.
+    return rows.select("serial_number", "date", *feature_columns()).withColumns({c: F.round(c, 6) + 0.0 for c in numbers})
+
+
 #: Inputs whose cuts are compared in SQL, and days up to which lives are followed there.
 CUT_INPUTS = [*SMART_BIG5, "drive_age_days", "capacity_gb"]
 CUT_DAYS = 40

@@ -78,7 +78,7 @@ def noise(spark, n, seed, categories):
 def test_random_categories_get_no_weight(spark):
     """A plain mean of rare categories holds the row's own label and misleads; the ordered one does not."""
     train, test = noise(spark, 2400, 1, 600), noise(spark, 1200, 2, 600)
-    ready, categories = bakeoff.prepared_splits({"train": train, "test": test})
+    ready, categories = bakeoff.prepared_splits({"train": train, "test": test}, means=True)
     means, prior = encode.category_means(ready["train"])
     plain = encode.with_category_mean(ready["train"].drop("category_mean"), means, prior)
     leak = plain.agg(F.corr("category_mean", "y")).first()[0]
