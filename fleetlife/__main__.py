@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetlife.contracts import Settings
 from fleetlife.plans import jobs
 from fleetlife.session import JOB_CONF, drop_staged
-from fleetlife.sources.panel import read_header
 
 JOBS = [
     "ingest",
@@ -24,6 +23,7 @@ JOBS = [
     "train",
     "score-fleet",
     "watch",
+    "sketch-days",
     "loop",
 ]
 
@@ -38,6 +38,7 @@ def parse(arguments: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--kind", default="rolling", help="datasets: big5, full, rolling, survival, sequences")
     parser.add_argument("--model", default="boosted_trees", help="search: model name")
     parser.add_argument("--trials", type=int, default=20)
+    parser.add_argument("--sketched", action="store_true", help="watch: from the tables of days")
     parser.add_argument("--healthy", type=int, help="train: number of healthy units, all by default")
     return parser.parse_args(arguments)
 
@@ -71,7 +72,9 @@ def run(spark: SparkSession, options: argparse.Namespace) -> DataFrame | None:
         case "score-fleet":
             return jobs.score_fleet(spark, root, settings)
         case "watch":
-            return jobs.watch(spark, root, settings)
+            return jobs.watch(spark, root, settings, options.sketched)
+        case "sketch-days":
+            return jobs.sketch_days(spark, root)
         case "loop":
             print("published new models" if jobs.loop(spark, root, settings) else "models kept")
     return None

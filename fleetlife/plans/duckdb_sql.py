@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fleetlife.models.survival import PERIOD_ENDS
-from fleetlife.contracts import RISK_BIN_EDGES, RISK_BIN_NAMES, SMART_BIG5, WINDOWS, rolling_columns
+from fleetlife.contracts import DRIFT_CATEGORICAL, DRIFT_NUMERIC, RISK_BIN_EDGES, RISK_BIN_NAMES, SMART_BIG5, WINDOWS, rolling_columns
 from fleetlife.plans.registry import CUT_INPUTS, FIXED_EFFECTS, SLOPE_POINT, SPARSE_WINDOWS
 from fleetlife.sources.testdata import EVENT_SETTINGS as S
 from fleetlife.sources.testdata import FATAL_ERRORS
@@ -487,6 +487,14 @@ QUALIFY row_number() OVER (PARTITION BY serial_number ORDER BY date DESC) = 1"""
 c AS (SELECT count(*) AS train_rows, count(*) FILTER (will_fail_within_{S.horizon} = 1) AS class_pos,
   count(*) FILTER (will_fail_within_{S.horizon} = 0) AS class_neg FROM lab WHERE {_span(TRAIN)})
 SELECT *, round(class_neg / greatest(class_pos, 1), 6) AS weight FROM c""",
+        "day_sketch_counts": f"WITH {EVENTS} " + " UNION ALL ".join(
+            f"SELECT date, '{c}' AS feature, count({'capacity_bytes' if c == 'capacity_gb' else c}) AS n FROM panel GROUP BY date"
+            for c in DRIFT_NUMERIC
+        ),
+        "day_category_counts": f"WITH {EVENTS} " + " UNION ALL ".join(
+            f"SELECT date, '{c}' AS feature, CAST({c} AS VARCHAR) AS category, count(*) AS n FROM panel GROUP BY ALL"
+            for c in DRIFT_CATEGORICAL
+        ),
         "calibration_map": f"""WITH {E_SCORES},
 cells AS (SELECT score_tied AS score, sum(y) AS pos, count(*) AS n FROM scores WHERE y IS NOT NULL GROUP BY 1),
 upto AS (SELECT score, sum(pos) OVER (ORDER BY score) AS pos, sum(n) OVER (ORDER BY score) AS n FROM cells),

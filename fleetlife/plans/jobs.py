@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fleetlife.contracts import Settings, feature_columns
 from fleetlife.models import bakeoff
 from fleetlife.models.publish import Artifacts, fleet_scorecard, publish, score_rows
 from fleetlife.operators import eda
-from fleetlife.operators.drift import drift_summary
+from fleetlife.operators.drift import drift_summary, retrain_decision
+from fleetlife.operators.driftsketch import day_categories, day_sketches, sketched_drift_report
 from fleetlife.operators.lifecycle import fleet_totals
 from fleetlife.operators.scoring import alert_counts, request_features
 from fleetlife.operators.sequences import sequence_dataset
@@ -154,9 +156,30 @@ def score_requests(spark: SparkSession, root: str, requests: str, keys: Sequence
     return score_rows(wide, Artifacts.load(spark, f"{root}/models"))
 
 
-def watch(spark: SparkSession, root: str, settings: Settings) -> DataFrame:
-    """Write the drift report and the decision; returns the decision."""
-    report, decision = monitor(read_panel(spark, f"{root}/panel"), settings)
+def sketch_days(spark: SparkSession, root: str, quarters: Sequence[str] | None = None) -> DataFrame:
+    """Write the tables of days from which windows can be compared; all quarters of the panel, or some.
+
+    Returns the days and values in them.
+    """
+    panel = read_panel(spark, f"{root}/panel")
+    panel = in_quarters(panel, quarters) if quarters else panel
+    for name, table in (("day_sketches", day_sketches(panel)), ("day_categories", day_categories(panel))):
+        writer = with_quarter(table).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.option("compression", "zstd").partitionBy("quarter").parquet(f"{root}/{name}")
+    return spark.read.parquet(f"{root}/day_sketches").groupBy("quarter", "feature").agg(F.count("*").alias("days"), F.sum("n").alias("n"))
+
+
+def watch(spark: SparkSession, root: str, settings: Settings, sketched: bool = False) -> DataFrame:
+    """Write the drift report and the decision; returns the decision.
+
+    With ``sketched`` the report comes from the tables of days (see ``sketch_days``), without reading the panel.
+    """
+    if sketched:
+        tables = (spark.read.parquet(f"{root}/{name}") for name in ("day_sketches", "day_categories"))
+        report = stage(sketched_drift_report(*tables, settings.splits["train"], settings.splits["test"]))
+        decision = retrain_decision(drift_summary(report), None, None, settings.drift_share, settings.pr_auc_drop)
+    else:
+        report, decision = monitor(read_panel(spark, f"{root}/panel"), settings)
     write_report(report, f"{root}/reports/drift")
     write_report(drift_summary(report), f"{root}/reports/drift_summary")
     return decision

@@ -15,7 +15,7 @@ from fleetlife.functions.labels import clean_rul
 from fleetlife.models import bakeoff, classifiers, publish, survival_forest, weibull
 from fleetlife.models.blocks import standardised
 from fleetlife.models import survival as sv
-from fleetlife.operators import drift, eda, lifecycle, rankmetrics, sampling, scoring, sequences
+from fleetlife.operators import drift, driftsketch, eda, lifecycle, rankmetrics, sampling, scoring, sequences
 from fleetlife.operators import survmetrics, windows
 from fleetlife.operators.encode import codebook, encode, ordered_means
 from fleetlife.plans import datasets, lifestate, monitoring
@@ -318,6 +318,25 @@ def drift_categorical(spark, sf):
     return drift.categorical_drift(both, ["model"]).select("feature", "psi", "new_categories", "drifted")
 
 
+@query
+def day_sketch_counts(spark, sf):
+    """Known values per day and feature in the sketches of the panel."""
+    return driftsketch.day_sketches(events_panel(spark, sf)).select("date", "feature", "n")
+
+
+@query
+def day_category_counts(spark, sf):
+    return driftsketch.day_categories(events_panel(spark, sf))
+
+
+@query
+def drift_sketched(spark, sf):
+    """The drift report from tables of days, within the error of the sketches."""
+    panel = events_panel(spark, sf)
+    days = stage(driftsketch.day_sketches(panel)), stage(driftsketch.day_categories(panel))
+    return driftsketch.sketched_drift_report(*days, S.splits["train"], S.splits["test"])
+
+
 @query
 def drift_report(spark, sf):
     return _report(spark, sf).withColumn("ks_pvalue", F.round("ks_pvalue", 6))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from fleetlife.__main__ import parse, run
 from fleetlife.contracts import SMART_BIG5
-from fleetlife.plans import jobs
+from fleetlife.plans import jobs, monitoring
 from fleetlife.sources.testdata import EVENT_SETTINGS, events_panel
 
 PANEL_COLUMNS = ["date", "serial_number", "model", "capacity_bytes", "failure", *SMART_BIG5]
@@ -59,5 +59,25 @@ def test_jobs_in_order(spark, root):
     scored = jobs.score_requests(spark, path, f"{path}/requests", ["serial_number"])
     assert scored.count() == 198 and scored.where("failure_probability IS NULL OR rul_days IS NULL").isEmpty()
 
-    assert jobs.watch(spark, path, EVENT_SETTINGS).first().n_features == 7
+    exact = jobs.watch(spark, path, EVENT_SETTINGS).first()
+    assert exact.n_features == 7
+    job("sketch-days")
+    sketched = jobs.watch(spark, path, EVENT_SETTINGS, sketched=True).first()
+    assert (sketched.n_features, sketched.n_drifted) == (exact.n_features, exact.n_drifted)
     assert isinstance(jobs.loop(spark, path, EVENT_SETTINGS), bool)
+
+
+def test_loop_takes_the_best_settings(spark, root, monkeypatch):
+    """What ``search`` has stored arrives at the training that the loop starts."""
+    path, told = str(root), {}
+    best = [("boosted_trees", 0, '{"maxDepth": 2, "maxIter": 3}', 0.5, True), ("boosted_trees", 1, '{"maxDepth": 9}', 0.1, False)]
+    frame = spark.createDataFrame(best, "model string, trial int, params string, val_pr_auc double, is_best boolean")
+    frame.write.mode("overwrite").parquet(f"{path}/search/boosted_trees")
+
+    def watched(panel, settings, current=None, **options):
+        told.update(options)
+        return monitoring.LoopResult(spark.range(1), None, None)
+
+    monkeypatch.setattr(jobs, "mlops_loop", watched)
+    assert jobs.loop(spark, path, EVENT_SETTINGS) is False
+    assert told == {"params": {"maxDepth": 2, "maxIter": 3}}
