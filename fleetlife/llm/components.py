@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars, with bounded work per task.
 
 Every round is grouping and joining by key, so a document with very many neighbours is spread by partial
-aggregation and skew handling of joins. Rounds are written to the checkpoint folder.
+aggregation and skew handling of joins. Joins are never turned into broadcasts, so no edges go through the
+driver. Rounds are written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -16,14 +17,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points to the smallest of node and neighbours."""
     both = edges.union(edges.select("b", "a"))
     least = both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("least"))
-    joined = both.join(least, F.col("a") == F.col("n")).where(F.col("b") > F.col("a"))
+    joined = both.join(least.hint("merge"), F.col("a") == F.col("n")).where(F.col("b") > F.col("a"))
     return joined.select(F.col("b").alias("a"), F.least("least", "a").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours point to the smallest of these. ``a`` is larger than ``b``."""
     least = edges.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("least"))
-    joined = edges.join(least, F.col("a") == F.col("n"))
+    joined = edges.join(least.hint("merge"), F.col("a") == F.col("n"))
     moved = joined.where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("n", "least")).distinct()
 
