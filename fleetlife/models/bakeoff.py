@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from functools import partial, reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +15,7 @@ from fleetlife.contracts import FBETA, Settings
 from fleetlife.models import survival as sv
 from fleetlife.models.classifiers import CLASSIFIERS, fit_classifier, numeric_inputs, prepare, score
 from fleetlife.models.search import search
+from fleetlife.models.sidebyside import side_by_side
 from fleetlife.models.survival_forest import fit_survival_forest, predict_survival_forest
 from fleetlife.models.weibull import fit_weibull_ridge, predict_weibull_ridge
 from fleetlife.operators.encode import category_means, codebook, ordered_means, with_category_mean
@@ -66,35 +67,50 @@ def _log(board: DataFrame, path: str | None) -> DataFrame:
     return board
 
 
+def _lines(results: Mapping[str, Any], models: Sequence[str], metrics: int) -> list[tuple]:
+    """Board lines of all models in order; one without metrics for a model that failed."""
+    lines = []
+    for name in models:
+        found = results[name]
+        if isinstance(found, Exception):
+            found = [(name, None, "failed", f"{type(found).__name__}: {found}", None, *[None] * metrics)]
+        lines += found
+    return lines
+
+
 def run_bakeoff(
     splits: Mapping[str, DataFrame],
     models: Sequence[str] = tuple(CLASSIFIERS),
     params: Mapping[str, Mapping[str, Any]] | None = None,
     log_path: str | None = None,
     beta: float = FBETA,
+    workers: int = 2,
+    limit_seconds: float | None = None,
 ) -> DataFrame:
-    """Leaderboard of classifiers; a model that fails gets a line with its error.
+    """Leaderboard of classifiers; a model that fails or is late gets a line with its error.
+
+    ``workers`` models are fitted side by side (see ``sidebyside``); the board is that of one after another.
 
     ``splits`` are tables of one dataset kind named train, val and test; the inputs are its numeric
     feature columns. Only one row of metrics per model and split reaches the driver.
     """
     spark = splits["train"].sparkSession
     ready, categories = prepared_splits(splits, means=bool(set(models) & NEED_MEANS))
-    lines = []
-    for name in models:
+
+    def one(name: str) -> list[tuple]:
         started = time.monotonic()
-        try:
-            model = fit_classifier(name, ready["train"], categories, (params or {}).get(name))
-            seconds = round(time.monotonic() - started, 3)
-            for split in ("val", "test"):
-                m = classification_bundle(score(model, ready[split]), beta=beta).first()
-                lines.append(
-                    (name, split, "ok", None, seconds, m.n, m.positives, m.pr_auc, m.roc_auc, m.brier,
-                     m.fbeta and m.fbeta.fbeta, m.fpr_1pct.recall, m.fpr_0_1pct.recall)
-                )
-        except Exception as problem:  # one bad model must not stop the others
-            text = f"{type(problem).__name__}: {problem}"
-            lines.append((name, None, "failed", text, round(time.monotonic() - started, 3)) + (None,) * 8)
+        model = fit_classifier(name, ready["train"], categories, (params or {}).get(name))
+        seconds = round(time.monotonic() - started, 3)
+        found = []
+        for split in ("val", "test"):
+            m = classification_bundle(score(model, ready[split]), beta=beta).first()
+            found.append(
+                (name, split, "ok", None, seconds, m.n, m.positives, m.pr_auc, m.roc_auc, m.brier,
+                 m.fbeta and m.fbeta.fbeta, m.fpr_1pct.recall, m.fpr_0_1pct.recall)
+            )
+        return found
+
+    lines = _lines(side_by_side(spark, {n: partial(one, n) for n in models}, workers, limit_seconds), models, 8)
     board = spark.createDataFrame(lines, BOARD)
     return _log(board.orderBy("split", F.col("pr_auc").desc_nulls_last(), "model"), log_path)
 
@@ -124,8 +140,10 @@ def run_survival_bakeoff(
     max_censored: int = 300_000,
     models: Sequence[str] = ("weibull", "cox", "hazard_forest", "survival_forest"),
     log_path: str | None = None,
+    workers: int = 2,
+    limit_seconds: float | None = None,
 ) -> DataFrame:
-    """Leaderboard of remaining-life models on survival tables.
+    """Leaderboard of remaining-life models on survival tables; fits run side by side as in ``run_bakeoff``.
 
     Models are fitted to all failed rows and a hashed share of the censored ones (whole model-days,
     ``max_censored`` rows at most); every test row is evaluated.
@@ -140,22 +158,17 @@ def run_survival_bakeoff(
         "hazard_forest": (lambda df: sv.fit_hazard_forest(df, categories), sv.predict_hazard_forest),
         "survival_forest": (fit_survival_forest, predict_survival_forest),
     }
-    lines = []
-    for name in models:
+
+    def one(name: str) -> list[tuple]:
         started = time.monotonic()
-        try:
-            fit, predict = runs[name]
-            model = fit(ready["train"])
-            seconds = round(time.monotonic() - started, 3)
-            scored = stage(predict(model, ready["test"]).select("duration", "event", "risk", "pred_time"))
-            m = survival_bundle(scored, time="duration").first()
-            lines.append(
-                (name, "test", "ok", None, seconds, m.n, m.events, m.c_index, m.rul_mae_days,
-                 m.rul_median_true_days)
-            )
-        except Exception as problem:  # one bad model must not stop the others
-            text = f"{type(problem).__name__}: {problem}"
-            lines.append((name, None, "failed", text, round(time.monotonic() - started, 3)) + (None,) * 5)
+        fit, predict = runs[name]
+        model = fit(ready["train"])
+        seconds = round(time.monotonic() - started, 3)
+        scored = stage(predict(model, ready["test"]).select("duration", "event", "risk", "pred_time"))
+        m = survival_bundle(scored, time="duration").first()
+        return [(name, "test", "ok", None, seconds, m.n, m.events, m.c_index, m.rul_mae_days, m.rul_median_true_days)]
+
+    lines = _lines(side_by_side(spark, {n: partial(one, n) for n in models}, workers, limit_seconds), models, 5)
     board = spark.createDataFrame(lines, SURVIVAL_BOARD)
     return _log(board.orderBy(F.col("c_index").desc_nulls_last(), "model"), log_path)
 
