@@ -93,10 +93,12 @@ def smallest_hashes(
     # a large group to one task.
     limits = limits.select(*within, "n")
     hashed = frame.withColumn("_slot", hash_slot(*keys))
-    per_range = hashed.groupBy(*within, F.shiftright("_slot", LOW_BITS).alias("_range")).agg(F.count("*").alias("_rows"))
+    # Both counts read the slots alone; the rows themselves are read once more, for the choice.
+    slots = stage(hashed.select(*within, "_slot"))
+    per_range = slots.groupBy(*within, F.shiftright("_slot", LOW_BITS).alias("_range")).agg(F.count("*").alias("_rows"))
     # One row per group, read by two branches of the plan.
     ranges = stage(_reached(per_range, limits, within, "_range"))
-    in_range = hashed.join(F.broadcast(ranges.withColumnRenamed("_range", "_reached")), within)
+    in_range = slots.join(F.broadcast(ranges.withColumnRenamed("_range", "_reached")), within)
     in_range = in_range.where(F.shiftright("_slot", LOW_BITS) == F.col("_reached"))
     per_slot = in_range.groupBy(*within, "_slot").agg(F.count("*").alias("_rows"))
     cut = _reached(per_slot, ranges, within, "_slot").select(
