@@ -129,7 +129,7 @@ def _with_sets(rows: DataFrame, members: DataFrame, sets_of: SetsOf, small: bool
         return [pa.array([values[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())]
 
     joined = rows.join(F.broadcast(members) if small else members, F.col("_id") == F.col("node")).drop("_id")
-    made = with_results(joined, "_text", [T.StructField("set", T.BinaryType())], packed).drop("_text")
+    made = with_results(joined, "_text", [T.StructField("set", T.BinaryType())], packed, keep_text=False)
     return made.where(F.length("set") > 0)
 
 

@@ -136,7 +136,7 @@ def link_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
         own, values = shingle_sets(part, n)
         return [*set_keys(own, values, len(part)), row_sketches(own, values, len(part), near_enough)]
 
-    sets = stage(with_results(sized, "_text", SETS, measure).drop("_text"))
+    sets = stage(with_results(sized, "_text", SETS, measure, keep_text=False))
     total = sets.agg(F.coalesce(F.sum("_bytes"), F.lit(0))).first()[0]
     filled = sets.where((F.col("n_shingles") > 0) & F.col("_id").isNotNull())
     same = ["n_shingles", "_set_a", "_set_b"]

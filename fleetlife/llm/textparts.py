@@ -183,14 +183,14 @@ def slices(batch: pa.RecordBatch, text: str) -> Iterator[Texts]:
 
 
 def with_results(
-    df: DataFrame, text: str, fields: Sequence[T.StructField], compute: Callable[[Texts], Sequence]
+    df: DataFrame, text: str, fields: Sequence[T.StructField], compute: Callable[[Texts], Sequence], keep_text: bool = True
 ) -> DataFrame:
     """Each row with the columns ``fields``, which ``compute`` makes for a slice of rows.
 
     As with ``withColumn``, a result replaces an input column of the same name; all other columns
-    pass through. Nothing is shuffled.
+    pass through; without ``keep_text`` all but the text. Nothing is shuffled.
     """
-    taken = {f.name.lower() for f in fields}
+    taken = {f.name.lower() for f in fields} | (set() if keep_text else {text.lower()})
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     schema = T.StructType([*kept, *fields])
     names, kept_names = schema.names, [f.name for f in kept]
