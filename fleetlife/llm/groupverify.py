@@ -12,11 +12,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlife.llm.components import components
+from fleetlife.llm.components import components, star_edges
 from fleetlife.llm.textparts import Texts, splitmix, with_results
 from fleetlife.session import stage
 
@@ -106,18 +106,15 @@ def link_forest(sets: list[np.ndarray], percent: int, label: np.ndarray | None =
 def _blocks(members: DataFrame) -> DataFrame:
     """(node, grp, n) with the group's number of blocks, the own block, and whether a pivot."""
     need = F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_ELEMENTS)
-    # The pivots are the first by hash: the PIVOTS smallest of a sum kept per group.
-    sized = members.groupBy("grp").agg(F.ceil(need).alias("blocks"), F.count(F.lit(1)).alias("members"))
-    placed = members.join(sized.where("members > 1"), "grp").withColumn("at", F.xxhash64("node"))
-    large = placed.where("blocks > 1")
-    salted = Window.partitionBy("grp", F.pmod("at", F.lit(32))).orderBy("at", "node")
-    first = large.withColumn("r", F.row_number().over(salted)).where(F.col("r") <= PIVOTS).drop("r")
-    first = first.withColumn("r", F.row_number().over(Window.partitionBy("grp").orderBy("at", "node")))
-    pivots = first.where(F.col("r") <= PIVOTS).select("node", F.lit(True).alias("pivot"))
-    block = F.pmod(F.shiftright("at", 8), F.col("blocks")).cast("int")
-    return placed.join(pivots, "node", "left").select(
-        "node", "grp", "blocks", block.alias("block"), F.coalesce("pivot", F.lit(False)).alias("pivot")
+    # A pivot is the first of its group by one of PIVOTS hashes.
+    first = [F.min_by("node", F.struct(F.xxhash64("node", F.lit(k)), "node")) for k in range(PIVOTS)]
+    sized = members.groupBy("grp").agg(
+        F.ceil(need).alias("blocks"), F.count(F.lit(1)).alias("members"), F.array(*first).alias("pivots")
     )
+    placed = members.join(sized.where("members > 1"), "grp")
+    block = F.pmod(F.shiftright(F.xxhash64("node"), 8), F.col("blocks")).cast("int")
+    pivot = (F.col("blocks") > 1) & F.array_contains("pivots", F.col("node"))
+    return placed.select("node", "grp", "blocks", block.alias("block"), pivot.alias("pivot"))
 
 
 def _with_sets(rows: DataFrame, members: DataFrame, sets_of: SetsOf, small: bool) -> DataFrame:
@@ -137,7 +134,7 @@ def _forest_of(table: pa.Table, percent: int, label: np.ndarray | None = None, s
     ids = table["node"].to_numpy()
     sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["set"]]
     edges = link_forest(sets, percent, ids if label is None else label, side)
-    a, b = (ids[[e[k] for e in edges]] if edges else np.empty(0, np.int64) for k in (0, 1))
+    a, b = star_edges(*(ids[[e[k] for e in edges]] if edges else np.empty(0, np.int64) for k in (0, 1)))
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -165,10 +162,13 @@ def verified_links(rows: DataFrame, members: DataFrame, sets_of: SetsOf, percent
         "node", "grp", "blocks", "block", F.coalesce("component", "node").alias("label")
     )
     counts = known.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("k"))
-    largest = counts.groupBy("grp").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    outside = counts.join(largest, "grp").where(F.col("label") != F.col("main"))
-    chunks = outside.groupBy("grp").agg(F.ceil(F.sum("k") / BLOCK_DOCS).cast("int").alias("chunks"))
-    known = stage(known.join(largest, "grp").join(chunks, "grp"))
+    largest = counts.groupBy("grp").agg(
+        F.max_by("label", F.struct("k", "label")).alias("main"),
+        F.ceil((F.sum("k") - F.max("k")) / BLOCK_DOCS).cast("int").alias("chunks"),
+    )
+    known = stage(known.join(largest.where("chunks > 0"), "grp"))
+    if known.isEmpty():
+        return first
     both = sets.select("node", "set").join(known, "node")
     # A block meets every chunk of the group's outsiders, and an outsider every block but its own.
     chunk = F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int")

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlife.llm.components import components
+from fleetlife.llm.components import HELD_EDGES, components, star_edges
 from fleetlife.llm.groupverify import verified_links
 from fleetlife.llm.hotkeys import join_groups
 from fleetlife.llm.shingles import set_keys, shingle_sets
@@ -314,22 +314,25 @@ def _combined(plan: Plan):
 
 
 def _linked_keys(plan: Plan):
-    """For ``KEYED`` rows in the order of keys: the pairs under each key. The rows of one key are held.
+    """For ``KEYED`` rows in the order of keys: edges that connect what the pairs under each key do. The rows of one key are held.
 
     A row with a leader is a pair already.
     """
     width = -(-plan.minima // 8)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(pairs: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        def rows(found: list[np.ndarray]) -> pa.RecordBatch:
+            # What many keys connect goes on once.
+            pairs = np.concatenate([np.empty((0, 2), np.int64), *found])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in star_edges(pairs[:, 0], pairs[:, 1])], ["a", "b"])
 
+        pairs: list[np.ndarray] = []
         held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, width), np.uint8)]
         for batch in batches:
             led = batch.column(3).is_valid()
             known = batch.filter(led)
             if known.num_rows:
-                yield rows(np.stack([known.column(1).to_numpy(), known.column(3).to_numpy(zero_copy_only=False)], 1))
+                pairs.append(np.stack([known.column(1).to_numpy(), known.column(3).to_numpy(zero_copy_only=False)], 1))
                 batch = batch.filter(pc.invert(led))
             if not batch.num_rows:
                 continue
@@ -338,9 +341,12 @@ def _linked_keys(plan: Plan):
             whole = held[0] >> 1
             last = int(np.searchsorted(whole, whole[-1]))
             if last:
-                yield rows(close_pairs(whole[:last], held[1][:last], held[0][:last] & 1, held[2][:last], plan))
+                pairs.append(close_pairs(whole[:last], held[1][:last], held[0][:last] & 1, held[2][:last], plan))
                 held = [x[last:].copy() for x in held]
-        yield rows(close_pairs(held[0] >> 1, held[1], held[0] & 1, held[2], plan))
+            if sum(map(len, pairs)) >= HELD_EDGES:
+                yield rows(pairs)
+                pairs = []
+        yield rows([*pairs, close_pairs(held[0] >> 1, held[1], held[0] & 1, held[2], plan)])
 
     return link
 

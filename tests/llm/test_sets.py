@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetlife import session
+from fleetlife.llm import components as component_rounds
 from fleetlife.llm import groupverify, jaccardjoin, mixing, sharding, sharedkeys, substringdedup, suffixsort
 from fleetlife.llm.components import components
 from fleetlife.llm.ranks import numbered
@@ -210,6 +212,34 @@ def test_components(spark):
     assert {k for e in edges for k in e if None not in e and e[0] != e[1]} == set(got)
 
 
+@pytest.mark.parametrize("held", [1, 7, 1000])
+def test_components_of_hubs_and_chains(spark, monkeypatch, held):
+    """A hub with the largest id, a hub with the smallest, a long chain, all repeated and reversed, a few edges at a time."""
+    monkeypatch.setattr(component_rounds, "HELD_EDGES", held)
+    edges = [(999, k) for k in range(40)] + [(1000, 1000 + k) for k in range(1, 40)] + [(2000 + k, 2001 + k) for k in range(60)]
+    random.Random(held).shuffle(edges)
+    frame = spark.createDataFrame(edges + [(b, a) for a, b in edges], "a long, b long").repartition(3)
+    got = {r.node: r.component for r in components(frame).collect()}
+    assert got == {k: k // 1000 * 1000 for k in {x for e in edges for x in e}}
+
+
+def test_components_take_few_shuffles(spark, monkeypatch):
+    """A round deals rows three times: for the smallest neighbours, for the jumps and for the stars. Stars take one round."""
+    plans = []
+
+    def noted(frame):
+        plans.append(frame._jdf.queryExecution().sparkPlan().toString())
+        return session.stage(frame)
+
+    monkeypatch.setattr(component_rounds, "stage", noted)
+    edges = spark.createDataFrame([(k // 10 * 10, k) for k in range(200) if k % 10], "a long, b long")
+    assert components(edges).count() == 200
+    assert len(plans) == 2
+    frame = spark.createDataFrame([(2, 1, False)], "a long, b long, moved boolean")
+    plan = component_rounds._dealt_stars(component_rounds._jumped(frame))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 3
+
+
 # --- repeated strings ---
 
 
