@@ -1,10 +1,11 @@
 """A survival forest grown by log-rank splits, level by level.
 
 All that a level needs of the rows are counts: for every open node, candidate input, bin and period, how many
-rows leave in the period and how many of them fail. One pass counts them for all trees of the level (a task
-adds up its own rows first), the log-rank statistic of every cut follows from the counts of one (node, input),
-and the best cut per node goes to the driver: at most trees x 2**depth rows, whatever the data. Leaves hold the
-Nelson-Aalen cumulative hazard of their rows.
+rows leave in the period and how many of them fail. One pass counts them for all trees of the level: a task
+adds up its own rows and sends the counts of a (node, input) as one value, so the rows that are shuffled are
+nodes x inputs for each task, not cells. The log-rank statistic of every cut follows from the counts of one
+(node, input), and the best cut per node goes to the driver: at most trees x 2**depth rows, whatever the data.
+Leaves hold the Nelson-Aalen cumulative hazard of their rows.
 
 Bootstrap weights and candidate inputs are drawn by hashes, so that a tree doesn't depend on how rows are dealt.
 """
@@ -33,7 +34,8 @@ BINS = 32
 #: Counters (two 4-byte numbers each) that a task holds at a time; more trees or nodes take more passes.
 COUNTERS = 1 << 24
 
-CELLS = "tree int, node int, feature int, bin int, period int, n long, deaths long"
+#: ``counts``: three 4-byte numbers for each cell with rows: bin x periods + period, n, deaths.
+GRIDS = "tree int, node int, feature int, counts binary"
 CUTS = "tree int, node int, feature int, cut int, statistic double, n_left long, deaths_left long, n long, deaths long"
 
 
@@ -110,32 +112,32 @@ def log_rank(n: np.ndarray, deaths: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return statistic, left_n.sum(1), left_d.sum(1)
 
 
-def _grid(table: pa.Table, bins: int, periods: int) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.zeros((2, bins, periods), np.int64)
-    at = (table["bin"].to_numpy(), table["period"].to_numpy())
-    for k, name in enumerate(("n", "deaths")):
-        np.add.at(counts[k], at, table[name].to_numpy())
-    return counts[0], counts[1]
-
-
-def cuts_of(cells: DataFrame, bins: Sequence[int], periods: int) -> DataFrame:
-    """``CUTS`` of every (tree, node, input): a group has at most bins x periods rows of ``cells``."""
-
-    def all_cuts(key: tuple, table: pa.Table) -> pa.Table:
-        tree, node, feature = (k.as_py() for k in key)
-        n, deaths = _grid(table, bins[feature], periods)
-        statistic, left_n, left_d = log_rank(n, deaths)
-        count = len(statistic)
-        same = {"tree": tree, "node": node, "feature": feature}
-        columns = {k: pa.array([v] * count, pa.int32()) for k, v in same.items()}
-        return pa.table(
-            columns
-            | {"cut": pa.array(np.arange(count), pa.int32()), "statistic": pa.array(statistic, pa.float64())}
-            | {"n_left": pa.array(left_n, pa.int64()), "deaths_left": pa.array(left_d, pa.int64())}
-            | {"n": pa.array([int(n.sum())] * count, pa.int64()), "deaths": pa.array([int(deaths.sum())] * count, pa.int64())}
-        )
+def cuts_of(grids: DataFrame, bins: Sequence[int], periods: int) -> DataFrame:
+    """``CUTS`` of every (tree, node, input) from its ``GRIDS``, one of each task: they are added up as they come."""
+
+    def all_cuts(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, node = (k.as_py() for k in key)
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for feature, counts in zip(batch.column("feature").to_pylist(), batch.column("counts").to_pylist()):
+                total = sums.setdefault(feature, np.zeros((2, bins[feature] * periods), np.int64))
+                cells = np.frombuffer(counts, np.int32).reshape(-1, 3)
+                # A task names a cell once.
+                total[:, cells[:, 0]] += cells[:, 1:].T
+        for feature, total in sums.items():
+            n, deaths = total.reshape(2, bins[feature], periods)
+            statistic, left_n, left_d = log_rank(n, deaths)
+            count = len(statistic)
+            same = {"tree": tree, "node": node, "feature": feature}
+            columns = {k: pa.array([v] * count, pa.int32()) for k, v in same.items()}
+            yield pa.RecordBatch.from_pydict(
+                columns
+                | {"cut": pa.array(np.arange(count), pa.int32()), "statistic": pa.array(statistic, pa.float64())}
+                | {"n_left": pa.array(left_n, pa.int64()), "deaths_left": pa.array(left_d, pa.int64())}
+                | {"n": pa.array([int(n.sum())] * count, pa.int64()), "deaths": pa.array([int(deaths.sum())] * count, pa.int64())}
+            )
 
-    return cells.groupBy("tree", "node", "feature").applyInArrow(all_cuts, CUTS)
+    return grids.groupBy("tree", "node").applyInArrow(all_cuts, CUTS)
 
 
 def thresholds_of(frame: DataFrame, inputs: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
@@ -203,23 +205,26 @@ class _Level:
                     for k, amount in ((0, weight[rows]), (1, weight[rows] * died[rows])):
                         np.add.at(totals[tree][k].reshape(-1), cell, amount)
         for tree, own in self.tries.items():
-            n, deaths = totals[tree]
-            spot = np.nonzero(n)
+            n, deaths = totals[tree].reshape(2, own.size, -1)
+            group, cell = np.nonzero(n)
+            if not len(group):
+                continue
+            packed = np.stack([cell, n[group, cell], deaths[group, cell]], axis=1).astype(np.int32)
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = pa.py_buffer((np.append(first, len(group)) * packed.itemsize * 3).astype(np.int64))
+            counts = pa.Array.from_buffers(pa.large_binary(), len(first), [None, ends, pa.py_buffer(packed)])
+            node, chosen = group[first] // own.shape[1], own.reshape(-1)[group[first]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(spot[0]), tree, np.int32)),
-                 pa.array(np.array(self.open[tree], np.int32)[spot[0]]),
-                 pa.array(own[spot[0], spot[1]].astype(np.int32)),
-                 pa.array(spot[2].astype(np.int32)), pa.array(spot[3].astype(np.int32)),
-                 pa.array(n[spot].astype(np.int64)), pa.array(deaths[spot].astype(np.int64))],
-                [f.split()[0] for f in CELLS.split(", ")],
+                [pa.array(np.full(len(first), tree, np.int32)),
+                 pa.array(np.array(self.open[tree], np.int32)[node]),
+                 pa.array(chosen.astype(np.int32)), counts.cast(pa.binary())],
+                [f.split()[0] for f in GRIDS.split(", ")],
             )
 
 
-def _cells(rows: DataFrame, level: _Level, feature: np.ndarray, cut: np.ndarray, depth: int, weigh) -> DataFrame:
-    """Summed ``CELLS`` of a level, over all tasks."""
-    counted = rows.mapInArrow(lambda batches: level.count(batches, feature, cut, depth, weigh), CELLS)
-    keys = ["tree", "node", "feature", "bin", "period"]
-    return counted.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("deaths").alias("deaths"))
+def _grids(rows: DataFrame, level: _Level, feature: np.ndarray, cut: np.ndarray, depth: int, weigh) -> DataFrame:
+    """``GRIDS`` of a level, those of each task."""
+    return rows.mapInArrow(lambda batches: level.count(batches, feature, cut, depth, weigh), GRIDS)
 
 
 def log_rank_table(frame: DataFrame, thresholds: Mapping[str, Sequence[float]], ends: Sequence[int] = PERIODS) -> DataFrame:
@@ -229,7 +234,7 @@ def log_rank_table(frame: DataFrame, thresholds: Mapping[str, Sequence[float]],
     every = np.arange(len(names))
     none = np.full((1, 2), -1)
     level = _Level(bins, len(ends), {0: [1]}, lambda tree, node: every)
-    cuts = cuts_of(_cells(rows, level, none, none, 0, lambda ids, tree: np.ones(len(ids), np.int32)), bins, len(ends))
+    cuts = cuts_of(_grids(rows, level, none, none, 0, lambda ids, tree: np.ones(len(ids), np.int32)), bins, len(ends))
     shown = [(i, k, name, float(t)) for i, name in enumerate(names) for k, t in enumerate(thresholds[name])]
     spec = frame.sparkSession.createDataFrame(shown, "feature int, cut int, input string, threshold double")
     return cuts.join(F.broadcast(spec), ["feature", "cut"]).select(
@@ -273,7 +278,7 @@ def fit_survival_forest(
     for level in range(depth):
         found = []
         for part in _passes(open_, tries * max(bins) * len(ends)):
-            counted = _cells(rows, _Level(bins, len(ends), part, candidates), feature, cut, level, weigh)
+            counted = _grids(rows, _Level(bins, len(ends), part, candidates), feature, cut, level, weigh)
             fit = cuts_of(counted, bins, len(ends)).where(
                 (F.col("statistic") > 0) & (F.col("n_left") >= min_leaf) & (F.col("n") - F.col("n_left") >= min_leaf)
             )

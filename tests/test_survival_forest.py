@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,27 @@ def test_passes_hold_the_counters(monkeypatch, spark):
     assert (whole.feature == parts.feature).all() and (whole.cut == parts.cut).all()
 
 
+def test_a_task_sends_one_row_per_node_and_input():
+    """However many cells have rows; the counts are those of the rows, weights included."""
+    rng = np.random.default_rng(7)
+    n, periods = 3000, 40
+    bins, period, died = rng.integers(0, 16, (n, 3)).astype(np.uint8), rng.integers(0, periods, n), rng.random(n) < 0.3
+    weight = rng.integers(0, 3, n)
+    columns = [pa.array(np.arange(n)), pa.array(period, pa.int32()), pa.array(died), pa.array([b.tobytes() for b in bins])]
+    batches = pa.Table.from_arrays(columns, ["id", "period", "died", "bins"]).to_batches(1000)
+    level = sf._Level([16, 16, 16], periods, {0: [1], 1: [1]}, lambda tree, node: np.array([0, 2]))
+    none = np.full((2, 4), -1)
+    sent = pa.Table.from_batches(level.count(batches, none, none, 0, lambda ids, tree: weight[ids]))
+    assert sent.num_rows == 4
+    for row in sent.to_pylist():
+        expected = np.zeros((2, 16 * periods), np.int64)
+        np.add.at(expected[0], bins[:, row["feature"]].astype(int) * periods + period, weight)
+        np.add.at(expected[1], bins[:, row["feature"]].astype(int) * periods + period, weight * died)
+        cells = np.frombuffer(row["counts"], np.int32).reshape(-1, 3)
+        assert (cells[:, 0] == np.flatnonzero(expected[0])).all()
+        assert (cells[:, 1:].T == expected[:, cells[:, 0]]).all()
+
+
 def test_bootstrap_weights():
     ids = np.arange(200_000)
     w = sf.poisson_weights(ids, 3, 42)
