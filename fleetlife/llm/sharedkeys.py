@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlife.llm.textparts import Texts, as_lists, slices
+from fleetlife.session import bound_batches
 
 #: Text of a chunk.
 CHUNK_BYTES = 24 << 20
@@ -119,6 +120,7 @@ def shared(
     that the pairs (doc_id, found) connect all documents with a common key. A document can have several
     rows. ``doc`` holds longs without nulls. Callers with many keys per document take smaller chunks.
     """
+    bound_batches(docs.sparkSession)
     chunk = chunk_bytes or CHUNK_BYTES
     low = np.uint64(64 - bits - 48)
     cut = np.uint64(64 - bits)

@@ -2,7 +2,7 @@
 
 A task never holds more than one slice of an Arrow batch in expanded form: a slice ends after
 ``SLICE_BYTES`` of text, or after one document if that is longer. Hashes are computed over pieces
-of about a megabyte, so a very long document costs memory by its words, not eight times its bytes.
+of a quarter of a megabyte, so a very long document costs memory by its words, not eight times its bytes.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 2 << 20
-PIECE_BYTES = 1 << 20
+from fleetlife.session import bound_batches
+
+SLICE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,6 +192,7 @@ def with_results(
     As with ``withColumn``, a result replaces an input column of the same name; all other columns
     pass through; without ``keep_text`` all but the text. Nothing is shuffled.
     """
+    bound_batches(df.sparkSession)
     taken = {f.name.lower() for f in fields} | (set() if keep_text else {text.lower()})
     kept = [f for f in df.schema.fields if f.name.lower() not in taken]
     schema = T.StructType([*kept, *fields])

@@ -15,15 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import FMClassifier
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlife.llm.sharding import DRAW_BITS, draw
 from fleetlife.llm.textparts import Texts, as_lists, slices, span_hashes, splitmix, with_results
-from fleetlife.session import stage
+from fleetlife.session import bound_batches, stage
 
 HASH_BITS = 20
 
@@ -103,6 +101,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
 
 def _slot_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents with each slot, other ones and toxic ones. The result has a fixed size."""
+    bound_batches(rows.sparkSession)
     size = 1 << HASH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +145,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     Without labelled rows of both kinds it scores everything by their share (0 without any).
     """
+    # Tasks import this module to score; Spark ML (and pandas with it) would stay in each of their workers.
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.feature import CountVectorizerModel
+
     rows = stage(_training_rows(docs, labels, key, text, label))
     counts = {r["toxic"]: r["count"] for r in rows.groupBy((F.col("label") > 0.5).alias("toxic")).count().collect()}
     n_other, n_toxic = counts.get(False, 0), counts.get(True, 0)

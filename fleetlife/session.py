@@ -21,6 +21,12 @@ JOB_CONF = {
 }
 
 
+#: Bytes of rows that Spark sends to a Python task at once, where the session has no limit of its own. A batch is
+#: held on both sides, so batches of 10,000 rows of text (Spark's limit) take more memory than the work on them.
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
+
 #: Tables that this process has staged.
 _STAGED: list[str] = []
 
@@ -57,6 +63,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end after ``BATCH_BYTES``, if it has no limit of its own."""
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table below the shared checkpoint folder and read it back.
 

@@ -264,3 +264,31 @@ def test_queries_on_all_documents(spark, sf):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (n, len(at), min(at, default=None), max(at, default=None))
         assert r.base_labels == ",".join(sorted({k for _, k in places})) and set(r.base_labels.split(",")) <= set(r.labels.split(","))
     assert np.isfinite([r.score for r in QUERIES["op7_licenses"](spark, sf).collect()]).all()
+
+
+def test_batches_of_long_rows_are_bounded(spark):
+    """What a task holds of its input follows bytes, not Spark's 10,000 rows."""
+    from pyspark.sql import types as T
+
+    from fleetlife.session import BATCH_BYTES, BATCH_LIMIT
+
+    spark.conf.unset(BATCH_LIMIT)
+    rows = spark.range(0, 4000, 1, 1).select("id", F.repeat(F.lit("ab c "), 1000).alias("text"))
+    held = lambda part: [np.full(len(part), part.column("text").buffers()[2].size)]
+    field = T.StructField("held", T.LongType())
+    found = textparts.with_results(rows, "text", [field], held, keep_text=False).agg(F.count("*"), F.max("held")).first()
+    assert found[0] == 4000 and found[1] <= 1.1 * BATCH_BYTES
+    spark.conf.set(BATCH_LIMIT, "1m")
+    textparts.with_results(rows, "text", [field], held)
+    assert spark.conf.get(BATCH_LIMIT) == "1m"  # a limit of the session's own stays
+    spark.conf.unset(BATCH_LIMIT)
+
+
+def test_workers_that_score_do_not_load_spark_ml():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = "import sys, fleetlife.llm.toxicity; print([m for m in ('pyspark.ml', 'pandas') if m in sys.modules])"
+    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True).stdout.strip() == "[]"
