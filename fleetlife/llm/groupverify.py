@@ -75,11 +75,13 @@ def link_forest(sets: list[np.ndarray], percent: int, label: np.ndarray | None =
     sizes = np.array([len(s) for s in sets], np.int64)
     most = int(sizes.max())
     cells = 1 << max(4, min(12, int(2 * most_apart(most, most, percent)).bit_length()))
-    sums = np.zeros((n, cells), np.uint64)
-    for i, own in enumerate(sets):
-        np.add.at(sums[i], (splitmix(own) & np.uint64(cells - 1)).astype(np.int64), own)
     order = np.argsort(sizes, kind="stable")
-    sums = (splitmix(sums) >> np.uint64(32)).astype(np.uint32)[order]
+    sums = np.empty((n, cells), np.uint32)
+    for i, own in enumerate(sets[j] for j in order):
+        # In 64 bits one set at a time: all of a block would take several times the sums that are kept.
+        total = np.zeros(cells, np.uint64)
+        np.add.at(total, (splitmix(own) & np.uint64(cells - 1)).astype(np.int64), own)
+        sums[i] = splitmix(total) >> np.uint64(32)
     ranked = sizes[order]
     sides = None if side is None else side[order]
     for i in range(n):

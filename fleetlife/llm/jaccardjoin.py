@@ -36,7 +36,7 @@ from fleetlife.llm.textparts import Texts, splitmix, with_results
 from fleetlife.session import stage
 
 #: Text of a chunk whose signatures a task holds: at 80 % they take about ten times the memory of the text.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Groups that agree beyond the last one (t above), as a share of the others.
 SLACK = 0.1

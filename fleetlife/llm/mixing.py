@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -172,15 +172,17 @@ def mix(
     same = F.col("_source").eqNullSafe(F.col("_other"))
     counts = counts.join(targets.withColumnRenamed("_source", "_other"), same).drop("_other")
 
-    def plan(group: pd.DataFrame) -> pd.DataFrame:
+    names = ["place", "size", "source_size", "target", "_passes", "_extra"]
+
+    def plan(group: pa.Table) -> pa.Table:
         # One row per distinct length of a source: bounded by the longest document.
-        group = group.sort_values("size", kind="stable")
-        sizes, counts = group["size"].to_numpy(np.int64), group["_count"].to_numpy(np.int64)
-        passes, extra = plan_source(sizes, counts, float(group["target"].iloc[0]), most)
-        return group[["place", "size", "source_size", "target"]].assign(_passes=passes, _extra=extra)
+        group = group.sort_by("size")
+        sizes, counts = (group[name].to_numpy().astype(np.int64) for name in ("size", "_count"))
+        passes, extra = plan_source(sizes, counts, group["target"][0].as_py(), most)
+        found = [group["place"].cast(pa.int64()), sizes, group["source_size"], group["target"], np.full(len(sizes), passes), extra]
+        return pa.table(found, names)
 
-    shape = "place long, size long, source_size long, target double, _passes long, _extra long"
-    plans = counts.groupBy("place").applyInPandas(plan, shape)
+    plans = counts.groupBy("place").applyInArrow(plan, "place long, size long, source_size long, target double, _passes long, _extra long")
     placed = sized.join(targets.select(F.col("_source").alias("_other"), "place"), same).drop("_other", "_source")
     order = draw(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
     ranked = numbered(placed, ["place", "size"], order, [key], "_rank")

@@ -26,6 +26,9 @@ CHUNK_BYTES = 24 << 20
 #: Text whose keys make up one slice of the key space.
 SLICE_TEXT = 16 << 20
 
+#: Rows (of one slice each) that a chunk sends at once.
+SENT_SLICES = 64
+
 _PACKED = "slice int, first long, keys binary, docs binary, known boolean"
 FOUND = "doc_id long, found array<long>"
 
@@ -57,8 +60,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], doc: str, text: str, keys_of: Key
             keys.append(own)
             size += len(part.data)
             if size >= chunk_bytes:
-                yield np.concatenate(docs), np.concatenate(keys)
+                # Its pieces are let go while the chunk is worked on.
+                whole = [np.concatenate(keys), np.concatenate(docs)]
                 docs, keys, size = [], [], 0
+                yield whole.pop(), whole.pop()
     if docs:
         yield np.concatenate(docs), np.concatenate(keys)
 
@@ -126,6 +131,7 @@ def shared(
     cut = np.uint64(64 - bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
         for own, keys in _chunks(batches, doc, text, keys_of, chunk):
             own, keys = _sorted_pairs(own, key_bits(keys, bits))
             begin, sizes = _groups(keys)
@@ -147,9 +153,11 @@ def shared(
             for a, n in zip(at.tolist(), sizes.tolist()):
                 own_docs = pack(asker[a : a + n] - first)
                 rows.append((int(slot[a]), first, pack_sorted(rest[a : a + n]), own_docs, False))
-            kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.bool_()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds]
-            yield pa.RecordBatch.from_arrays(columns, ["slice", "first", "keys", "docs", "known"])
+            del own, keys, asker, key, slot, rest
+            # A batch goes to the JVM as a whole: a part of the slices at a time.
+            for a in range(0, len(rows), SENT_SLICES):
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows[a : a + SENT_SLICES]), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, ["slice", "first", "keys", "docs", "known"])
 
     def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, own, keys = np.uint64(key[0].as_py()), [], []

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from fleetlife.session import bound_batches
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 PIECE_BYTES = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -105,17 +105,17 @@ def _slot_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << HASH_BITS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, size), np.int64)
+        total = np.zeros((2, size), np.int32)  # a task's documents
         for batch in batches:
             for part in slices(batch, "_text"):
                 label = part.ids("label")
                 own, slot = slots(part)
                 for k in (0, 1):
-                    total[k] += np.bincount(slot[(label[own] > 0.5) == bool(k)], minlength=size)
+                    np.add.at(total[k], slot[(label[own] > 0.5) == bool(k)], 1)
         for k in range(_RANGES):
             cut = total[:, k * size // _RANGES : (k + 1) * size // _RANGES]
             if cut.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([np.ascontiguousarray(cut).tobytes()])], ["range", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([cut.astype(np.int64).tobytes()])], ["range", "counts"])
 
     def add(key: tuple, table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])

@@ -24,7 +24,7 @@ JOB_CONF = {
 #: Bytes of rows that Spark sends to a Python task at once, where the session has no limit of its own. A batch is
 #: held on both sides, so batches of 10,000 rows of text (Spark's limit) take more memory than the work on them.
 BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 #: Tables that this process has staged.

@@ -321,3 +321,55 @@ def test_window_keys_follow_the_window():
     part = next(slices(batch, "text"))
     a, b = (substringdedup.window_keys(part.data[part.offsets[d] : part.offsets[d + 1]]) for d in (0, 1))
     assert (a[7:] == b[: len(a) - 7]).all()
+
+
+def test_a_block_is_compared_in_little_memory():
+    """The sums of a block's cells are kept in 32 bits, and no others of all its sets are made."""
+    import tracemalloc
+
+    from fleetlife.llm.groupverify import link_forest
+
+    draw = np.random.default_rng(5)
+    sets = [np.sort(draw.integers(0, 1 << 63, 2_500).astype(np.uint64)) for _ in range(200)]
+    sets += [np.sort(np.concatenate([s[100:], draw.integers(0, 1 << 63, 100).astype(np.uint64)])) for s in sets[:50]]
+    tracemalloc.start()
+    edges = link_forest(sets, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(tuple(sorted(e)) for e in edges) == [(i, 200 + i) for i in range(50)]
+    assert peak < len(sets) * 2048 * 10
+
+
+def test_what_a_chunk_shares_is_sent_in_parts():
+    """No batch to the JVM has all slices of a chunk."""
+    import pyarrow as pa
+
+    from fleetlife.llm.shingles import shingle_sets
+
+    sent = {}
+
+    class Rows:
+        class sparkSession:
+            class conf:
+                get = staticmethod(lambda *_: "1")
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, ask, _):
+            sent["ask"] = ask
+            return self
+
+        def groupBy(self, _):
+            return self
+
+        def applyInArrow(self, answer, _):
+            return self
+
+    sharedkeys.shared(Rows(), lambda part: shingle_sets(part, 2), 9)
+    texts = [" ".join(f"w{i * 31 + k}" for k in range(400)) for i in range(20)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    made = list(sent["ask"](iter([batch])))
+    assert max(b.num_rows for b in made) <= 64
+    slots = [x for b in made for x, known in zip(b["slice"].to_pylist(), b["known"].to_pylist()) if not known]
+    assert len(slots) == len(set(slots)) > 400

@@ -292,3 +292,32 @@ def test_workers_that_score_do_not_load_spark_ml():
 
     code = "import sys, fleetlife.llm.toxicity; print([m for m in ('pyspark.ml', 'pandas') if m in sys.modules])"
     assert subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True).stdout.strip() == "[]"
+
+
+def test_workers_of_the_pipeline_do_not_load_pandas():
+    import subprocess
+    import sys
+
+    from conftest import ROOT
+
+    code = "import sys, corpus_pipeline; print([m for m in ('pyspark.ml', 'pandas') if m in sys.modules])"
+    assert subprocess.run([sys.executable, "-B", "-c", code], cwd=ROOT, capture_output=True, text=True).stdout.strip() == "[]"
+
+
+def test_terms_of_a_batch_are_held_a_slice_at_a_time():
+    """Beyond the batch, a task holds little of it in expanded form."""
+    import tracemalloc
+
+    from fleetlife.llm import toxicity
+
+    words = [f"word{i * 7919 % 50_000}" for i in range(30_000)]
+    texts = pa.array([" ".join(words[i : i + 300]) for i in range(0, 30_000, 20)])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    for part in textparts.slices(batch.slice(0, 9), "text"):
+        toxicity.slots(part)
+    tracemalloc.start()
+    rows = sum(int(toxicity.slots(part)[0][-1]) + 1 for part in textparts.slices(batch, "text"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and batch.nbytes > 3 << 20
+    assert peak < 8 << 20
