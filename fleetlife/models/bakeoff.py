@@ -20,7 +20,6 @@ from fleetlife.models.survival_forest import fit_survival_forest, predict_surviv
 from fleetlife.models.weibull import fit_weibull_ridge, predict_weibull_ridge
 from fleetlife.operators.encode import category_means, codebook, ordered_means, with_category_mean
 from fleetlife.operators.rankmetrics import average_precision, classification_bundle, rank_curve
-from fleetlife.operators.sampling import cap_negatives
 from fleetlife.operators.survmetrics import survival_bundle
 from fleetlife.plans.datasets import rolling_split
 from fleetlife.session import stage
@@ -137,7 +136,6 @@ def run_horizons(
 def run_survival_bakeoff(
     train: DataFrame,
     test: DataFrame,
-    max_censored: int = 300_000,
     models: Sequence[str] = ("weibull", "cox", "hazard_forest", "survival_forest"),
     log_path: str | None = None,
     workers: int = 2,
@@ -145,17 +143,16 @@ def run_survival_bakeoff(
 ) -> DataFrame:
     """Leaderboard of remaining-life models on survival tables; fits run side by side as in ``run_bakeoff``.
 
-    Models are fitted to all failed rows and a hashed share of the censored ones (whole model-days,
-    ``max_censored`` rows at most); every test row is evaluated.
+    Models are fitted to all rows of ``train`` whose outcome is known, and every row of ``test`` is evaluated.
     """
     spark = train.sparkSession
-    capped = {"train": cap_negatives(train, max_censored, label="event"), "test": test}
-    ready, categories = prepared_splits(capped, fill=True)
+    known = {"train": train.where(F.col("event").isin(0, 1)), "test": test}
+    ready, categories = prepared_splits(known, fill=True)
     ready = {name: sv.positive_durations(df) for name, df in ready.items()}
     runs: dict[str, tuple[Callable, Callable]] = {
         "weibull": (fit_weibull_ridge, predict_weibull_ridge),
         "cox": (sv.fit_cox, sv.predict_cox),
-        "hazard_forest": (lambda df: sv.fit_hazard_forest(df, categories), sv.predict_hazard_forest),
+        "hazard_forest": (lambda df: sv.fit_hazard_forest(df, categories, all_rows=True), sv.predict_hazard_forest),
         "survival_forest": (fit_survival_forest, predict_survival_forest),
     }
 

@@ -5,6 +5,7 @@ All return rows with ``risk`` (higher = sooner) and ``pred_time`` (days in [1, 4
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import AFTSurvivalRegression
 from pyspark.sql import DataFrame
@@ -272,7 +273,56 @@ def person_periods(frame: DataFrame) -> DataFrame:
     )
 
 
-def fit_hazard_forest(frame: DataFrame, categories: int, trees: int = 30, depth: int = 6) -> PipelineModel:
+def cuts_of_all_rows(rows: DataFrame, inputs: Sequence[str], bins: int) -> dict[str, list[float]]:
+    """Where each input can be cut (a value equal to a cut is below it), from two bounded aggregations of all rows.
+
+    An input with at most ``bins`` values is cut between all of them, others at approximate quantiles.
+    """
+    shares = [k / bins for k in range(1, bins)]
+    value = {c: F.col(c).cast("double") for c in inputs}
+    row = rows.agg(
+        *[F.approx_count_distinct(x).alias(f"n_{c}") for c, x in value.items()],
+        *[F.percentile_approx(x, shares, 10_000).alias(f"q_{c}") for c, x in value.items()],
+    ).first()
+    # The count of few values is off by a few.
+    few = [c for c in inputs if row[f"n_{c}"] <= 1.25 * bins]
+    values = rows.agg(*[F.collect_set(value[c]).alias(c) for c in few]).first() if few else {}
+    found = {}
+    for c in inputs:
+        exact = c in few and len(values[c]) <= bins
+        found[c] = sorted(values[c])[:-1] if exact else sorted(set(row[f"q_{c}"] or []))
+    return found
+
+
+def _in_bins(cuts: dict[str, list[float]]) -> tuple[list, dict[str, str]]:
+    """Stages that put inputs into the bins between their cuts, and the name of each binned input."""
+    # A Bucketizer's bin holds its lower end, not the upper one, so that is the next number after the cut.
+    upper = {c: np.unique(np.nextafter(np.array(t, float), np.inf)) for c, t in cuts.items()}
+    ends = {c: [-np.inf, *u[np.isfinite(u)].tolist(), np.inf] for c, u in upper.items() if np.isfinite(u).any()}
+    if not ends:
+        return [], {}
+    raw, plain = ({c: f"{c}_{name}" for c in ends} for name in ("bucket", "bin"))
+    buckets = Bucketizer(splitsArray=list(ends.values()), inputCols=list(ends), outputCols=list(raw.values()))
+    # A sum has no metadata: as plain numbers, bins are cut in their order.
+    numbers = ", ".join(f"`{raw[c]}` + 0.0D AS `{plain[c]}`" for c in ends)
+    return [buckets, SQLTransformer(statement=f"SELECT *, {numbers} FROM __THIS__")], plain
+
+
+def fit_hazard_forest(
+    frame: DataFrame, categories: int, trees: int = 30, depth: int = 6, all_rows: bool = False
+) -> PipelineModel:
+    """A random forest on person-periods.
+
+    Spark's forest takes its cuts from about 10,000 sampled rows. With ``all_rows`` inputs are binned first by
+    cuts from all rows, and the limit of bins is so high that Spark looks for bins in all rows too.
+    """
+    rows = person_periods(frame)
+    bins = max_bins = max(64, categories + 1)
+    binning, name = [], {}
+    if all_rows:
+        binning, name = _in_bins(cuts_of_all_rows(rows, NUMERIC, bins))
+        # Spark samples max_bins**2 rows; the bins of an input are those it has.
+        max_bins = max(bins, math.isqrt(rows.count()) + 1)
     forest = RandomForestClassifier(
         featuresCol="features",
         labelCol="fails",
@@ -280,13 +330,13 @@ def fit_hazard_forest(frame: DataFrame, categories: int, trees: int = 30, depth:
         maxDepth=depth,
         minInstancesPerNode=20,
         featureSubsetStrategy="sqrt",
-        maxBins=max(64, categories + 1),
+        maxBins=max_bins,
         seed=42,
     )
-    inputs = [*INPUTS, "period"]
+    inputs = [name.get(c, c) for c in [*INPUTS, "period"]]
     return Pipeline(
-        stages=[VectorAssembler(inputCols=inputs, outputCol="features"), forest]
-    ).fit(person_periods(frame))
+        stages=[*binning, VectorAssembler(inputCols=inputs, outputCol="features"), forest]
+    ).fit(rows)
 
 
 def predict_hazard_forest(model: PipelineModel, frame: DataFrame) -> DataFrame:
@@ -295,11 +345,14 @@ def predict_hazard_forest(model: PipelineModel, frame: DataFrame) -> DataFrame:
     The periods are scored side by side as columns of the same row, so nothing is shuffled.
     """
     keep = [c for c in frame.columns if c not in INPUTS]
-    scored = frame
+    *binning, assembler, forest = model.stages
+    # Bins are the same in all periods.
+    scored = PipelineModel(binning).transform(frame)
+    by_period = PipelineModel([assembler, forest])
     for i in range(len(PERIOD_ENDS)):
         hazard = F.get(vector_to_array(F.col("probability")), 1).alias(f"_h{i}")
         before = scored.columns
-        scored = model.transform(scored.withColumn("period", F.lit(float(i)))).select(*before, hazard)
+        scored = by_period.transform(scored.withColumn("period", F.lit(float(i)))).select(*before, hazard)
     alive, area = F.lit(1.0), F.lit(0.0)
     for i, (start, end) in enumerate(zip([0, *PERIOD_ENDS[:-1]], PERIOD_ENDS)):
         scored = scored.withColumn(f"_alive{i}", alive * (1.0 - F.col(f"_h{i}")))

@@ -617,11 +617,11 @@ def _splits(spark, sf):
     }
 
 
-def _survival(spark, sf):
+def _survival(spark, sf, whole=False):
     panel = events_panel(spark, sf)
     summary = lifecycle.unit_lives(panel)
     return {
-        name: datasets.survival_split(panel, summary, S.splits[name], S.survival_ratios[name])
+        name: datasets.survival_split(panel, summary, S.splits[name], None if whole else S.survival_ratios[name])
         for name in ("train", "test")
     }
 
@@ -824,7 +824,8 @@ def survival_forest_predictions(spark, sf):
 
 @query
 def survival_bakeoff(spark, sf):
-    tables = _survival(spark, sf)
+    """On all rows of both splits, not on the sampled tables."""
+    tables = _survival(spark, sf, whole=True)
     return bakeoff.run_survival_bakeoff(tables["train"], tables["test"])
 
 
